@@ -93,12 +93,15 @@ def normalize_title(c: str | Column) -> Column:
 
 
 # Named references that occur in mail and job pages (fixed values); the ampersand comes last.
+# Those of the first group are also valid without the semicolon.
+_ENTITIES_OPEN = (
+    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", "\u00a0"), ("copy", "©"), ("reg", "®"),
+    ("middot", "·"), ("pound", "£"), ("eacute", "é"), ("egrave", "è"), ("uuml", "ü"),
+    ("ouml", "ö"), ("auml", "ä"),
+)
 _ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
-    ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&hellip;", "…"), ("&mdash;", "—"),
-    ("&ndash;", "–"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&bull;", "•"), ("&middot;", "·"), ("&euro;", "€"), ("&pound;", "£"), ("&eacute;", "é"),
-    ("&egrave;", "è"), ("&uuml;", "ü"), ("&ouml;", "ö"), ("&auml;", "ä"), ("&amp;", "&"),
+    ("apos", "'"), ("trade", "™"), ("hellip", "…"), ("mdash", "—"), ("ndash", "–"),
+    ("lsquo", "‘"), ("rsquo", "’"), ("ldquo", "“"), ("rdquo", "”"), ("bull", "•"), ("euro", "€"),
 )
 
 
@@ -115,19 +118,21 @@ def html_unescape(c: str | Column) -> Column:
     )
     value = F.when(F.contains(c, F.lit("&#")), decimal).otherwise(c)
     for name, char in _ENTITIES:
-        value = F.replace(value, F.lit(name), F.lit(char))
+        value = F.replace(value, F.lit(f"&{name};"), F.lit(char))
+    for name, char in (*_ENTITIES_OPEN, ("amp", "&")):
+        value = F.regexp_replace(value, f"&{name};?", char)
     return F.when(F.contains(c, F.lit("&")), value).otherwise(c)
 
 
 def html_unescape_strip(c: str | Column) -> Column:
     """References decoded, tags to spaces, white space squeezed."""
     bare = F.regexp_replace(html_unescape(text_or_empty(c)), "<[^>]+>", " ")
-    return F.trim(F.regexp_replace(bare, r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(bare, r"[\s\u00a0]+", " "))
 
 
 def clean_title(c: str | Column) -> Column:
     """A short role phrase, or '' where the text is prose."""
-    v = F.btrim(F.regexp_replace(html_unescape(text_or_empty(c)), r"[\s ]+", " "),
+    v = F.btrim(F.regexp_replace(html_unescape(text_or_empty(c)), r"[\s\u00a0]+", " "),
                 F.lit(" .:-"))
     v = F.regexp_replace(v, fixed.TITLE_PREFIX, "")
     v = F.regexp_replace(v, fixed.TITLE_BOUNDARY + r"(?s:.*)$", "")

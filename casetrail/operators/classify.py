@@ -29,27 +29,32 @@ def rule_table() -> Column:
     ])
 
 
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often a lambda refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def with_rule_hits(df: DataFrame, subject="subject", body="body", sender="sender") -> DataFrame:
-    """Adds ``_text`` (the three fields, normalised in one go) and ``_hits`` (phrases found).
+    """Adds ``_hit``: the three fields normalised in one go (``text``) and the phrases found
+    (``hits``).
 
     The rules are a literal array walked by one higher-order function: 52 phrases times three
     fields as a CASE would outgrow what the JIT compiles.
     """
     parts = [F.translate(text_or_empty(c), _SEPARATOR, "\x01") for c in (subject, body, sender)]
     joined = normalize_text(F.concat_ws(_SEPARATOR, *parts))
-    return df.withColumn("_text", joined).withColumn(
-        "_hits", F.filter(rule_table(), lambda r: F.contains(F.col("_text"), r["phrase"]))
-    )
+
+    def found(text: Column) -> Column:
+        hits = F.filter(rule_table(), lambda r: F.contains(text, r["phrase"]))
+        return F.struct(text.alias("text"), hits.alias("hits"))
+
+    return df.withColumn("_hit", _bind(joined, found))
 
 
 def classify(df: DataFrame, subject="subject", body="body", sender="sender") -> DataFrame:
     """Adds classification, confidence, reasons and classifier_version; the first rule wins."""
-    hit = with_rule_hits(df, subject, body, sender)
-    fields = F.split("_text", _SEPARATOR)
-    first = F.get("_hits", F.lit(0))
-    winners = F.filter("_hits", lambda r: r["rule"] == first["rule"])
 
-    def why(r: Column) -> Column:
+    def why(fields: Column, r: Column) -> Column:
         said = [
             F.when(
                 F.contains(F.get(fields, F.lit(i)), r["phrase"]),
@@ -59,31 +64,47 @@ def classify(df: DataFrame, subject="subject", body="body", sender="sender") ->
         ]
         return F.filter(F.array(*said), lambda s: s.isNotNull())
 
-    found = F.size("_hits") > 0
-    return hit.withColumns({
-        "classification": F.coalesce(first["type"], F.lit(fixed.UNKNOWN_TYPE)),
-        "confidence": F.coalesce(first["confidence"], F.lit(0.0)),
-        "reasons": F.when(found, F.flatten(F.transform(winners, why))).otherwise(
-            F.array(F.lit(fixed.NO_RULE_REASON))),
+    def decide(hit: Column) -> Column:
+        first = F.get(hit["hits"], F.lit(0))
+        winners = F.filter(hit["hits"], lambda r: r["rule"] == first["rule"])
+        reasons = _bind(
+            F.split(hit["text"], _SEPARATOR),
+            lambda fields: F.flatten(F.transform(winners, lambda r: why(fields, r))))
+        return F.struct(
+            F.coalesce(first["type"], F.lit(fixed.UNKNOWN_TYPE)).alias("classification"),
+            F.coalesce(first["confidence"], F.lit(0.0)).alias("confidence"),
+            F.when(F.size(hit["hits"]) > 0, reasons)
+            .otherwise(F.array(F.lit(fixed.NO_RULE_REASON))).alias("reasons"),
+        )
+
+    decided = with_rule_hits(df, subject, body, sender).withColumn(
+        "_hit", _bind(F.col("_hit"), decide))
+    return decided.withColumns({
+        **{c: F.col("_hit")[c] for c in ("classification", "confidence", "reasons")},
         "classifier_version": F.lit(fixed.CLASSIFIER_VERSION),
-    }).drop("_text", "_hits")
+    }).drop("_hit")
 
 
 def classification_conflicts(df: DataFrame, subject="subject", body="body", sender="sender"):
     """Adds classification, matched_types and status (supported, skipped or conflicting)."""
-    hit = with_rule_hits(df, subject, body, sender)
-    interview = F.filter("_hits", lambda r: r["type"].isin(*fixed.INTERVIEW_TYPES))
-    first = F.get("_hits", F.lit(0))["type"]
-    staged = hit.withColumns({
-        "classification": F.coalesce(first, F.lit(fixed.UNKNOWN_TYPE)),
-        "matched_types": F.array_sort(F.array_distinct(F.transform(interview, lambda r: r["type"]))),
-    })
+
+    def weigh(hit: Column) -> Column:
+        kinds = F.transform(hit["hits"], lambda r: r["type"])
+        interview = F.array_intersect(kinds, F.array(*[F.lit(t) for t in fixed.INTERVIEW_TYPES]))
+        return F.struct(
+            F.coalesce(F.get(kinds, F.lit(0)), F.lit(fixed.UNKNOWN_TYPE)).alias("classification"),
+            F.array_sort(interview).alias("matched_types"))
+
+    weighed = with_rule_hits(df, subject, body, sender).withColumn(
+        "_hit", _bind(F.col("_hit"), weigh))
+    staged = weighed.withColumns(
+        {c: F.col("_hit")[c] for c in ("classification", "matched_types")}).drop("_hit")
     status = (
         F.when(F.size("matched_types") > 1, F.lit("conflicting"))
         .when(F.get("matched_types", F.lit(0)) == F.col("classification"), F.lit("supported"))
         .otherwise(F.lit("skipped"))
     )
-    return staged.withColumn("status", status).drop("_text", "_hits")
+    return staged.withColumn("status", status)
 
 
 def candidate_summary(df: DataFrame) -> DataFrame:
@@ -180,7 +201,7 @@ def interview_evidence(
     kept = df.where(F.col(classification).isin(*fixed.INTERVIEW_TYPES))
     kept = kept.withColumn(
         "_t", F.concat(text_or_empty(subject), F.lit("\n"), text_or_empty(body)))
-    kept = with_schedule(kept, "_t", "_s").withColumns({
+    kept = with_schedule(kept, "_t", "_plan").withColumns({
         "_url": X.meeting_url("_t"), "_phone": X.phone("_t"),
         "_place": X.location(text_or_empty(body)),
     })
@@ -188,20 +209,20 @@ def interview_evidence(
         *[F.when(F.col(classification) == k, F.lit(v)) for k, v in fixed.EVENT_TYPES.items()])
     interview = F.struct(
         event.alias("event_type"), X.interview_type("_t", classification).alias("interview_type"),
-        F.col("_s.start_utc").alias("scheduled_start"), F.col("_s.end_utc").alias("scheduled_end"),
-        F.col("_s.local_start").alias("local_start"), F.col("_s.local_end").alias("local_end"),
-        F.col("_s.zone").alias("timezone"), F.col("_url").alias("meeting_url"),
+        F.col("_plan.start_utc").alias("scheduled_start"), F.col("_plan.end_utc").alias("scheduled_end"),
+        F.col("_plan.local_start").alias("local_start"), F.col("_plan.local_end").alias("local_end"),
+        F.col("_plan.zone").alias("timezone"), F.col("_url").alias("meeting_url"),
         F.col("_phone").alias("phone"),
         X.location_type("_url", "_phone", "_place").alias("location_type"),
         F.col("_place").alias("location_text"), X.event_id("_t").alias("event_identifier"),
         X.interview_job_id("_t").alias("job_identifier"),
         F.substring(F.trim(text_or_empty(subject)), 1, 500).alias("title"),
-        X.signals(F.col(classification), F.col("_s.local_start"), F.col("_s.zone"),
+        X.signals(F.col(classification), F.col("_plan.local_start"), F.col("_plan.zone"),
                   "_url", "_phone", "_place").alias("matched_signals"),
-        F.col("_s.ambiguity").alias("ambiguity_reasons"),
+        F.col("_plan.ambiguity").alias("ambiguity_reasons"),
         F.lit(fixed.EXTRACTOR_VERSION).alias("extractor_version"),
     )
-    return kept.withColumn("interview", interview).drop("_t", "_s", "_url", "_phone", "_place")
+    return kept.withColumn("interview", interview).drop("_t", "_plan", "_url", "_phone", "_place")
 
 
 def evidence_json(interview: str = "interview", linked: Column | bool = True) -> Column:

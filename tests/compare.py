@@ -77,7 +77,8 @@ def main():
     args = sys.argv[1:]
     sf = args[0] if args else "sf0.01"
     sf_dir = f"/root/testdata/{sf}"
-    names = [n for n in QUERIES if not args[1:] or any(a in n for a in args[1:])]
+    names = [n for n in QUERIES if not args[1:] or any(
+        a in n or (a[0] == '@' and a[1:] in QUERIES[n].build.__module__) for a in args[1:])]
     spark = build_session(master="local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
         "spark.driver.memory": "12g", "spark.driver.host": "localhost"})
