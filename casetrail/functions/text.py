@@ -32,7 +32,7 @@ def casefold(c: str | Column) -> Column:
 
 
 def is_ascii(c: str | Column) -> Column:
-    return _col(c).rlike(r"^\p{ASCII}*$")
+    return F.octet_length(_col(c)) == F.char_length(_col(c))
 
 
 @F.pandas_udf(StringType())

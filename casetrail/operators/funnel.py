@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.dates import month_spine, period_of
-from .classify import outcome_metrics
+from ..functions.dates import period_of
 
 _OUTCOMES = fixed.METRICS[1:]
 
@@ -41,50 +40,90 @@ def change_or_null(current: Column | str, previous: Column | str) -> Column:
 def outcome_records(
     evidence: DataFrame, interview_events: DataFrame | None = None, offers: DataFrame | None = None,
 ) -> DataFrame:
-    """All outcome evidence as (metric, job_id, occurred_at, kind), linked or not."""
-    rows = outcome_metrics(evidence).select(
-        "metric", "job_id", "occurred_at", F.lit("message").alias("kind"))
+    """All outcome evidence, linked or not: kind, job_id, occurred_at and a flag per metric.
+
+    A record that feeds several metrics stays one row with several flags.
+    """
+    kinds = F.col("classification")
+    rows = evidence.select(
+        F.lit("message").alias("kind"), "job_id", "occurred_at",
+        *[kinds.isin(*types).alias(m) for m, types in fixed.OUTCOME_METRICS.items()],
+    ).where(" OR ".join(_OUTCOMES))
+
+    def fixed_metric(df: DataFrame, kind: str, at: str, metric: str) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), "job_id", F.col(at).alias("occurred_at"),
+                         *[F.lit(m == metric).alias(m) for m in _OUTCOMES])
+
     if interview_events is not None:
-        rows = rows.unionByName(interview_events.select(
-            F.lit("interviews").alias("metric"), "job_id", "occurred_at",
-            F.lit("event").alias("kind")))
+        rows = rows.unionByName(
+            fixed_metric(interview_events, "event", "occurred_at", "interviews"))
     if offers is not None:
-        rows = rows.unionByName(offers.select(
-            F.lit("offers").alias("metric"), "job_id",
-            F.col("offered_at").alias("occurred_at"), F.lit("offer").alias("kind")))
+        rows = rows.unionByName(fixed_metric(offers, "offer", "offered_at", "offers"))
     return rows
 
 
+def _per_metric(df: DataFrame, build, keep=()) -> DataFrame:
+    """One row per (input row, metric) with the columns that ``build(metric)`` names."""
+    stacked = F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), *build(m)) for m in _OUTCOMES]))
+    return df.select(*keep, stacked.alias("_m")).select(*keep, "_m.*")
+
+
 def evidence_quality(records: DataFrame) -> DataFrame:
     """Per metric: message records, linked and unlinked; events counted beside them."""
     is_message, is_event = F.col("kind") == "message", F.col("kind") == "event"
     unlinked = F.col("job_id").isNull()
-    return records.groupBy("metric").agg(
-        F.count_if(is_message).alias("evidence_records"),
-        F.count_if(is_message & ~unlinked).alias("linked_records"),
-        F.count_if(is_message & unlinked).alias("unlinked_records"),
-        F.count_if(is_event).alias("event_records"),
-        F.count_if(is_event & unlinked).alias("unlinked_event_records"),
-    )
-
-
-def dedupe_outcomes(records: DataFrame, members: DataFrame) -> DataFrame:
-    """Earliest evidence per (metric, application).
-
-    Evidence is first reduced to one row per (metric, job) with a map-side minimum: a job that
-    holds a third of all evidence enters the join as one row.
+    counters = {
+        "evidence_records": is_message, "linked_records": is_message & ~unlinked,
+        "unlinked_records": is_message & unlinked, "event_records": is_event,
+        "unlinked_event_records": is_event & unlinked,
+    }
+    wide = records.agg(*[
+        F.count_if(F.col(m) & hit).alias(f"{m}_{name}")
+        for m in _OUTCOMES for name, hit in counters.items()])
+    return _per_metric(wide, lambda m: [F.col(f"{m}_{n}").alias(n) for n in counters])
+
+
+def application_facts(members: DataFrame, records: DataFrame) -> DataFrame:
+    """One row per canonical application with everything the funnels count.
+
+    Evidence is first reduced to one row per job with map-side counts and minima, so a job that
+    holds a third of all evidence enters the join as one row.  One join and one grouping later
+    every analysis is a plain aggregation over this frame.
     """
-    per_job = records.where(F.col("job_id").isNotNull()).groupBy("metric", "job_id").agg(
-        F.min("occurred_at").alias("occurred_at"))
-    return per_job.join(members.select("job_id", "identity"), "job_id").groupBy(
-        "metric", "identity").agg(F.min("occurred_at").alias("occurred_at"))
-
-
-def _dated(applications: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """(metric, at) of applications and outcomes together."""
-    return applications.select(
-        F.lit("applications").alias("metric"), F.col("applied_at").alias("at")
-    ).unionByName(outcomes.select("metric", F.col("occurred_at").alias("at")))
+    per_job = records.where(F.col("job_id").isNotNull()).groupBy("job_id").agg(
+        *[F.max(m).alias(f"has_{m}") for m in _OUTCOMES],
+        *[F.min(F.when(F.col(m), F.col("occurred_at"))).alias(f"first_{m}") for m in _OUTCOMES],
+        F.max("occurred_at").alias("last_evidence"))
+    first = F.min_by(F.struct("role_family", "company"), "job_id")
+    return members.join(per_job, "job_id", "left").groupBy("identity").agg(
+        F.min("job_id").alias("job_id"), F.count("*").alias("job_count"),
+        F.min("applied_at").alias("applied_at"), F.min("imported_at").alias("imported_at"),
+        first.alias("_first"),
+        *[F.coalesce(F.max(f"has_{m}"), F.lit(False)).alias(f"has_{m}") for m in _OUTCOMES],
+        *[F.min(f"first_{m}").alias(f"first_{m}") for m in _OUTCOMES],
+        F.max("last_evidence").alias("last_evidence"),
+    ).withColumns({c: F.col("_first")[c] for c in ("role_family", "company")}).drop("_first")
+
+
+def dedupe_outcomes(facts: DataFrame) -> DataFrame:
+    """Earliest evidence per (metric, application); NULL only where no evidence is dated."""
+    return _per_metric(
+        facts, lambda m: [F.col(f"has_{m}").alias("has"), F.col(f"first_{m}").alias("occurred_at")],
+        keep=["identity"]).where("has").drop("has")
+
+
+def _dated(facts: DataFrame, imported: bool = False) -> DataFrame:
+    """(metric, at) of every dated application and outcome."""
+    rows = [F.struct(F.lit("applications").alias("metric"), F.col("applied_at").alias("at"))]
+    rows += [F.struct(F.lit(m).alias("metric"), F.col(f"first_{m}").alias("at"))
+             for m in _OUTCOMES]
+    if imported:
+        rows.append(F.struct(
+            F.lit("records_imported").alias("metric"),
+            F.when(F.col("applied_at").isNull(), F.col("imported_at")).alias("at")))
+    return facts.select(F.explode(F.array(*rows)).alias("_d")).select("_d.*").where(
+        "at IS NOT NULL")
 
 
 def window_counts(
@@ -100,7 +139,7 @@ def window_counts(
     bounds = sorted({b for _, s, e in windows for b in (s, e)})
     literal = F.array(*[F.lit(b.isoformat(sep=" ")).cast("timestamp_ntz") for b in bounds])
     segment = F.size(F.filter(literal, lambda b: b <= F.col("at")))
-    counted = dated.where(F.col("at").isNotNull()).groupBy(
+    counted = dated.groupBy(
         "metric", segment.alias("segment")).agg(F.count("*").alias("n"))
     place = {b: i for i, b in enumerate(bounds)}
     # window -> its segments; sized by the list of windows, never by the data
@@ -116,12 +155,9 @@ def window_counts(
     ])
 
 
-def period_counts(
-    applications: DataFrame, outcomes: DataFrame, start: datetime, end: datetime,
-) -> DataFrame:
+def period_counts(facts: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """One row of counts of the five metrics in [start, end); undated rows never count."""
-    return window_counts(_dated(applications, outcomes), [("period", start, end)]).select(
-        *fixed.METRICS)
+    return window_counts(_dated(facts), [("period", start, end)]).select(*fixed.METRICS)
 
 
 def _previous_month(at: datetime) -> datetime:
@@ -142,16 +178,15 @@ def overview_windows(now: datetime) -> list[tuple[str, datetime, datetime]]:
     ]
 
 
-def overview_totals(applications: DataFrame, outcomes: DataFrame) -> DataFrame:
+def overview_totals(facts: DataFrame) -> DataFrame:
     """One row: all-time totals, rates and the quality of the application records."""
-    apps = applications.agg(
+    counted = facts.agg(
         F.count("*").alias("applications"),
         F.coalesce(F.sum("job_count"), F.lit(0)).alias("raw_application_stage_rows"),
         F.count("applied_at").alias("dated_applications"),
+        *[F.count_if(f"has_{m}").alias(m) for m in _OUTCOMES],
     )
-    counted = outcomes.agg(*[F.count_if(F.col("metric") == m).alias(m) for m in _OUTCOMES])
-    both = apps.withColumn("_k", F.lit(1)).join(counted.withColumn("_k", F.lit(1)), "_k")
-    return both.select(
+    return counted.select(
         "applications", *_OUTCOMES,
         rate("recruiter_replies", "applications").alias("reply_rate"),
         rate("interviews", "applications").alias("interview_rate"),
@@ -164,10 +199,10 @@ def overview_totals(applications: DataFrame, outcomes: DataFrame) -> DataFrame:
     )
 
 
-def overview_periods(applications: DataFrame, outcomes: DataFrame, now: datetime) -> DataFrame:
+def overview_periods(facts: DataFrame, now: datetime) -> DataFrame:
     """Last 30/60/90 days and the 90 days before the last 30, with window bounds."""
     windows = overview_windows(now)
-    counts = window_counts(_dated(applications, outcomes), windows)
+    counts = window_counts(_dated(facts), windows)
     starts = F.create_map(*[F.lit(x) for w, s, _ in windows for x in (w, s.isoformat(sep=" "))])
     ends = F.create_map(*[F.lit(x) for w, _, e in windows for x in (w, e.isoformat(sep=" "))])
     return counts.select(
@@ -175,9 +210,9 @@ def overview_periods(applications: DataFrame, outcomes: DataFrame, now: datetime
         ends[F.col("window")].alias("window_end"), *fixed.METRICS)
 
 
-def overview_change(applications: DataFrame, outcomes: DataFrame, now: datetime) -> DataFrame:
+def overview_change(facts: DataFrame, now: datetime) -> DataFrame:
     """Per metric: last 30 days against a third of the previous 90 days."""
-    wide = window_counts(_dated(applications, outcomes), overview_windows(now))
+    wide = window_counts(_dated(facts), overview_windows(now))
     stacked = wide.where(F.col("window").isin("last_30_days", "previous_90_days")).select(
         "window", F.explode(F.array(*[
             F.struct(F.lit(m).alias("metric"), F.col(m).alias("n")) for m in fixed.METRICS
@@ -191,7 +226,7 @@ def overview_change(applications: DataFrame, outcomes: DataFrame, now: datetime)
 
 
 def monthly_activity(
-    applications: DataFrame, outcomes: DataFrame, now: datetime, months: int = 26,
+    facts: DataFrame, now: datetime, months: int = 26,
 ) -> DataFrame:
     """Gap-free months with the five metrics, the compared period and the change.
 
@@ -208,7 +243,7 @@ def monthly_activity(
         name = start.strftime("%Y-%m")
         windows += [(f"{name}|now", start, end), (f"{name}|before", before, before_end)]
         start = before
-    counts = window_counts(_dated(applications, outcomes), windows)
+    counts = window_counts(_dated(facts), windows)
     split = counts.select(
         F.substring("window", 1, 7).alias("period"), F.substring("window", 9, 6).alias("_side"),
         *fixed.METRICS)
@@ -228,13 +263,11 @@ def monthly_activity(
         .otherwise(F.lit("previous_full_month")).alias("comparison_basis"))
 
 
-def timeline(applications: DataFrame, outcomes: DataFrame, now: datetime) -> DataFrame:
+def timeline(facts: DataFrame, now: datetime) -> DataFrame:
     """Months from the first event to ``now`` without gaps; undated applications show up as
     ``records_imported`` in their import month.  Months after ``now`` are kept if they have
     events."""
-    undated = applications.where(F.col("applied_at").isNull()).select(
-        F.lit("records_imported").alias("metric"), F.col("imported_at").alias("at"))
-    rows = _dated(applications, outcomes).unionByName(undated).where(F.col("at").isNotNull())
+    rows = _dated(facts, imported=True)
     names = (*fixed.METRICS, "records_imported")
     counted = rows.groupBy(period_of("at").alias("period")).agg(*[
         F.count_if(F.col("metric") == m).alias(m) for m in names])
@@ -248,33 +281,20 @@ def timeline(applications: DataFrame, outcomes: DataFrame, now: datetime) -> Dat
     return counted.unionByName(zero).groupBy("period").agg(*[F.sum(m).alias(m) for m in names])
 
 
-def grouped_funnel(
-    applications: DataFrame, members: DataFrame, outcomes: DataFrame, records: DataFrame,
-    attribute: str, limit: int | None = None,
-) -> DataFrame:
+def grouped_funnel(facts: DataFrame, attribute: str, limit: int | None = None) -> DataFrame:
     """Funnel per role family or company.
 
-    Companies group without regard to case under their most common spelling.  Outcomes are
-    reduced to one row per application and linked evidence to one row per application before
-    anything is grouped by the attribute, so a hot label only meets partial aggregates.
+    Companies group without regard to case under their most common spelling.  Rows are first
+    grouped by spelling and then by label, both times with partial aggregation, so a label that
+    holds a third of the applications is no hot spot.
     """
     default = "Unknown" if attribute == "company" else "Unclassified"
     label = F.coalesce(F.nullif(F.trim(attribute), F.lit("")), F.lit(default))
     key = F.lower(label) if attribute == "company" else label
-    flags = outcomes.groupBy("identity").agg(*[
-        F.max((F.col("metric") == m).cast("int")).alias(m) for m in _OUTCOMES])
-    last_per_job = records.where(F.col("job_id").isNotNull()).groupBy("job_id").agg(
-        F.max("occurred_at").alias("_seen"))
-    seen = members.join(last_per_job, "job_id").groupBy("identity").agg(
-        F.max("_seen").alias("_seen"))
-    rows = applications.select(
-        "identity", "applied_at", label.alias("_label"), key.alias("_key")
-    ).join(flags, "identity", "left").join(seen, "identity", "left")
-    # spellings first: (key, label) partial groups, then one row per key
-    per_label = rows.groupBy("_key", "_label").agg(
+    per_label = facts.groupBy(key.alias("_key"), label.alias("_label")).agg(
         F.count("*").alias("_n"), F.count("applied_at").alias("_dated"),
-        *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in _OUTCOMES],
-        F.max(F.greatest("applied_at", "_seen")).alias("_last"))
+        *[F.count_if(f"has_{m}").alias(m) for m in _OUTCOMES],
+        F.max(F.greatest("applied_at", "last_evidence")).alias("_last"))
     grouped = per_label.groupBy("_key").agg(
         F.min_by("_label", F.struct(-F.col("_n"), F.col("_label"))).alias(attribute),
         F.sum("_n").alias("applications"), F.sum("_dated").alias("dated_applications"),
@@ -286,6 +306,3 @@ def grouped_funnel(
         rate("offers", "applications", 2).alias("offer_rate"), "last_activity",
     ).orderBy(F.desc("applications"), F.lower(attribute), attribute)
     return out.limit(limit) if limit else out
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + [month_spine.__name__]

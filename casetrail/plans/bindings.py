@@ -6,6 +6,7 @@ the operator on top of it.  ``<<name>>`` stands for a given table or another vie
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,16 +17,25 @@ TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
+_TEXT_TABLES = ("events", "documents", "pages", "conversations")
 NOW = "2001-08-15 00:00:00"
 THROUGH = "2001-08-10"
 FIRST_MONTH = "1995-01-01"
 
 
 def pick(index: str, values) -> str:
-    """CASE that chooses a value by a small integer."""
-    quoted = [v.replace("'", "''") for v in values]
-    arms = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(quoted))
-    return f"CASE {index} {arms} END"
+    """Chooses a value of a list by a small integer; written for each engine by :func:`_picks`."""
+    return f"pick[[{index} ## {'|'.join(values)}]]"
+
+
+def _picks(text: str, spark: bool) -> str:
+    def one(found: re.Match) -> str:
+        index, values = found.group(1), found.group(2).replace("'", "''")
+        if spark:   # the split of a constant is folded once, at planning
+            return f"element_at(split('{values}', '[|]'), CAST({index} AS INT) + 1)"
+        return f"(string_split('{values}', '|'))[CAST({index} AS INT) + 1]"
+
+    return re.sub(r"pick\[\[(.*?) ## (.*?)\]\]", one, text, flags=re.S)
 
 
 _COMPANIES = (
@@ -92,14 +102,18 @@ FROM <<orders>> o JOIN <<customer>> c ON o.o_custkey = c.c_custkey
 """
 
 VIEWS["applications"] = """
-SELECT id * 10 + 1 AS id, id AS job_id, custkey AS company_id,
-  CASE WHEN id % 16 = 0 THEN 'withdrawn' WHEN id % 12 = 0 THEN 'offer' ELSE status END AS status,
-  CASE WHEN id % 20 = 0 THEN NULL ELSE first_seen_at END AS applied_at,
-  first_seen_at AS created_at, last_seen_at AS updated_at,
-  CASE WHEN id % 8 = 0 THEN 'manual' ELSE 'linkedin_extension' END AS source,
-  CASE WHEN id % 28 = 0 THEN NULL ELSE id % 7 END AS resume_id,
-  CAST(id % 97 AS DOUBLE) AS match_score
-FROM <<jobs>> WHERE id % 4 = 0
+SELECT o_orderkey * 10 + 1 AS id, o_orderkey AS job_id, o_custkey AS company_id,
+  CASE WHEN o_orderkey % 16 = 0 THEN 'withdrawn' WHEN o_orderkey % 12 = 0 THEN 'offer'
+       WHEN o_orderstatus = 'F' THEN 'applied' WHEN o_orderstatus = 'P' THEN 'interview'
+       ELSE 'saved' END AS status,
+  CASE WHEN o_orderkey % 20 = 0 THEN NULL
+       ELSE o_orderdate + (o_orderkey % 30) * INTERVAL '1' DAY END AS applied_at,
+  o_orderdate + (o_orderkey % 30) * INTERVAL '1' DAY AS created_at,
+  o_orderdate + (o_orderkey % 60) * INTERVAL '1' DAY AS updated_at,
+  CASE WHEN o_orderkey % 8 = 0 THEN 'manual' ELSE 'linkedin_extension' END AS source,
+  CASE WHEN o_orderkey % 28 = 0 THEN NULL ELSE o_orderkey % 7 END AS resume_id,
+  CAST(o_orderkey % 97 AS DOUBLE) AS match_score
+FROM <<orders>> WHERE o_orderkey % 4 = 0
 """
 
 VIEWS["resumes"] = """
@@ -339,21 +353,35 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
-
-    def path(self, table: str) -> str:
-        return f"{self.sf_dir}/{table}.parquet"
+        self._tag = hashlib.sha1(self.sf_dir.encode()).hexdigest()[:8]
+        self._named: dict[str, str] = {}
+
+    def table(self, name: str) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in _TEXT_TABLES and len(df.inputFiles()) < cores:
+            # one small file is one task; text work on it is worth a shuffle to use all cores.
+            # A folder of many files is parallel already and is read as it lies.
+            return df.repartition(cores)
+        return df
 
     def _sql(self, name: str) -> str:
         if name in TABLES:
-            return f"parquet.`{self.path(name)}`"
+            if name not in self._named:
+                alias = f"given_{name}_{self._tag}"
+                self.table(name).createOrReplaceTempView(alias)
+                self._named[name] = alias
+            return self._named[name]
         return f"({_expand(VIEWS[name], self._sql)})"
 
     def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(_expand(text, self._sql))
+        return self.spark.sql(_picks(_expand(text, self._sql), spark=True))
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
         if name in TABLES:
-            return self.spark.read.parquet(self.path(name))
+            return self.table(name)
         if name in VIEWS:
             return self.sql(VIEWS[name])
         raise AttributeError(name)
@@ -373,7 +401,7 @@ def oracle_text(text: str) -> str:
         return name if name in TABLES else f"v_{name}"
 
     visit(text)
-    ctes = [f"v_{n} AS ({_expand(VIEWS[n], resolve)})" for n in needed]
+    ctes = [f"v_{n} AS ({_picks(_expand(VIEWS[n], resolve), spark=False)})" for n in needed]
     body = _expand(text, resolve).strip()
     if not ctes:
         return body

@@ -305,19 +305,21 @@ OUTCOMES_SQL = APPS_SQL + ", " + RECORDS_SQL + """, outcomes AS (SELECT r.metric
 DATED_SQL = OUTCOMES_SQL + ", dated AS (SELECT 'applications' AS metric, applied_at AS moment FROM apps UNION ALL SELECT metric, occurred_at FROM outcomes)"
 
 
-class Funnel:
-    """The frames behind the funnel queries for one data folder."""
+def records(v: Views) -> DataFrame:
+    return A.outcome_records(v.evidence, v.interview_events, v.offers)
 
-    def __init__(self, v: Views):
-        self.members = I.application_members(v.jobs, v.applications)
-        self.applications = I.canonical_applications(self.members)
-        self.records = A.outcome_records(v.evidence, v.interview_events, v.offers)
-        self.outcomes = A.dedupe_outcomes(self.records, self.members)
+
+def members(v: Views) -> DataFrame:
+    return I.application_members(v.jobs, v.applications)
+
+
+def facts(v: Views) -> DataFrame:
+    return A.application_facts(members(v), records(v))
 
 
 @query("canonical_applications", "I-05", f"WITH {APPS_SQL} SELECT identity, job_id, job_count, CAST(applied_at AS VARCHAR) AS applied_at, CAST(imported_at AS VARCHAR) AS imported_at, role_family, company FROM apps")
 def canonical_applications(v: Views) -> DataFrame:
-    a = Funnel(v).applications
+    a = I.canonical_applications(members(v))
     return a.withColumns({c: F.col(c).cast("string") for c in ("applied_at", "imported_at")})
 
 
@@ -391,12 +393,12 @@ def structured_identity(v: Views) -> DataFrame:
 @query("evidence_quality", "A-01", f"""WITH {RECORDS_SQL} SELECT metric, count_if(kind = 'message') AS evidence_records, count_if(kind = 'message' AND job_id IS NOT NULL) AS linked_records,
 count_if(kind = 'message' AND job_id IS NULL) AS unlinked_records, count_if(kind = 'event') AS event_records, count_if(kind = 'event' AND job_id IS NULL) AS unlinked_event_records FROM records GROUP BY metric""")
 def evidence_quality(v: Views) -> DataFrame:
-    return A.evidence_quality(Funnel(v).records)
+    return A.evidence_quality(records(v))
 
 
 @query("dedupe_outcomes", "A-02", f"WITH {OUTCOMES_SQL} SELECT metric, identity, CAST(occurred_at AS VARCHAR) AS occurred_at FROM outcomes")
 def dedupe_outcomes(v: Views) -> DataFrame:
-    return Funnel(v).outcomes.withColumn("occurred_at", F.col("occurred_at").cast("string"))
+    return A.dedupe_outcomes(facts(v)).withColumn("occurred_at", F.col("occurred_at").cast("string"))
 
 
 @cache
@@ -407,8 +409,7 @@ def _counts(start: str, end: str, prefix: str = "") -> str:
 
 @query("period_counts", "A-03", f"WITH {DATED_SQL} SELECT {_counts('1998-03-01', '1999-06-15 12:00:00')} FROM dated")
 def period_counts(v: Views) -> DataFrame:
-    f = Funnel(v)
-    return A.period_counts(f.applications, f.outcomes, datetime(1998, 3, 1), datetime(1999, 6, 15, 12))
+    return A.period_counts(facts(v), datetime(1998, 3, 1), datetime(1999, 6, 15, 12))
 
 
 @query("rates", "A-04 A-05 A-06 A-07", """WITH t AS (SELECT doc_id % 40 AS k, sum(quality)::BIGINT AS n, sum(toxic)::BIGINT AS d FROM labels GROUP BY 1)
@@ -430,8 +431,7 @@ def _r(n: str, d: str, digits: int = 1) -> str:
 SELECT applications, recruiter_replies, interviews, offers, rejections, {_r('recruiter_replies', 'applications')} AS reply_rate, {_r('interviews', 'applications')} AS interview_rate,
 {_r('offers', 'applications', 2)} AS offer_rate, raw AS raw_application_stage_rows, raw - applications AS collapsed_duplicate_or_overlapping_rows, dated AS dated_applications, applications - dated AS undated_applications FROM t""")
 def overview_totals(v: Views) -> DataFrame:
-    f = Funnel(v)
-    return A.overview_totals(f.applications, f.outcomes)
+    return A.overview_totals(facts(v))
 
 
 _WIN = [(w, str(s), str(e)) for w, s, e in A.overview_windows(_NOW)]
@@ -440,8 +440,7 @@ _WIN = [(w, str(s), str(e)) for w, s, e in A.overview_windows(_NOW)]
 @query("overview_periods", "A-08", f"WITH {DATED_SQL} " + " UNION ALL ".join(
     f"SELECT '{w}' AS \"window\", '{s}' AS window_start, '{e}' AS window_end, {_counts(s, e)} FROM dated" for w, s, e in _WIN))
 def overview_periods(v: Views) -> DataFrame:
-    f = Funnel(v)
-    return A.overview_periods(f.applications, f.outcomes, _NOW)
+    return A.overview_periods(facts(v), _NOW)
 
 
 def _one(metric: str, s: str, e: str) -> str:
@@ -453,8 +452,7 @@ def _one(metric: str, s: str, e: str) -> str:
     + """), u AS (SELECT *, round(previous_90_days / 3, 1) AS monthly_average FROM t)
 SELECT metric, current, previous_90_days, monthly_average, CASE WHEN monthly_average = 0 AND current = 0 THEN 0.0 WHEN monthly_average <> 0 THEN round((current - monthly_average) / monthly_average * 100, 1) END::DOUBLE AS change_percent FROM u""")
 def overview_change(v: Views) -> DataFrame:
-    f = Funnel(v)
-    return A.overview_change(f.applications, f.outcomes, _NOW)
+    return A.overview_change(facts(v), _NOW)
 
 
 _FUN = """, lab AS (SELECT *, {label} AS label, {key} AS k FROM apps), seen AS (SELECT m.identity, max(r.occurred_at) AS seen FROM records r JOIN members m ON m.job_id = r.job_id GROUP BY 1),
@@ -475,8 +473,7 @@ def _funnel_sql(attr: str, label: str, key: str, limit: str = "") -> str:
 
 
 def _funnel(v: Views, attribute: str, limit: int | None = None) -> DataFrame:
-    f = Funnel(v)
-    out = A.grouped_funnel(f.applications, f.members, f.outcomes, f.records, attribute, limit)
+    out = A.grouped_funnel(facts(v), attribute, limit)
     return out.withColumn("last_activity", F.col("last_activity").cast("string"))
 
 
@@ -507,8 +504,7 @@ SELECT strftime(s, '%Y-%m') AS period, {', '.join(fixed.METRICS)}, {', '.join('p
 {', '.join(f"CASE WHEN previous_{m} = 0 AND {m} = 0 THEN 0.0 WHEN previous_{m} <> 0 THEN round(({m} - previous_{m}) / previous_{m} * 100, 1) END::DOUBLE AS change_{m}" for m in fixed.METRICS)},
 s = TIMESTAMP '2001-08-01' AS is_month_to_date, CASE WHEN s = TIMESTAMP '2001-08-01' THEN 'previous_month_same_elapsed_days' ELSE 'previous_full_month' END AS comparison_basis FROM t""")
 def monthly_activity(v: Views) -> DataFrame:
-    f = Funnel(v)
-    return A.monthly_activity(f.applications, f.outcomes, _NOW)
+    return A.monthly_activity(facts(v), _NOW)
 
 
 _ALLM = (*fixed.METRICS, "records_imported")
@@ -519,5 +515,4 @@ c AS (SELECT strftime(moment, '%Y-%m') AS period, {', '.join(f"count_if(metric =
 spine AS (SELECT strftime(m, '%Y-%m') AS period FROM (SELECT unnest(generate_series((SELECT CAST(min(period) || '-01' AS TIMESTAMP) FROM c), TIMESTAMP '2001-08-01', INTERVAL 1 MONTH)) AS m) q)
 SELECT coalesce(c.period, s.period) AS period, {', '.join(f'coalesce({m}, 0) AS {m}' for m in _ALLM)} FROM spine s FULL JOIN c ON c.period = s.period""")
 def timeline(v: Views) -> DataFrame:
-    f = Funnel(v)
-    return A.timeline(f.applications, f.outcomes, _NOW)
+    return A.timeline(facts(v), _NOW)
