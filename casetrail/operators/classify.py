@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import extract as X
 from ..functions.dates import with_schedule
+from ..functions.once import computed_once
 from ..functions.text import (
     casefold, normalize_company_contact, normalize_text, parse_address, signature, squeeze,
     text_or_empty,
@@ -19,42 +20,34 @@ _SEPARATOR = "\x00"
 
 def rule_table() -> Column:
     """All phrases in rule order as one literal array of (rule, type, confidence, phrase)."""
-    return F.array(*[
-        F.struct(
-            F.lit(i).alias("rule"), F.lit(kind).alias("type"),
-            F.lit(float(confidence)).alias("confidence"), F.lit(phrase).alias("phrase"),
-        )
+    rows = [
+        f"named_struct('rule', {i}, 'type', '{kind}', 'confidence', {confidence}D, "
+        f"'phrase', '{phrase}')"
         for i, (kind, confidence, phrases) in enumerate(fixed.CLASSIFICATION_RULES)
         for phrase in phrases
-    ])
-
-
-def _bind(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often a lambda refers to it."""
-    return F.get(F.transform(F.array(value), use), 0)
+    ]
+    return F.expr(f"array({', '.join(rows)})")
 
 
 def with_rule_hits(df: DataFrame, subject="subject", body="body", sender="sender") -> DataFrame:
-    """Adds ``_hit``: the three fields normalised in one go (``text``) and the phrases found
-    (``hits``).
+    """Adds ``_text`` (the three fields, normalised in one go) and ``_hits`` (phrases found).
 
     The rules are a literal array walked by one higher-order function: 52 phrases times three
     fields as a CASE would outgrow what the JIT compiles.
     """
     parts = [F.translate(text_or_empty(c), _SEPARATOR, "\x01") for c in (subject, body, sender)]
-    joined = normalize_text(F.concat_ws(_SEPARATOR, *parts))
-
-    def found(text: Column) -> Column:
-        hits = F.filter(rule_table(), lambda r: F.contains(text, r["phrase"]))
-        return F.struct(text.alias("text"), hits.alias("hits"))
-
-    return df.withColumn("_hit", _bind(joined, found))
+    staged = computed_once(df, _text=normalize_text(F.concat_ws(_SEPARATOR, *parts)))
+    return computed_once(
+        staged, _hits=F.filter(rule_table(), lambda r: F.contains(F.col("_text"), r["phrase"])))
 
 
 def classify(df: DataFrame, subject="subject", body="body", sender="sender") -> DataFrame:
     """Adds classification, confidence, reasons and classifier_version; the first rule wins."""
+    first = F.get("_hits", F.lit(0))
+    winners = F.filter("_hits", lambda r: r["rule"] == first["rule"])
+    fields = F.split("_text", _SEPARATOR)
 
-    def why(fields: Column, r: Column) -> Column:
+    def why(r: Column) -> Column:
         said = [
             F.when(
                 F.contains(F.get(fields, F.lit(i)), r["phrase"]),
@@ -64,47 +57,29 @@ def classify(df: DataFrame, subject="subject", body="body", sender="sender") ->
         ]
         return F.filter(F.array(*said), lambda s: s.isNotNull())
 
-    def decide(hit: Column) -> Column:
-        first = F.get(hit["hits"], F.lit(0))
-        winners = F.filter(hit["hits"], lambda r: r["rule"] == first["rule"])
-        reasons = _bind(
-            F.split(hit["text"], _SEPARATOR),
-            lambda fields: F.flatten(F.transform(winners, lambda r: why(fields, r))))
-        return F.struct(
-            F.coalesce(first["type"], F.lit(fixed.UNKNOWN_TYPE)).alias("classification"),
-            F.coalesce(first["confidence"], F.lit(0.0)).alias("confidence"),
-            F.when(F.size(hit["hits"]) > 0, reasons)
-            .otherwise(F.array(F.lit(fixed.NO_RULE_REASON))).alias("reasons"),
-        )
-
-    decided = with_rule_hits(df, subject, body, sender).withColumn(
-        "_hit", _bind(F.col("_hit"), decide))
-    return decided.withColumns({
-        **{c: F.col("_hit")[c] for c in ("classification", "confidence", "reasons")},
+    return with_rule_hits(df, subject, body, sender).withColumns({
+        "classification": F.coalesce(first["type"], F.lit(fixed.UNKNOWN_TYPE)),
+        "confidence": F.coalesce(first["confidence"], F.lit(0.0)),
+        "reasons": F.when(F.size("_hits") > 0, F.flatten(F.transform(winners, why))).otherwise(
+            F.array(F.lit(fixed.NO_RULE_REASON))),
         "classifier_version": F.lit(fixed.CLASSIFIER_VERSION),
-    }).drop("_hit")
+    }).drop("_text", "_hits")
 
 
 def classification_conflicts(df: DataFrame, subject="subject", body="body", sender="sender"):
     """Adds classification, matched_types and status (supported, skipped or conflicting)."""
-
-    def weigh(hit: Column) -> Column:
-        kinds = F.transform(hit["hits"], lambda r: r["type"])
-        interview = F.array_intersect(kinds, F.array(*[F.lit(t) for t in fixed.INTERVIEW_TYPES]))
-        return F.struct(
-            F.coalesce(F.get(kinds, F.lit(0)), F.lit(fixed.UNKNOWN_TYPE)).alias("classification"),
-            F.array_sort(interview).alias("matched_types"))
-
-    weighed = with_rule_hits(df, subject, body, sender).withColumn(
-        "_hit", _bind(F.col("_hit"), weigh))
-    staged = weighed.withColumns(
-        {c: F.col("_hit")[c] for c in ("classification", "matched_types")}).drop("_hit")
+    kinds = F.transform("_hits", lambda r: r["type"])
+    interview = F.array_intersect(kinds, F.array(*[F.lit(t) for t in fixed.INTERVIEW_TYPES]))
+    staged = with_rule_hits(df, subject, body, sender).withColumns({
+        "classification": F.coalesce(F.get(kinds, F.lit(0)), F.lit(fixed.UNKNOWN_TYPE)),
+        "matched_types": F.array_sort(interview),
+    })
     status = (
         F.when(F.size("matched_types") > 1, F.lit("conflicting"))
         .when(F.get("matched_types", F.lit(0)) == F.col("classification"), F.lit("supported"))
         .otherwise(F.lit("skipped"))
     )
-    return staged.withColumn("status", status)
+    return staged.withColumn("status", status).drop("_text", "_hits")
 
 
 def candidate_summary(df: DataFrame) -> DataFrame:
@@ -167,8 +142,9 @@ def recruiter_evidence(
     local = F.regexp_replace(F.col("_mail"), "@[^@]*$", "")
     staged = staged.where(
         F.contains(F.col("_mail"), F.lit("@")) & ~local.isin(*fixed.GENERIC_LOCAL_PARTS)
-    ).withColumn("_company", X.contact_company(subject, body, F.col("_mail")))
-    staged = staged.withColumn("_key", normalize_company_contact("_company"))
+    )
+    staged = computed_once(staged, _company=X.contact_company(subject, body, F.col("_mail")))
+    staged = computed_once(staged, _key=normalize_company_contact("_company"))
     said = F.concat_ws("\n", F.col("_name"), text_or_empty(body))
     staged = staged.where(
         (F.col("_key") != "")

@@ -17,7 +17,8 @@ TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
-_TEXT_TABLES = ("events", "documents", "pages", "conversations")
+# row-heavy inputs of the text operators
+_TEXT_HEAVY = ("documents", "pages", "conversations", "messages")
 NOW = "2001-08-15 00:00:00"
 THROUGH = "2001-08-10"
 FIRST_MONTH = "1995-01-01"
@@ -210,13 +211,49 @@ GROUP BY l_suppkey, l_orderkey,
   CASE WHEN l_linenumber % 2 = 0 THEN 'sourcer' ELSE 'unknown' END
 """
 
+VIEWS["metadata"] = """
+SELECT message_identity, provider, account AS account_namespace, occurred_at AS received_at,
+  CASE WHEN contact_id % 3 = 0 THEN occurred_at + INTERVAL '1' HOUR ELSE NULL END AS internal_date,
+  CASE WHEN contact_id % 4 = 1 THEN '' ELSE 'Subject ' || CAST(id AS STRING) END AS subject,
+  CASE WHEN contact_id % 2 = 1 THEN '' ELSE 'a' || CAST(contact_id AS STRING) || '@x.example' END
+    AS sender
+FROM <<evidence>> WHERE contact_id % 5 <> 0
+"""
+
+VIEWS["reviewed_links"] = """
+SELECT message_identity, order_id AS job_id, 'checked' AS reason, imported_at AS updated_at
+FROM <<evidence>> WHERE job_id IS NULL AND id % 7 = 0
+"""
+
+def _schedules() -> list[str]:
+    """One sentence per residue of a message id: dates, times and zones, good and bad."""
+    out = []
+    for i in range(120):
+        if i % 5 == 0:
+            half = "AM" if i % 2 == 0 else "pm"
+            out.append(f"Meet on {_MONTHS[i % 12]} {1 + i % 28}, 2027 at {1 + i % 12}:{15 * (i % 4):02d}"
+                       f" {half} {_ZONES[i % 6]} for {15 + i % 60} minutes. ")
+        elif i % 5 == 1:
+            out.append(f"Meet 2027-0{1 + i % 9}-1{i % 10} from {1 + i % 14} AM to {1 + i % 12}:30 PM"
+                       f" {_ZONES[i % 6]}. ")
+        elif i % 5 == 2:
+            out.append(f"Pick 2027-02-30 or May {1 + i % 28}, 2027 at 19:75 PM. ")
+        else:
+            out.append("")
+    return out
+
+
+_BEFORE = ("Join https://zoom.us/j/", "Apply http://boards.greenhouse.io/a/", "Meeting ID: cal-",
+           "Location: ", "Call 415-555-1", "A phone screen, round ", "Ask about round ")
+_AFTER = ("). ", " . ", ". ", " Main Street; floor 2. ", ". ", ", soon. ", ". ")
+
 VIEWS["messages"] = f"""
 SELECT e.event_id AS id, 'v1:e' || CAST(e.event_id AS STRING) AS message_identity,
   CASE WHEN e.event_id % 4 = 3 THEN ''
        ELSE '<M' || CAST(e.event_id - e.event_id % 8 AS STRING) || ' @Mail.Example>'
   END AS message_id,
   {pick("e.user_id % 3", fixed.PROVIDERS)} AS provider,
-  CASE WHEN e.user_id % 2 = 0 THEN 'Owner@Gmail.Example ' ELSE '' END AS account,
+  {pick("e.user_id % 2", ("Owner@Gmail.Example ", ""))} AS account,
   CASE e.event_id % 4
     WHEN 0 THEN {pick("e.event_id % 53", _PHRASES)}
     WHEN 1 THEN j.company || ' ' || j.title || ' interview invitation'
@@ -228,42 +265,27 @@ SELECT e.event_id AS id, 'v1:e' || CAST(e.event_id AS STRING) AS message_identit
          || {pick("e.event_id % 5", ("aster-labs", "beacon", "cobalt", "falcon-retail", "kestrel"))}
          || '.com>' END AS sender,
   'Hello, ' || {pick("(e.event_id * 5 + e.user_id) % 53", _PHRASES)} || '. '
-  || CASE e.event_id % 5
-       WHEN 0 THEN 'Meet on {{m}} ' || CAST(1 + e.event_id % 28 AS STRING) || ', 2027 at '
-         || CAST(1 + e.event_id % 12 AS STRING) || ':' || lpad(CAST(15 * (e.event_id % 4) AS STRING), 2, '0')
-         || CASE WHEN e.event_id % 2 = 0 THEN ' AM ' ELSE ' pm ' END
-         || {{z}} || ' for ' || CAST(15 + e.event_id % 60 AS STRING) || ' minutes. '
-       WHEN 1 THEN 'Meet 2027-0' || CAST(1 + e.event_id % 9 AS STRING) || '-1' || CAST(e.event_id % 10 AS STRING)
-         || ' from ' || CAST(1 + e.event_id % 14 AS STRING) || ' AM to '
-         || CAST(1 + e.event_id % 12 AS STRING) || ':30 PM ' || {{z}} || '. '
-       WHEN 2 THEN 'Pick 2027-02-30 or May ' || CAST(1 + e.event_id % 28 AS STRING) || ', 2027 at 19:75 PM. '
-       ELSE '' END
+  || {pick("e.event_id % 120", _schedules())}
   || CASE e.event_id % 3
        WHEN 0 THEN 'Job ID: REQ-' || CAST(1000 + e.event_id % 700 AS STRING) || '. '
        WHEN 1 THEN 'See https://www.linkedin.com/jobs/view/' || CAST(4000000000 + e.event_id AS STRING) || ' . '
-       ELSE 'Position: ' || j.title || ' at ' || j.company || '. ' END
-  || CASE e.event_id % 7
-       WHEN 0 THEN 'Join https://zoom.us/j/' || CAST(e.event_id % 500 AS STRING) || '). '
-       WHEN 1 THEN 'Apply http://boards.greenhouse.io/a/' || CAST(e.event_id AS STRING) || ' . '
-       WHEN 2 THEN 'Meeting ID: cal-' || CAST(e.event_id % 300 AS STRING) || '. '
-       WHEN 3 THEN 'Location: ' || CAST(e.event_id % 90 AS STRING) || ' Main Street; floor 2. '
-       WHEN 4 THEN 'Call 415-555-' || lpad(CAST(e.event_id % 10000 AS STRING), 4, '0') || '. '
-       ELSE 'A phone screen for the ' || j.title || ' role at ' || j.company || ', soon. ' END
+       ELSE 'Position: ' || j.title || ' at ' || j.company || ', soon. ' END
+  || {pick("e.event_id % 7", _BEFORE)} || CAST(100 + e.event_id % 500 AS STRING)
+  || {pick("e.event_id % 7", _AFTER)}
   || '
 Regards,
 ' || {pick("e.event_id % 6", _NAMES)} || '
 ' || {pick("e.user_id % 4", _LINES)} || '
 https://linkedin.com/in/p' || CAST(e.user_id AS STRING) || '
-' || CASE WHEN e.event_id % 4 = 1 THEN '  Requirements: SQL and Spark 
+' || {pick("e.event_id % 4", ("", """  Requirements: SQL and Spark 
 We REQUIRE care
 
-' ELSE '' END AS body,
+""", "", ""))} AS body,
   e.ts AS received_at, e.ts + (e.event_id % 3) * INTERVAL '1' HOUR AS internal_date,
   CASE WHEN e.event_id % 5 = 4 THEN NULL ELSE e.event_id END AS job_id,
   e.user_id AS user_id, e.event_type AS event_type
 FROM <<events>> e JOIN <<jobs>> j ON j.id = e.event_id
-""".replace("{m}", "' || " + pick("e.event_id % 12", _MONTHS) + " || '").replace(
-    "{z}", pick("e.event_id % 6", _ZONES))
+"""
 
 VIEWS["postings"] = """
 SELECT p_partkey AS id, p_name AS title, p_brand AS company,
@@ -357,11 +379,15 @@ class Views:
         self._named: dict[str, str] = {}
 
     def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def _spread(self, name: str, df: DataFrame) -> DataFrame:
+        """One small file is one task; text work on it is worth a shuffle to use all cores.
+
+        A folder of many files is parallel already and is read as it lies.
+        """
         cores = self.spark.sparkContext.defaultParallelism
-        if name in _TEXT_TABLES and len(df.inputFiles()) < cores:
-            # one small file is one task; text work on it is worth a shuffle to use all cores.
-            # A folder of many files is parallel already and is read as it lies.
+        if name in _TEXT_HEAVY and len(df.inputFiles()) < cores:
             return df.repartition(cores)
         return df
 
@@ -381,9 +407,9 @@ class Views:
         if name.startswith("_"):
             raise AttributeError(name)
         if name in TABLES:
-            return self.table(name)
+            return self._spread(name, self.table(name))
         if name in VIEWS:
-            return self.sql(VIEWS[name])
+            return self._spread(name, self.sql(VIEWS[name]))
         raise AttributeError(name)
 
 
