@@ -125,7 +125,8 @@ FROM <<orders>>
 VIEWS["evidence"] = f"""
 SELECT l_orderkey * 10 + l_linenumber AS id,
   'v1:' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING)
-    || '-' || CAST(l_partkey AS STRING) AS message_identity,
+    || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS STRING)
+    AS message_identity,
   CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE l_orderkey END AS job_id,
   {pick("(l_orderkey + l_linenumber) % 23", _TYPES)} AS classification,
   {pick("l_suppkey % 3", fixed.PROVIDERS)} AS provider,
@@ -140,7 +141,8 @@ VIEWS["interview_events"] = f"""
 SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS interview_id,
   CASE WHEN l_partkey % 14 = 0 THEN NULL ELSE l_orderkey END AS job_id,
   'v1:' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING)
-    || '-' || CAST(l_partkey AS STRING) AS message_identity,
+    || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS STRING)
+    AS message_identity,
   {pick("l_suppkey % 3", fixed.PROVIDERS)} AS provider,
   {pick("l_linenumber % 4", ("invitation", "confirmation", "reschedule", "cancellation"))}
     AS event_type,
@@ -287,6 +289,24 @@ We REQUIRE care
 FROM <<events>> e JOIN <<jobs>> j ON j.id = e.event_id
 """
 
+VIEWS["confirmed"] = """
+SELECT 'v1:a' || CAST(e.event_id AS STRING) AS message_identity, e.event_id AS id,
+  CASE WHEN e.user_id % 2 = 0 THEN 'gmail' ELSE 'yahoo' END AS account,
+  CASE e.event_id % 5 WHEN 0 THEN '' WHEN 1 THEN upper(j.company)
+       WHEN 2 THEN replace(j.company, ' Labs', '') ELSE j.company END AS company,
+  CASE e.event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Staff ' || j.title
+       WHEN 2 THEN replace(j.title, 'Marketing', 'Brand') ELSE j.title END AS title,
+  CASE WHEN e.event_id % 8 = 7 THEN NULL
+       ELSE j.first_seen_at + (e.event_id % 60) * INTERVAL '7' HOUR END AS applied_at,
+  CASE WHEN e.event_id % 11 = 0 THEN j.external_id ELSE '' END AS job_ref,
+  lower(j.requisition_id) AS requisition_id,
+  CASE WHEN e.event_id % 6 = 0 THEN '3-MEDIUM' ELSE '' END AS inferred_role,
+  'https://x.example/' || CAST(e.event_id AS STRING) AS job_url,
+  CASE WHEN e.event_id % 4 = 0 THEN 'Lever' ELSE '' END AS ats_platform,
+  'm' || CAST(e.event_id AS STRING) AS message_id
+FROM <<events>> e JOIN <<jobs>> j ON j.id = e.event_id
+"""
+
 VIEWS["postings"] = """
 SELECT p_partkey AS id, p_name AS title, p_brand AS company,
   CASE p_size % 5

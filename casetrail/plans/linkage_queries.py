@@ -162,3 +162,148 @@ def company_timeline(v: Views) -> DataFrame:
 
 
 __all__ = ["MAIL_SQL", "casefold", "normalize_company_contact", "valid_company_sql"]
+
+# --- scored matching and text dictionaries -------------------------------------------------------
+from ..operators import candidates, dictionary, matching  # noqa: E402
+
+_MK = r"trim(regexp_replace(lower(regexp_replace({0}, '\b(inc\.?|llc|corp\.?|corporation|company|ltd\.?)\b', '', 'gi')), '[^a-z0-9]+', ' ', 'g'))"
+_TK = r"trim(regexp_replace(lower(regexp_replace({0}, '\b(sr\.?|senior|lead|principal|staff|manager|director|head of)\b', '', 'gi')), '[^a-z0-9]+', ' ', 'g'))"
+_DAYS = "abs(CAST(floor((epoch_us(m.applied_at) - epoch_us(j.first_seen_at)) / 86400000000.0) AS BIGINT))"
+MATCH_SQL = f"""m AS (SELECT message_identity, account, requisition_id AS req, {_MK.format('company')} AS ck, {_TK.format('title')} AS tk, applied_at, job_ref, inferred_role, requisition_id FROM <<confirmed>>),
+j AS (SELECT id, email_account AS account, lower(requisition_id) AS req, {_MK.format('company')} AS ck, {_TK.format('title')} AS tk, first_seen_at, external_id, role_family FROM <<jobs>>),
+cp AS (SELECT a.ck AS mc, b.ck AS jc, CASE WHEN a.ck = b.ck THEN 35.0 WHEN contains(a.ck, b.ck) OR contains(b.ck, a.ck) THEN 22.0 ELSE 0.0 END::DOUBLE AS pts FROM (SELECT DISTINCT ck FROM m WHERE ck <> '') a, (SELECT DISTINCT ck FROM j WHERE ck <> '') b WHERE contains(a.ck, b.ck) OR contains(b.ck, a.ck)),
+tp AS (SELECT a.tk AS mt, b.tk AS jt, CASE WHEN a.tk = b.tk THEN 35.0 ELSE len(list_intersect(list_distinct(string_split(a.tk, ' ')), list_distinct(string_split(b.tk, ' ')))) / greatest(len(list_distinct(string_split(a.tk, ' '))), len(list_distinct(string_split(b.tk, ' ')))) * 30 END::DOUBLE AS pts
+  FROM (SELECT DISTINCT tk FROM m WHERE tk <> '') a, (SELECT DISTINCT tk FROM j WHERE tk <> '') b),
+mp AS (SELECT DISTINCT account, req, ck, tk FROM m), jp AS (SELECT DISTINCT account, req, ck, tk FROM j),
+pp AS (SELECT a.account, a.req, a.ck, a.tk, b.account AS ja, b.req AS jr, b.ck AS jc, b.tk AS jt, CASE WHEN a.req <> '' AND a.req = b.req THEN 70.0 ELSE 0.0 END + coalesce(cp.pts, 0) + coalesce(tp.pts, 0) AS pts
+  FROM mp a JOIN jp b ON b.account IN ('', a.account) LEFT JOIN cp ON cp.mc = a.ck AND cp.jc = b.ck LEFT JOIN tp ON tp.mt = a.tk AND tp.jt = b.tk
+  WHERE CASE WHEN a.req <> '' AND a.req = b.req THEN 70.0 ELSE 0.0 END + coalesce(cp.pts, 0) + coalesce(tp.pts, 0) >= 25),
+sc AS (SELECT m.message_identity, j.id, pp.pts + CASE WHEN m.job_ref <> '' AND m.job_ref = j.external_id THEN 100 ELSE 0 END + coalesce(CASE WHEN {_DAYS} <= 3 THEN 20.0 WHEN {_DAYS} <= 14 THEN 10.0 WHEN {_DAYS} <= 45 THEN 4.0 END, 0) AS score
+  FROM m JOIN pp ON pp.account = m.account AND pp.req = m.req AND pp.ck = m.ck AND pp.tk = m.tk JOIN j ON j.account = pp.ja AND j.req = pp.jr AND j.ck = pp.jc AND j.tk = pp.jt
+  UNION ALL SELECT m.message_identity, j.id, 100 + coalesce(cp.pts, 0) + coalesce(tp.pts, 0) + CASE WHEN m.req <> '' AND m.req = j.req THEN 70 ELSE 0 END + coalesce(CASE WHEN {_DAYS} <= 3 THEN 20.0 WHEN {_DAYS} <= 14 THEN 10.0 WHEN {_DAYS} <= 45 THEN 4.0 END, 0)
+  FROM m JOIN j ON m.job_ref <> '' AND m.job_ref = j.external_id AND j.account IN ('', m.account) LEFT JOIN cp ON cp.mc = m.ck AND cp.jc = j.ck LEFT JOIN tp ON tp.mt = m.tk AND tp.jt = j.tk),
+w AS (SELECT message_identity, id, score, row_number() OVER (PARTITION BY message_identity ORDER BY score DESC, id) AS rn FROM sc WHERE score >= 45),
+matches AS (SELECT w.message_identity, w.id AS job_id, w.score, NOT (m.inferred_role <> '' AND j.role_family <> '' AND j.role_family <> m.inferred_role AND m.job_ref = '' AND m.requisition_id = '') AS matched
+  FROM w JOIN m ON m.message_identity = w.message_identity JOIN j ON j.id = w.id WHERE rn = 1)"""
+
+
+@query("match_applications", "J-01", f"WITH {MATCH_SQL} SELECT message_identity, job_id, round(score, 4)::DOUBLE AS score, matched::BIGINT AS matched FROM matches")
+def match_applications(v: Views) -> DataFrame:
+    got = matching.match_applications(v.confirmed, v.jobs).where("score >= 45")
+    return got.select("message_identity", "job_id", F.round("score", 4).alias("score"),
+                      F.col("matched").cast("int").cast("bigint").alias("matched"))
+
+
+_ORD = "ORDER BY c.applied_at NULLS FIRST, c.message_identity"
+
+
+def _filled(c: str) -> str:
+    return f"(array_agg(c.{c} {_ORD}) FILTER (WHERE c.{c} <> ''))[1]"
+
+
+@query("apply_match", "J-02", f"""WITH {MATCH_SQL}, x AS (SELECT c.*, t.job_id, t.score, coalesce(t.matched, FALSE) AS ok FROM <<confirmed>> c LEFT JOIN matches t ON t.message_identity = c.message_identity),
+g AS (SELECT job_id, {_filled('account')} AS account, {_filled('inferred_role')} AS role, {_filled('message_id')} AS mid, {_filled('requisition_id')} AS req, {_filled('job_url')} AS url, {_filled('company')} AS company, {_filled('title')} AS title,
+  min(c.applied_at) AS at, max(least(100.0, round(score, 1)))::DOUBLE AS score FROM x c WHERE ok GROUP BY job_id),
+n AS (SELECT x.*, CASE WHEN job_ref <> '' AND (o.id IS NULL OR o.email_account = '' OR o.email_account = account) THEN job_ref ELSE 'email-' || account || '-' || substr(regexp_replace(message_identity, '^v1:', ''), 1, 32) END AS ext
+  FROM x LEFT JOIN <<jobs>> o ON o.external_id <> '' AND o.external_id = x.job_ref WHERE NOT ok)
+SELECT coalesce(CAST(j.id AS VARCHAR), '') AS id, j.external_id, j.company, j.title, coalesce(nullif(j.email_account, ''), g.account, '') AS email_account, coalesce(nullif(trim(j.role_family, ''), ''), g.role, '') AS role_family,
+  CAST(coalesce(j.applied_at, g.at) AS VARCHAR) AS applied_at, coalesce(nullif(j.confirmation_id, ''), g.mid, '') AS confirmation_id, coalesce(nullif(j.url, ''), g.url, '') AS url, greatest(j.import_confidence, coalesce(g.score, 0)) AS import_confidence, j.status
+  FROM (SELECT j.* REPLACE (coalesce(nullif(j.company, ''), g.company, '') AS company) FROM <<jobs>> j LEFT JOIN g ON g.job_id = j.id) j LEFT JOIN g ON g.job_id = j.id
+UNION ALL SELECT '', ext, coalesce({_filled('company')}, ''), coalesce({_filled('title')}, 'Application confirmation'), account, coalesce({_filled('inferred_role')}, ''), CAST(min(c.applied_at) AS VARCHAR), coalesce({_filled('message_id')}, ''), coalesce({_filled('job_url')}, ''), 0.0, 'applied' FROM n c GROUP BY account, ext""".replace("min(c.applied_at) AS at", "min(c.applied_at) AS \"at\"").replace("g.at)", "g.\"at\")"))
+def apply_match(v: Views) -> DataFrame:
+    found = matching.match_applications(v.confirmed, v.jobs)
+    out = matching.apply_match(v.jobs, v.confirmed, found)
+    return out.select(
+        F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "external_id", "company", "title",
+        "email_account", "role_family", F.col("applied_at").cast("string").alias("applied_at"),
+        "confirmation_id", "url", "import_confidence", "status")
+
+
+_TERMS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '([a-z0-9]{{3,}})', 1), lambda x: NOT (x IN (" + _IN(fixed.STOP_TERMS) + "))))"
+
+
+@query("candidate_jobs", "J-09 W-08", f"""WITH m AS (SELECT message_identity, {_TERMS.format('subject')} AS s, {_TERMS.format('sender')} AS e FROM <<messages>> WHERE event_type = 'click'),
+j AS (SELECT company, title, list_sort(array_agg(id))[1:3] AS ids FROM (SELECT id, coalesce(nullif(company, ''), 'Unknown company') AS company, coalesce(nullif(title, ''), 'Unknown role') AS title FROM <<jobs>>) q GROUP BY company, title),
+k AS (SELECT company, title, ids, CASE WHEN company = 'Unknown company' THEN [] ELSE {_TERMS.format('company')} END AS c, {_TERMS.format('title')} AS t FROM j),
+p AS (SELECT m.message_identity, k.company, k.title, k.ids, CASE WHEN len(c) > 0 AND list_has_all(s, c) THEN 70 WHEN list_has_any(c, e) THEN 50 ELSE 0 END AS a, len(list_intersect(t, s)) AS n FROM m, k WHERE list_has_any(c, s) OR list_has_any(c, e)),
+z AS (SELECT message_identity, company, title, unnest(ids) AS id, a + CASE WHEN n >= 2 THEN least(30, n * 12) ELSE 0 END AS score,
+  concat_ws('; ', CASE WHEN a = 70 THEN 'company name in subject' WHEN a = 50 THEN 'company-like sender domain' END, CASE WHEN n >= 2 THEN 'role terms in subject' END) AS reasons FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY message_identity ORDER BY score DESC, company, title, id) AS rank FROM z WHERE score >= 70)
+SELECT message_identity, rank, id, company, title, score::BIGINT AS score, reasons FROM r WHERE rank <= 3""")
+def candidate_jobs(v: Views) -> DataFrame:
+    got = candidates.candidate_jobs(v.messages.where("event_type = 'click'"), v.jobs)
+    return got.select("message_identity", F.col("rank").cast("bigint").alias("rank"), "id", "company", "title",
+                      "score", F.array_join("reasons", "; ").alias("reasons"))
+
+
+_VOC = f"(SELECT DISTINCT trim(company) AS company FROM <<jobs>> WHERE {valid_company_sql('company')})"
+_CTXT = r"""regexp_matches(f, '(?:\b(?:at|with|from|for|join)\s+)\Q' || lower(company) || '\E(?:\W|$)|(?:^|\W)\Q' || lower(company) || '\E.{0,30}\b(?:role|position|team|interview|application)\b')
+ AND regexp_matches(f, '(?:^|[^a-z0-9])\Q' || lower(company) || '\E(?:[^a-z0-9]|$)')"""
+FOUND_SQL = f"""texts AS (SELECT message_identity, lower(subject || chr(10) || body) AS f FROM <<messages>>), vocabulary AS {_VOC},
+spotted AS (SELECT message_identity, company, row_number() OVER (PARTITION BY message_identity ORDER BY length(company) DESC, company) AS rn FROM texts JOIN vocabulary ON contains(f, lower(company)) WHERE {_CTXT})"""
+
+
+@query("company_in_text", "J-10", f"WITH {FOUND_SQL} SELECT message_identity, company FROM spotted WHERE rn = 1")
+def company_in_text(v: Views) -> DataFrame:
+    return dictionary.company_in_text(
+        v.messages, dictionary.company_vocabulary(v.jobs), F.concat_ws("\n", "subject", "body"))
+
+
+_SUM = """(SELECT m.id, CASE m.id % 6 WHEN 0 THEN 'Interview with ' || j.company || ' | round 2' WHEN 1 THEN j.company || ' phone interview' WHEN 2 THEN 'Onsite screen and ' || j.company
+ WHEN 3 THEN 'Phone screen at Zoom: ' || j.company || ' screen' WHEN 4 THEN 'Interview with Pat Owner' ELSE 'Lunch at ' || j.company END AS summary FROM <<confirmed>> m JOIN <<jobs>> j ON j.id = m.id)"""
+_SAYS = (r"interview with ([^|–—:-]+)", r"interview (?:at|with recruiter at) ([^|–—:-]+)", r"phone screen at ([^|–—:-]+)",
+         r"^(.{2,50}?)\s+(?:virtual\s+|video\s+|phone\s+|teams\s+|google meet\s+)?(?:interview|recruiter call|phone screen)")
+
+
+def _cand(p: str) -> str:
+    return (f"trim(regexp_replace(regexp_replace(regexp_extract(summary, '{p}', 1, 'i'), '\\b(?:inc\\.?|interview)\\b.*$', '', 'i'), '\\s+(?:teams|gms)$', '', 'i'), ' ,.-|–—:')")
+
+
+def _acc(i: int) -> str:
+    c = f"c{i}"
+    return (f"CASE WHEN {c} <> '' AND NOT regexp_matches({c}, '{fixed.GENERIC_COMPANY_PATTERN}') AND lower({c}) NOT IN ({_IN(fixed.MEETING_PLATFORMS)}) AND NOT contains(lower({c}), 'pat owner') THEN {c} END")
+
+
+_VOC2 = f"(SELECT DISTINCT trim(company) AS company FROM <<jobs>> WHERE length(trim(company)) >= 3 AND NOT regexp_matches(company, '{fixed.GENERIC_COMPANY_PATTERN}') AND lower(trim(company)) NOT IN ({_IN(fixed.MEETING_PLATFORMS)}))"
+_CTX2 = r"""regexp_matches(f, '(?:^|\W)\Q' || lower(company) || '\E(?:$|\W.{0,34}\b(?:interview|screen|recruiter call)\b|\b.{0,35}\b(?:interview|screen|recruiter call)\b)|\b(?:interview|screen|recruiter call)\b.{0,35}\b(?:with|at|from|and)\s+\Q' || lower(company) || '\E(?:\W|$)')"""
+
+
+@query("company_in_summary", "J-11", f"""WITH s AS (SELECT id, lower(summary) AS f, {', '.join(_cand(p) + f' AS c{i}' for i, p in enumerate(_SAYS))} FROM {_SUM} q),
+t AS (SELECT id, f, coalesce({', '.join(_acc(i) for i in range(4))}) AS said FROM s), vocabulary AS {_VOC2},
+d AS (SELECT id, company, row_number() OVER (PARTITION BY id ORDER BY length(company) DESC, company) AS rn FROM t JOIN vocabulary ON contains(f, lower(company))
+  WHERE said IS NULL AND regexp_matches(f, '\\b(interview|screen|recruiter call)\\b') AND {_CTX2.replace("(?:$|", "(?:").replace("|\\b.{0,35}", "|.{0,35}")} AND regexp_matches(f, '(?:^|[^a-z0-9])\\Q' || lower(company) || '\\E(?:[^a-z0-9]|$)'))
+SELECT t.id, coalesce(t.said, d.company) AS company FROM t LEFT JOIN d ON d.id = t.id AND d.rn = 1""")
+def company_in_summary(v: Views) -> DataFrame:
+    return dictionary.company_in_summary(
+        v.sql(_SUM[1:-1]), dictionary.company_vocabulary(v.jobs, only_valid=False), F.col("summary"),
+        "id", exclude_names=("Pat Owner",))
+
+
+def attribution_rows(v: Views):
+    """Messages with their linked job's company, title and role and the account default."""
+    from ..functions.predicates import account_profile
+
+    jobs = v.jobs.select(F.col("id").alias("job_id"), "company", "title", F.when(
+        F.col("id") % 3 == 0, F.col("role_family")).otherwise(F.lit("Unknown")).alias("role_family"))
+    rows = v.messages.withColumn("text_body", F.col("body")).join(jobs, "job_id", "left")
+    rows = account_profile(rows, v.profiles)
+    found = dictionary.company_in_text(
+        v.messages, dictionary.company_vocabulary(v.jobs), F.concat_ws("\n", "subject", "body"))
+    return rows, found
+
+
+_ROLE = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(said, '{p}') THEN '{n}' END" for n, p in fixed.SPECIFIC_ROLE_RULES + fixed.ROLE_RULES) + ", 'Unknown')"
+ATTRIBUTED_SQL = FOUND_SQL + f""", arows AS (SELECT m.id, m.message_identity, m.job_id, j.company, CASE WHEN m.job_id % 3 = 0 THEN j.role_family ELSE CASE WHEN j.id IS NOT NULL THEN 'Unknown' END END AS role_family,
+  coalesce(x.role, d.role, 'Unmapped') AS default_role, coalesce(j.title, '') || chr(10) || m.subject || chr(10) || m.body AS said, s.company AS seen
+  FROM <<messages>> m LEFT JOIN <<jobs>> j ON j.id = m.job_id LEFT JOIN <<profiles>> x ON x.account <> '' AND x.provider = m.provider AND x.account = lower(trim(m.account))
+  LEFT JOIN <<profiles>> d ON d.account = '' AND d.provider = m.provider LEFT JOIN spotted s ON s.message_identity = m.message_identity AND s.rn = 1),
+aroles AS (SELECT *, CASE WHEN lower(trim(coalesce(role_family, ''))) IN ('', 'unknown', 'unclassified') THEN {_ROLE} ELSE trim(role_family) END AS r FROM arows),
+attributed AS (SELECT id, message_identity, job_id, CASE WHEN {valid_company_sql("coalesce(company, '')")} THEN trim(company) ELSE coalesce(seen, '') END AS attributed_company,
+  CASE WHEN r = 'Unknown' AND default_role <> 'Unmapped' THEN default_role || ' (account default)' ELSE r END AS attributed_role,
+  CASE WHEN r <> 'Unknown' THEN 'explicit' WHEN default_role <> 'Unmapped' THEN 'default' ELSE 'none' END AS role_source FROM aroles)"""
+
+
+@query("message_attribution", "J-14", f"WITH {ATTRIBUTED_SQL} SELECT id, attributed_company, attributed_role, role_source FROM attributed")
+def message_attribution(v: Views) -> DataFrame:
+    return J.message_attribution(*attribution_rows(v)).select(
+        "id", "attributed_company", "attributed_role", "role_source")
