@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import extract as X
+from ..functions.once import computed_once
 from ..functions.text import casefold, text_or_empty
 
 _WORD = r"([\p{L}\p{N}]+)"
@@ -48,7 +49,8 @@ def company_in_text(
     name), neither join multiplies rows.  Only texts with a hit are read again to check the
     context.
     """
-    folded = messages.select(key, casefold(text_or_empty(text)).alias("_folded"))
+    folded = computed_once(messages.select(key, text_or_empty(text).alias("_t")),
+                           _folded=casefold("_t")).drop("_t")
     names = companies.select("company", casefold("company").alias("_name")).withColumn(
         "_words", F.slice(F.regexp_extract_all("_name", F.lit(_WORD), 1), 1, _LONGEST)
     ).where(F.size("_words") > 0).withColumns({
@@ -101,8 +103,10 @@ def company_in_summary(
         return F.when(ok, c)
 
     patterns = (*fixed.SUMMARY_COMPANY_PATTERNS, fixed.SUMMARY_PREFIX_PATTERN)
-    said = F.coalesce(*[accepted(_candidate(F.regexp_extract(text, p, 1))) for p in patterns])
-    staged = events.select(key, text.alias("_text"), said.alias("_said"))
+    made = {f"_c{i}": _candidate(F.regexp_extract("_text", p, 1)) for i, p in enumerate(patterns)}
+    staged = computed_once(events.select(key, text.alias("_text")), **made)
+    staged = computed_once(staged.select(key, "_text", *made), _said=F.coalesce(
+        *[accepted(F.col(c)) for c in made]))
     known = company_in_text(
         staged.where("_said IS NULL"), companies, F.col("_text"), key, _SUMMARY_CONTEXT)
     return staged.join(known, key, "left").select(

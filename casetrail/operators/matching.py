@@ -12,6 +12,8 @@ A match needs 45.
   company, not one pair per title.
 * A pair more than 20 points behind the best of its message can no longer win and is dropped
   before dates are looked at.
+* Normalised rows, profile pairs and surviving units are written to the shared folder, so each is
+  computed once and a lost executor costs no more than its own tasks.
 * Dates are an equi-join on 46-day buckets; a job too far away counts with its undated score.
 
 Every shortcut is a lower bound whose true value is also in the race, so the result equals the
@@ -20,13 +22,12 @@ brute-force search; the tests compare the two.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import elapsed_days
 from ..functions.text import normalize_company_match, normalize_title, text_or_empty
+from ..session import write_through
 
 THRESHOLD = 45.0
 _MAX_DATE = 20.0
@@ -85,68 +86,65 @@ def _rare_first(title: str) -> Column:
         F.slice(ordered, F.lit(1), F.floor(F.size(ordered) / 6).cast("int") + 1), lambda s: s["w"])
 
 
-def contained_names(small: DataFrame, large: DataFrame) -> DataFrame:
-    """(inner, outer) of names where ``inner`` is a proper part of ``outer``.
+def contained_names(names: DataFrame) -> DataFrame:
+    """(inner, outer) of distinct names where ``inner`` is a proper part of ``outer``.
 
     A name is filed under its rarest three-letter piece and looked up by every piece of the other
-    name.  The table of pieces is bounded by the alphabet of normalised names (37 letters).
+    names.  The table of pieces is bounded by the alphabet of normalised names (37 letters).
     """
-    def pieces(name: Column) -> Column:
-        width = F.least(F.lit(3), F.length(name))
-        return F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.length(name) - width + 1), lambda i: F.substr(name, i, width)))
-
-    outer = large.select(F.col("name").alias("outer"))
-    every = F.array_union(F.array_distinct(F.flatten(F.transform(
-        F.array(F.lit(1), F.lit(2), F.lit(3)),
-        lambda n: F.when(F.length("outer") >= n, F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length("outer") - n + 1, F.lit(1))),
-            lambda i: F.substr(F.col("outer"), i, n))).otherwise(F.array().cast("array<string>"))))),
-        F.array().cast("array<string>"))
-    shelves = outer.select("outer", F.explode(every).alias("piece"))
+    name = F.col("name")
+
+    def pieces(width: int) -> Column:
+        count = F.greatest(F.length(name) - (width - 1), F.lit(1))
+        cut = F.transform(F.sequence(F.lit(1), count), lambda i: F.substr(name, i, F.lit(width)))
+        return F.when(F.length(name) >= width, cut).otherwise(F.array().cast("array<string>"))
+
+    shelves = names.select(name.alias("outer"), F.explode(F.array_distinct(
+        F.concat(pieces(1), pieces(2), pieces(3)))).alias("piece"))
     counts = shelves.groupBy("piece").agg(F.count("*").alias("n"))
-    filed = small.select(F.col("name").alias("inner"), F.explode(pieces(F.col("name"))).alias("piece"))
-    filed = filed.join(counts, "piece").groupBy("inner").agg(
-        F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+    longest = F.least(F.lit(3), F.length("outer"))
+    filed = shelves.where(F.length("piece") == longest).join(counts, "piece").groupBy(
+        F.col("outer").alias("inner")).agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
     return filed.join(shelves, "piece").where(
         F.contains(F.col("outer"), F.col("inner")) & (F.col("inner") != F.col("outer"))
     ).select("inner", "outer")
 
 
 def _profile_pairs(mp: DataFrame, jp: DataFrame) -> DataFrame:
-    """Candidate pairs of profiles as (m_profile, j_profile, points)."""
-    def side(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(prefix + c) for c in (*_PROFILE, "profile")])
-
-    m = side(mp, "m_").withColumn(
-        "account", F.explode(F.array_distinct(F.array(F.lit(""), F.col("m_account")))))
-    j = side(jp, "j_").withColumn("account", F.col("j_account"))
-    m_word = m.withColumn("word", F.explode(_tokens("m_title_key")))
-    j_word = j.withColumn("word", F.explode(_tokens("j_title_key")))
-
-    by_req = m.where("m_req <> ''").join(j, (m["m_req"] == j["j_req"]) & (m["account"] == j["account"]))
-    by_company = m_word.where("m_company_key <> ''").join(
-        j_word, (m_word["m_company_key"] == j_word["j_company_key"])
-        & (m_word["account"] == j_word["account"]) & (m_word["word"] == j_word["word"]))
-    m_rare = m.withColumn("word", F.explode(_rare_first("m_title_key")))
-    j_rare = j.withColumn("word", F.explode(_rare_first("j_title_key")))
-    by_title = m_rare.join(
-        j_rare, (m_rare["account"] == j_rare["account"]) & (m_rare["word"] == j_rare["word"]))
-
-    names = [df.where("company_key <> ''").select(F.col("company_key").alias("name")).distinct()
-             for df in (mp, jp)]
-    inside = contained_names(names[0], names[1]).select(
-        F.col("inner").alias("mc"), F.col("outer").alias("jc")
-    ).unionByName(contained_names(names[1], names[0]).select(
-        F.col("outer").alias("mc"), F.col("inner").alias("jc")))
-    m_near = m_word.join(inside, m_word["m_company_key"] == inside["mc"])
-    by_part = m_near.join(
-        j_word, (m_near["jc"] == j_word["j_company_key"])
-        & (m_near["account"] == j_word["account"]) & (m_near["word"] == j_word["word"]))
-
-    columns = [p + c for p in ("m_", "j_") for c in (*_PROFILE, "profile")]
-    pairs = reduce(DataFrame.unionByName, [
-        p.select(*columns) for p in (by_req, by_company, by_title, by_part)])
+    """Candidate pairs of profiles as (m_profile, j_profile, points), by one join on block keys."""
+    names = mp.select("company_key").union(jp.select("company_key")).where(
+        "company_key <> ''").distinct().withColumnRenamed("company_key", "name")
+    inside = contained_names(names)
+    near = inside.select(F.col("inner").alias("company_key"), F.col("outer").alias("_near")).union(
+        inside.select("outer", "inner"))
+    related = mp.select("profile", "company_key").join(near, "company_key").select(
+        "profile", "_near").union(
+        mp.where("company_key <> ''").select("profile", "company_key"))
+
+    def keyed(df: DataFrame, keys: Column, prefix: str) -> DataFrame:
+        return df.select(
+            *[F.col(c).alias(prefix + c) for c in (*_PROFILE, "profile")],
+            F.explode(keys).alias("block"))
+
+    def tag(kind: str, *parts: Column) -> Column:
+        return F.concat_ws("|", F.lit(kind), *parts)
+
+    def common(words: Column) -> Column:
+        req = F.array(F.when(F.col("req") != "", tag("r", F.col("req"))))
+        return F.concat(F.filter(req, lambda k: k.isNotNull()),
+                        F.transform(words, lambda w: tag("t", w)))
+
+    def by_company(name: str) -> Column:
+        return F.transform(_tokens("title_key"), lambda w: tag("c", F.col(name), w))
+
+    m_keys = keyed(mp, common(_rare_first("title_key")), "m_").unionByName(
+        keyed(mp.join(related, "profile"), by_company("_near"), "m_"))
+    j_keys = keyed(jp, F.concat(common(_rare_first("title_key")), F.when(
+        F.col("company_key") != "", by_company("company_key")).otherwise(
+        F.array().cast("array<string>"))), "j_")
+    m_keys = m_keys.withColumn(
+        "_a", F.explode(F.array_distinct(F.array(F.lit(""), F.col("m_account")))))
+    pairs = m_keys.join(j_keys.withColumn("_a", F.col("j_account")), ["_a", "block"])
     scored = pairs.select("m_profile", "j_profile", text_points().alias("points"))
     return scored.where(F.col("points") >= THRESHOLD - _MAX_DATE).distinct()
 
@@ -159,14 +157,17 @@ def match_applications(messages: DataFrame, jobs: DataFrame) -> DataFrame:
     first_seen_at, role_family.  Ties go to the lower job id; messages no candidate reaches are
     left out.
     """
-    m = _profiles(messages, "account", "company", "title", "requisition_id")
-    j = _profiles(jobs, "email_account", "company", "title", "requisition_id")
+    m = write_through(_profiles(messages, "account", "company", "title", "requisition_id").select(
+        "message_identity", "applied_at", "job_ref", "requisition_id", "inferred_role", "profile",
+        *_PROFILE), "match-messages")
+    j = write_through(_profiles(jobs, "email_account", "company", "title", "requisition_id").select(
+        "id", "first_seen_at", "external_id", "role_family", "profile", *_PROFILE), "match-jobs")
     mp = m.select(*_PROFILE, "profile").distinct()
     jp = j.select(*_PROFILE, "profile").distinct()
 
     # units a message can match: a job profile, or all jobs of a company in an account
-    pairs = _profile_pairs(mp, jp).select(
-        F.col("m_profile").alias("profile"), F.col("j_profile").alias("unit"), "points")
+    pairs = write_through(_profile_pairs(mp, jp).select(
+        F.col("m_profile").alias("profile"), F.col("j_profile").alias("unit"), "points"), "match-pairs")
     company_unit = F.xxhash64(F.lit("company"), "account", "company_key")
     by_company = mp.where("company_key <> ''").select(
         "profile", F.explode(F.array_distinct(F.array(F.lit(""), F.col("account")))).alias("account"),
@@ -174,9 +175,9 @@ def match_applications(messages: DataFrame, jobs: DataFrame) -> DataFrame:
     every = pairs.unionByName(by_company)
     # company units may be empty, so only real pairs set the bar
     bar = pairs.groupBy("profile").agg(F.max("points").alias("_bar"))
-    kept = every.join(bar, "profile", "left").where(
+    kept = write_through(every.join(bar, "profile", "left").where(
         F.col("points") >= F.coalesce("_bar", F.lit(0.0)) - _MAX_DATE
-    ).select("profile", "unit", "points")
+    ).select("profile", "unit", "points"), "match-units")
 
     job_rows = j.select("id", "first_seen_at", F.explode(F.array(
         F.col("profile"), F.when(F.col("company_key") != "", company_unit))).alias("unit")
@@ -215,8 +216,8 @@ def match_applications(messages: DataFrame, jobs: DataFrame) -> DataFrame:
 
     winner = by_text.unionByName(by_id).groupBy("message_identity").agg(
         F.min_by(F.struct("job_id", "score"), F.struct(-F.col("score"), F.col("job_id"))).alias("_w"))
-    facts = messages.select("message_identity", "job_ref", "requisition_id", "inferred_role")
-    roles = jobs.select(F.col("id").alias("job_id"), F.col("role_family").alias("_role"))
+    facts = m.select("message_identity", "job_ref", "requisition_id", "inferred_role")
+    roles = j.select(F.col("id").alias("job_id"), F.col("role_family").alias("_role"))
     joined = winner.select("message_identity", "_w.*").join(facts, "message_identity").join(
         roles, "job_id")
     conflict = (
