@@ -110,7 +110,7 @@ def html_unescape(c: str | Column) -> Column:
     c = _col(c)
 
     def character(code: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32BE")
+        return F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
 
     codes = F.array_distinct(F.regexp_extract_all(c, F.lit("&#([0-9]{1,6});"), 1))
     decimal = F.aggregate(

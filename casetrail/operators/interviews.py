@@ -27,25 +27,37 @@ class Threads:
     def __init__(self, state: dict | None = None):
         state = state or {}
         self.by_event: dict[str, str] = dict(state.get("by_event", {}))
-        self.url: dict[str, str] = dict(state.get("url", {}))      # interview -> current link
-        self.start: dict[str, str] = dict(state.get("start", {}))  # interview -> current start
+        self.current = {k: dict(state.get(k, {})) for k in ("url", "start")}
+        self.order: dict[str, int] = {}
+        self.holders: dict[str, dict[str, set[str]]] = {"url": {}, "start": {}}
+        for kind, held in self.current.items():
+            for interview, value in held.items():
+                self.order.setdefault(interview, len(self.order))
+                self.holders[kind].setdefault(value, set()).add(interview)
 
     def state(self) -> dict:
-        return {"by_event": self.by_event, "url": self.url, "start": self.start}
+        return {"by_event": self.by_event, **self.current}
+
+    def _holding(self, kind: str, value: str) -> str | None:
+        held = self.holders[kind].get(value) if value else None
+        return min(held, key=self.order.__getitem__) if held else None
+
+    def _set(self, kind: str, interview: str, value: str) -> None:
+        old = self.current[kind].get(interview)
+        if old is not None and value:
+            self.holders[kind][old].discard(interview)
+        if old is None or value:
+            self.current[kind][interview] = value
+            self.holders[kind].setdefault(value, set()).add(interview)
 
     def assign(self, identity: str, event: str, url: str, start: str) -> str:
         found = self.by_event.get(event) if event else None
-        for value, current in ((url, self.url), (start, self.start)):
-            if found is None and value:
-                found = next((i for i, v in current.items() if v == value), None)
-        found = found or identity
+        found = found or self._holding("url", url) or self._holding("start", start) or identity
+        self.order.setdefault(found, len(self.order))
         if event:
             self.by_event.setdefault(event, found)
-        for value, current in ((url, self.url), (start, self.start)):
-            if value:
-                current[found] = value
-            else:
-                current.setdefault(found, "")
+        self._set("url", found, url)
+        self._set("start", found, start)
         return found
 
 
@@ -101,10 +113,11 @@ def split_threads(keyed: DataFrame, large: int = 100_000, rounds: int = 50) -> D
 def assign_interviews(events: DataFrame, large: int = 100_000) -> DataFrame:
     """``events`` of linked messages with ``interview_key`` (identity of the interview's first
     message)."""
-    linked = events.where(F.col("job_id").isNotNull()).withColumns({
+    linked = write_through(events.where(F.col("job_id").isNotNull()).withColumns({
         "event_identifier": text_or_empty("event_identifier"),
         "meeting_url": text_or_empty("meeting_url"),
-        "start_key": F.coalesce(F.col("scheduled_start").cast("string"), F.lit(""))})
+        "start_key": F.coalesce(F.col("scheduled_start").cast("string"), F.lit(""))}),
+        "interview-events")   # read several times below
     bare = (F.col("event_identifier") == "") & (F.col("meeting_url") == "") & (
         F.col("start_key") == "")
     # an event without any key can neither match nor be matched

@@ -4,20 +4,22 @@ The score of a pair adds identifiers (100 external, 70 requisition), company (35
 contained), title (35 equal, else up to 30 for shared words) and date (20, 10 or 4 by distance).
 A match needs 45.
 
-* Messages and jobs are reduced to distinct *profiles* (account, requisition, company key, title
-  key); copies, however many, cost one profile.
-* Dates add at most 20, so only profile pairs with 25 points of text can match.  Those are found
-  by equi-joins: same requisition; same company and a shared title word; one company inside the
-  other and a shared title word; nearly the same title.  "Same company" alone (35) is one unit per
-  company, not one pair per title.
-* A pair more than 20 points behind the best of its message can no longer win and is dropped
-  before dates are looked at.
-* Normalised rows, profile pairs and surviving units are written to the shared folder, so each is
-  computed once and a lost executor costs no more than its own tasks.
-* Dates are an equi-join on 46-day buckets; a job too far away counts with its undated score.
-
-Every shortcut is a lower bound whose true value is also in the race, so the result equals the
-brute-force search; the tests compare the two.
+What a message has in common with a job is one of a few *units*: the requisition; the company; the
+title; company and title; all of them.  All jobs of a unit score at least the unit's points with
+the message, and a job that scores more does so through a richer unit that is in the race as well.
+So the best over units is the best over jobs, and no unit pairs every message with every job:
+
+* messages and jobs are reduced to distinct keys first; copies cost one key;
+* company-and-title units are found by one equi-join on (account, related company, title word),
+  full ones on (account, requisition, related company or title word), titles by their rarest words;
+* dates add at most 20, so units with fewer than 25 points, or more than 20 behind the message's
+  best, are dropped before dates are looked at;
+* dates are an equi-join on 46-day buckets of (unit, first seen) with the lowest job id; a job too
+  far away counts with its undated score;
+* normalised rows and surviving units are written to the shared folder, so each is computed once
+  and a lost executor costs no more than its own tasks.
+
+The tests compare the result with the brute-force search.
 """
 
 from __future__ import annotations
@@ -110,43 +112,87 @@ def contained_names(names: DataFrame) -> DataFrame:
     ).select("inner", "outer")
 
 
-def _profile_pairs(mp: DataFrame, jp: DataFrame) -> DataFrame:
-    """Candidate pairs of profiles as (m_profile, j_profile, points), by one join on block keys."""
+def _unit(kind: str, *columns: str) -> Column:
+    return F.xxhash64(F.lit(kind), *columns)
+
+
+def _accounts(df: DataFrame) -> DataFrame:
+    """A message may match jobs of its own account or of none."""
+    return df.withColumn("account", F.explode(F.array_distinct(F.array(F.lit(""), F.col("account")))))
+
+
+def _word_keys(column: str) -> Column:
+    return F.transform(_tokens(column), lambda w: F.concat(F.lit("w|"), w))
+
+
+def _pairs(m: DataFrame, j: DataFrame, keys: list[str], near: DataFrame, lead: Column, words: bool):
+    """Pairs of distinct key rows that share ``lead`` and a block: a related company with a title
+    word (``words``), or either of them."""
+    def blocks(df: DataFrame, prefix: str, company: str) -> DataFrame:
+        named = F.concat(F.lit("c|"), F.col(company))
+        if words:
+            block = F.transform(_word_keys("title_key"), lambda w: F.concat(named, F.lit("|"), w))
+        else:
+            block = F.concat(F.array(named), _word_keys("title_key"))
+        return df.select(*[F.col(c).alias(prefix + c) for c in keys], "account", lead.alias("_lead"),
+                         F.explode(block).alias("_block")).distinct()
+
+    related = m.join(near, "company_key").unionByName(m.withColumn("_near", F.col("company_key")))
+    left = blocks(_accounts(related), "m_", "_near")
+    right = blocks(j.withColumn("_near", F.col("company_key")), "j_", "_near").withColumn(
+        "j_account", F.col("account"))
+    return left.join(right, ["account", "_lead", "_block"])
+
+
+def _candidate_units(mp: DataFrame, jp: DataFrame) -> DataFrame:
+    """(profile, unit, points): every unit a message profile can match, with its points."""
     names = mp.select("company_key").union(jp.select("company_key")).where(
         "company_key <> ''").distinct().withColumnRenamed("company_key", "name")
     inside = contained_names(names)
     near = inside.select(F.col("inner").alias("company_key"), F.col("outer").alias("_near")).union(
         inside.select("outer", "inner"))
-    related = mp.select("profile", "company_key").join(near, "company_key").select(
-        "profile", "_near").union(
-        mp.where("company_key <> ''").select("profile", "company_key"))
-
-    def keyed(df: DataFrame, keys: Column, prefix: str) -> DataFrame:
-        return df.select(
-            *[F.col(c).alias(prefix + c) for c in (*_PROFILE, "profile")],
-            F.explode(keys).alias("block"))
-
-    def tag(kind: str, *parts: Column) -> Column:
-        return F.concat_ws("|", F.lit(kind), *parts)
-
-    def common(words: Column) -> Column:
-        req = F.array(F.when(F.col("req") != "", tag("r", F.col("req"))))
-        return F.concat(F.filter(req, lambda k: k.isNotNull()),
-                        F.transform(words, lambda w: tag("t", w)))
-
-    def by_company(name: str) -> Column:
-        return F.transform(_tokens("title_key"), lambda w: tag("c", F.col(name), w))
-
-    m_keys = keyed(mp, common(_rare_first("title_key")), "m_").unionByName(
-        keyed(mp.join(related, "profile"), by_company("_near"), "m_"))
-    j_keys = keyed(jp, F.concat(common(_rare_first("title_key")), F.when(
-        F.col("company_key") != "", by_company("company_key")).otherwise(
-        F.array().cast("array<string>"))), "j_")
-    m_keys = m_keys.withColumn(
-        "_a", F.explode(F.array_distinct(F.array(F.lit(""), F.col("m_account")))))
-    pairs = m_keys.join(j_keys.withColumn("_a", F.col("j_account")), ["_a", "block"])
-    scored = pairs.select("m_profile", "j_profile", text_points().alias("points"))
-    return scored.where(F.col("points") >= THRESHOLD - _MAX_DATE).distinct()
+
+    own = _accounts(mp)
+    by_company = own.where("company_key <> ''").select(
+        "profile", _unit("c", "account", "company_key").alias("unit"), F.lit(35.0).alias("points"))
+    by_req = own.where("req <> ''").select(
+        "profile", _unit("r", "account", "req").alias("unit"), F.lit(70.0).alias("points"))
+
+    titles = [df.select("title_key").distinct().withColumn(
+        "word", F.explode(_rare_first("title_key"))) for df in (mp, jp)]
+    alike = titles[0].withColumnRenamed("title_key", "m_title").join(
+        titles[1].withColumnRenamed("title_key", "j_title"), "word").select(
+        "m_title", "j_title", title_points(F.col("m_title"), F.col("j_title")).alias("points")
+    ).where(F.col("points") >= THRESHOLD - _MAX_DATE).distinct()
+    by_title = own.join(alike, own["title_key"] == alike["m_title"]).select(
+        "profile", _unit("t", "account", "j_title").alias("unit"), "points")
+
+    # company and title, whatever the requisition
+    keys = ["company_key", "title_key"]
+    m2, j2 = (df.where("company_key <> '' AND title_key <> ''").select("account", *keys).distinct()
+              for df in (mp, jp))
+    points = company_points(F.col("m_company_key"), F.col("j_company_key")) + title_points(
+        F.col("m_title_key"), F.col("j_title_key"))
+    texts = _pairs(m2, j2, keys, near, F.lit(""), words=True).select(
+        "account", "m_company_key", "m_title_key",
+        _unit("ct", "account", "j_company_key", "j_title_key").alias("unit"), points.alias("points")
+    ).where(F.col("points") >= THRESHOLD - _MAX_DATE).distinct()
+    by_text = own.join(
+        texts, (own["company_key"] == texts["m_company_key"]) & (own["title_key"] == texts["m_title_key"])
+        & (own["account"] == texts["account"])).select("profile", "unit", "points")
+
+    # the same requisition and something of the text
+    m3, j3 = (df.where("req <> ''").select("account", "req", *keys).distinct() for df in (mp, jp))
+    full = _pairs(m3, j3, ["req", *keys], near, F.col("req"), words=False).select(
+        "account", "m_req", "m_company_key", "m_title_key",
+        _unit("f", "account", "j_req", "j_company_key", "j_title_key").alias("unit"),
+        (points + 70.0).alias("points")).distinct()
+    by_full = own.join(
+        full, (own["req"] == full["m_req"]) & (own["company_key"] == full["m_company_key"])
+        & (own["title_key"] == full["m_title_key"]) & (own["account"] == full["account"])).select(
+        "profile", "unit", "points")
+    return by_company.unionByName(by_req).unionByName(by_title).unionByName(by_text).unionByName(
+        by_full)
 
 
 def match_applications(messages: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -165,25 +211,26 @@ def match_applications(messages: DataFrame, jobs: DataFrame) -> DataFrame:
     mp = m.select(*_PROFILE, "profile").distinct()
     jp = j.select(*_PROFILE, "profile").distinct()
 
-    # units a message can match: a job profile, or all jobs of a company in an account
-    pairs = write_through(_profile_pairs(mp, jp).select(
-        F.col("m_profile").alias("profile"), F.col("j_profile").alias("unit"), "points"), "match-pairs")
-    company_unit = F.xxhash64(F.lit("company"), "account", "company_key")
-    by_company = mp.where("company_key <> ''").select(
-        "profile", F.explode(F.array_distinct(F.array(F.lit(""), F.col("account")))).alias("account"),
-        "company_key").select("profile", company_unit.alias("unit"), F.lit(35.0).alias("points"))
-    every = pairs.unionByName(by_company)
-    # company units may be empty, so only real pairs set the bar
-    bar = pairs.groupBy("profile").agg(F.max("points").alias("_bar"))
-    kept = write_through(every.join(bar, "profile", "left").where(
-        F.col("points") >= F.coalesce("_bar", F.lit(0.0)) - _MAX_DATE
-    ).select("profile", "unit", "points"), "match-units")
-
-    job_rows = j.select("id", "first_seen_at", F.explode(F.array(
-        F.col("profile"), F.when(F.col("company_key") != "", company_unit))).alias("unit")
-    ).where("unit IS NOT NULL")
-    dates = job_rows.groupBy("unit", "first_seen_at").agg(F.min("id").alias("id"))
-    undated = job_rows.groupBy("unit").agg(F.min("id").alias("id"))
+    def when(filled: str, unit: Column) -> Column:
+        return F.when(F.expr(filled), unit)
+
+    units = F.filter(F.array(
+        when("company_key <> ''", _unit("c", "account", "company_key")),
+        when("req <> ''", _unit("r", "account", "req")),
+        when("title_key <> ''", _unit("t", "account", "title_key")),
+        when("company_key <> '' AND title_key <> ''", _unit("ct", "account", "company_key", "title_key")),
+        when("req <> ''", _unit("f", "account", "req", "company_key", "title_key")),
+    ), lambda u: u.isNotNull())
+    dates = write_through(j.select("id", "first_seen_at", F.explode(units).alias("unit")).groupBy(
+        "unit", "first_seen_at").agg(F.min("id").alias("id")), "match-units")
+    undated = dates.groupBy("unit").agg(F.min("id").alias("id"))
+
+    every = write_through(_candidate_units(mp, jp).groupBy("profile", "unit").agg(
+        F.max("points").alias("points")).join(undated.select("unit"), "unit", "left_semi"),
+        "match-candidates")
+    bar = every.groupBy("profile").agg(F.max("points").alias("_bar"))
+    kept = every.join(bar, "profile").where(
+        F.col("points") >= F.col("_bar") - _MAX_DATE).select("profile", "unit", "points")
 
     asked = m.select("profile", "applied_at").distinct()
     day = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01")) / _BUCKET_DAYS)
