@@ -57,10 +57,11 @@ def company_in_text(
         "_phrase": F.array_join("_words", " "), "_first": F.get("_words", F.lit(0)),
         "_n": F.size("_words")})
     starts = names.groupBy("_first").agg(F.collect_set("_n").alias("_lengths"))
-    words = folded.select(key, F.regexp_extract_all("_folded", F.lit(_WORD), 1).alias("_w"))
-    windows = words.select(
-        key, F.posexplode("_w").alias("_pos", "_first"), "_w"
-    ).select(key, "_first", F.slice("_w", F.col("_pos") + 1, F.lit(_LONGEST)).alias("_window"))
+    # windows are cut before the explode, so an exploded row holds a window and not the whole text
+    words = F.regexp_extract_all("_folded", F.lit(_WORD), 1)
+    cut = F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.slice("_w", i, F.lit(_LONGEST)))
+    windows = folded.select(key, words.alias("_w")).where(F.size("_w") > 0).select(
+        key, F.explode(cut).alias("_window")).withColumn("_first", F.get("_window", F.lit(0)))
     phrases = windows.join(starts, "_first").select(
         key, "_window", F.explode("_lengths").alias("_n")
     ).where(F.size("_window") >= F.col("_n")).select(

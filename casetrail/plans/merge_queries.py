@@ -195,11 +195,16 @@ def table_digest(v: Views) -> DataFrame:
     return Q.table_digest(v.documents.select("doc_id", "lang", "text"))
 
 
-@query("preserved", "Q-03", "SELECT TRUE::BIGINT AS preserved")
+@query("preserved", "Q-03", """WITH b AS (SELECT id, status FROM <<jobs>>), a AS (SELECT id, CASE WHEN id > 500 THEN 'changed' ELSE status END AS status FROM <<jobs>>)
+SELECT (NOT EXISTS (SELECT * FROM b WHERE id <= 500 EXCEPT SELECT * FROM a WHERE id <= 500) AND NOT EXISTS (SELECT * FROM a WHERE id <= 500 EXCEPT SELECT * FROM b WHERE id <= 500))::BIGINT AS preserved,
+ (NOT EXISTS (SELECT * FROM b EXCEPT SELECT * FROM a))::BIGINT AS all_preserved FROM (SELECT 1) q""")
 def preserved(v: Views) -> DataFrame:
-    after = v.jobs.withColumn("status", F.when(F.col("id") > 500, F.lit("changed")).otherwise(F.col("status")))
-    return Q.preserved(v.jobs.select("id", "status"), after.select("id", "status"), 500).select(
-        F.col("preserved").cast("int").cast("bigint").alias("preserved"))
+    before = v.jobs.select("id", "status")
+    after = before.withColumn("status", F.when(F.col("id") > 500, F.lit("changed")).otherwise(F.col("status")))
+    old = Q.preserved(before, after, 500).withColumn("_k", F.lit(1))
+    every = Q.preserved(before, after, 2**62).select(F.col("preserved").alias("all_preserved"), F.lit(1).alias("_k"))
+    return old.join(every, "_k").select(*[
+        F.col(c).cast("int").cast("bigint").alias(c) for c in ("preserved", "all_preserved")])
 
 
 @query("state_delta", "Q-04", "SELECT 'jobs' AS \"table\", (SELECT count(*) FROM <<jobs>>) - (SELECT count(*) FROM <<jobs>> WHERE id % 3 <> 0) AS delta UNION ALL SELECT 'evidence', 0")
@@ -238,14 +243,16 @@ def check_constraints(v: Views) -> DataFrame:
         "resume": F.col("resume_id") < 6})
 
 
-@query("idempotent_import", "Q-08", "SELECT 1::BIGINT AS equal")
+@query("idempotent_import", "Q-08", "SELECT 1::BIGINT AS equal, count(DISTINCT message_id) AS rows FROM <<messages>>")
 def idempotent_import(v: Views) -> DataFrame:
     from ..operators.identity import new_only
 
-    rows = v.messages.select("message_identity", "subject")
-    first = new_only(rows, rows.limit(0))
-    second = first.unionByName(new_only(rows, first))
-    return Q.digests_equal(first, second).select(F.col("equal").cast("int").cast("bigint").alias("equal"))
+    rows = v.messages.select("message_id")
+    first = new_only(rows, rows.limit(0), "message_id")
+    second = first.unionByName(new_only(rows, first, "message_id"))
+    same = Q.digests_equal(first, second).withColumn("_k", F.lit(1))
+    size = second.agg(F.count("*").alias("rows")).withColumn("_k", F.lit(1))
+    return same.join(size, "_k").select(F.col("equal").cast("int").cast("bigint").alias("equal"), "rows")
 
 
 @query("failure_ledger", "Q-09", "SELECT event_id AS id, 'unreadable payload' AS error FROM events WHERE event_id % 6 = 5")
