@@ -9,6 +9,7 @@ from .. import fixed
 from ..functions import extract as X
 from ..functions.once import computed_once
 from ..functions.text import casefold, text_or_empty
+from ..session import write_through
 
 _WORD = r"([\p{L}\p{N}]+)"
 _LONGEST = 12   # words of a name used for the lookup; longer names are verified in full anyway
@@ -51,12 +52,16 @@ def company_in_text(
     """
     folded = computed_once(messages.select(key, text_or_empty(text).alias("_t")),
                            _folded=casefold("_t")).drop("_t")
+    # as written tables both have a known size: Spark broadcasts them while they are small, and the
+    # words of the texts are then filtered where they lie instead of being shuffled
     names = companies.select("company", casefold("company").alias("_name")).withColumn(
         "_words", F.slice(F.regexp_extract_all("_name", F.lit(_WORD), 1), 1, _LONGEST)
     ).where(F.size("_words") > 0).withColumns({
         "_phrase": F.array_join("_words", " "), "_first": F.get("_words", F.lit(0)),
-        "_n": F.size("_words")})
-    starts = names.groupBy("_first").agg(F.collect_set("_n").alias("_lengths"))
+        "_n": F.size("_words")}).select("company", "_name", "_phrase", "_first", "_n")
+    names = write_through(names, "dictionary")
+    starts = write_through(
+        names.groupBy("_first").agg(F.collect_set("_n").alias("_lengths")), "dictionary-starts")
     # windows are cut before the explode, so an exploded row holds a window and not the whole text
     words = F.regexp_extract_all("_folded", F.lit(_WORD), 1)
     cut = F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.slice("_w", i, F.lit(_LONGEST)))
@@ -66,7 +71,7 @@ def company_in_text(
         key, "_window", F.explode("_lengths").alias("_n")
     ).where(F.size("_window") >= F.col("_n")).select(
         key, F.array_join(F.slice("_window", F.lit(1), F.col("_n")), " ").alias("_phrase"))
-    hits = phrases.distinct().join(names.select("_phrase", "company", "_name"), "_phrase")
+    hits = phrases.join(names.select("_phrase", "company", "_name"), "_phrase")
     # the names in one text are bounded by its words
     per_text = hits.groupBy(key).agg(
         F.collect_set(F.struct("company", "_name")).alias("_names"))
