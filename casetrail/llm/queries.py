@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii
+from . import bpe, pii, toxicity
 from .common import hex_sha256, table
 
 
@@ -32,5 +32,13 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         hex_sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_pii, op6_bpe)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (~F.coalesce(toxicity.training_row(), F.lit(True))).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op4_pii, op6_bpe, op9_toxicity)}
 ORACLES: dict[str, str] = {}
