@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, toxicity
+from . import bpe, mixing, pii, simhash, toxicity
 from .common import hex_sha256, table
 
 
@@ -45,5 +45,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_pii, op6_bpe, op9_toxicity, op10_mixing)}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op4_pii, op6_bpe, op8_simhash, op9_toxicity, op10_mixing)}
 ORACLES: dict[str, str] = {}
