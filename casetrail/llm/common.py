@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casetrail.session import scratch_path
@@ -41,3 +41,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def hex_sha256(column) -> F.Column:
     """Lowercase hex of a binary or text column, null as empty."""
     return F.sha2(F.coalesce(column.cast("binary"), F.lit(b"")), 256)
+
+
+def prefix_sums(rows: DataFrame, order: list[str], value: str, out: str, group: str = "sid",
+                bucket: str = "bucket") -> DataFrame:
+    """Exclusive prefix sums per group in the order (bucket, order), in two steps: no task holds a whole group."""
+    sums = rows.groupBy(group, bucket).agg(F.sum(value).alias("_sum"))
+    above = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(group, bucket, F.coalesce(F.sum("_sum").over(above), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(sums, [group, bucket])
+    return rows.withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_base")

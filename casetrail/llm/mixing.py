@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import prefix_sums, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BLOCK = 128
@@ -116,18 +116,7 @@ def shard_counts(sources: DataFrame, block: int = BLOCK, slots: int = SLOTS) ->
         F.lit(1).cast("long"), F.greatest(F.col("rest"), F.lit(1))), drawn))).otherwise(0)
     s = s.select("shard", "sid", "blocks", (F.col("base") + draws).alias("n"),
                  F.floor(F.col("shard") / 1024).alias("bucket"))
-    return _prefix(s, "shard", "n", "first").drop("bucket")
-
-
-def _prefix(rows: DataFrame, order: str | list[str], value: str, out: str) -> DataFrame:
-    """Exclusive prefix sums per sid in the order (bucket, order), in two steps: no task holds a whole source."""
-    sums = rows.groupBy("sid", "bucket").agg(F.sum(value).alias("_sum"))
-    above = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("sid", "bucket", F.coalesce(F.sum("_sum").over(above), F.lit(0)).alias("_base"))
-    within = (Window.partitionBy("sid", "bucket").orderBy(*([order] if isinstance(order, str) else order))
-              .rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.join(sums, ["sid", "bucket"])
-    return rows.withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_base")
+    return prefix_sums(s, ["shard"], "n", "first").drop("bucket")
 
 
 def slot_blocks(counts: DataFrame, repeat: int = REPEAT) -> DataFrame:
@@ -146,7 +135,7 @@ def placed(rows: DataFrame, sources: DataFrame, buckets: int) -> DataFrame:
     sids = sources.select(*key, "sid", "source_size", "target")
     rows = (rows.select("*", *key).join(sids, ["_none", "_name"]).drop("_none", "_name")
             .withColumn("bucket", F.pmod(F.coalesce("id", F.lit(0)), F.lit(buckets))))
-    return _prefix(rows, ["id", "size", "text_hash"], "size", "start").drop("bucket")
+    return prefix_sums(rows, ["id", "size", "text_hash"], "size", "start").drop("bucket")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text",

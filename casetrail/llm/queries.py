@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, simhash, toxicity
+from . import bpe, mixing, pii, sharding, simhash, toxicity
 from .common import hex_sha256, table
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sharding.shards(sharding.measured(docs), 24).select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"),
+        F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
     base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE_KINDS))
@@ -50,5 +57,5 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_pii, op6_bpe, op8_simhash, op9_toxicity, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_pii, op6_bpe, op8_simhash, op9_toxicity, op10_mixing)}
 ORACLES: dict[str, str] = {}
