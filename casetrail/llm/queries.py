@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, sharding, simhash, toxicity
+from . import bpe, imatch, mixing, pii, sharding, simhash, toxicity
 from .common import hex_sha256, table
 
 
@@ -52,10 +52,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.against_edits(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_pii, op6_bpe, op8_simhash, op9_toxicity, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_pii, op6_bpe, op7_imatch, op8_simhash, op9_toxicity, op10_mixing)}
 ORACLES: dict[str, str] = {}
