@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, imatch, mixing, pii, sharding, simhash, toxicity
+from . import ann, bpe, imatch, mixing, pii, sharding, simhash, toxicity
 from .common import hex_sha256, table
 
 
@@ -28,6 +28,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii.joined(F.col("pii")).alias("spans"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,5 +66,5 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_pii, op6_bpe, op7_imatch, op8_simhash, op9_toxicity, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_pii, op5_ann, op6_bpe, op7_imatch, op8_simhash, op9_toxicity, op10_mixing)}
 ORACLES: dict[str, str] = {}
