@@ -32,23 +32,24 @@ SEED = 20_240_607
 ROUNDS = 16
 BUCKET_ROWS = 50_000
 PRIME = 2_147_483_647
+OTHER_PRIME = 2_147_483_629
 
 
 def mixed_hash(*parts: Column | int) -> Column:
-    """A small arithmetic hash below ``PRIME`` that any SQL engine reproduces."""
+    """A small arithmetic hash below ``OTHER_PRIME`` that any SQL engine reproduces; each part is used once."""
     state = F.lit(SEED).cast("long")
     for part in parts:
         part = F.lit(part).cast("long") if isinstance(part, int) else part
         state = (state * 48_271 + (part % PRIME) * 69_621 + 12_345) % PRIME
-        state = (state * state + 16_807 * state + 1) % PRIME
-    return state
+    return (state * 16_807 + 1) % OTHER_PRIME
 
 
 def permuted(x: Column, size: Column, *key: Column) -> Column:
     """The place of ``x`` in a pseudorandom permutation of 0..size-1."""
     def step(at: Column, i: Column) -> Column:
-        other = (mixed_hash(*key, i) % size - at + size) % size
-        return F.when(mixed_hash(*key, i, F.greatest(at, other)) % 2 == 1, other).otherwise(at)
+        other = F.array((mixed_hash(*key, i) % size - at + size) % size)
+        return F.transform(other, lambda o: F.when(
+            mixed_hash(*key, i, F.greatest(at, o)) % 2 == 1, o).otherwise(at))[0]
 
     rounds = F.sequence(F.lit(1).cast("long"), F.lit(ROUNDS).cast("long"))
     return F.aggregate(rounds, x, step)
@@ -89,18 +90,17 @@ def shard_counts(sources: DataFrame, block: int = BLOCK, slots: int = SLOTS) ->
     """(shard, sid, n, first, blocks): drawn slots of a source in a shard, and the number of its first one there."""
     everything = Window.partitionBy(F.lit(0))
     before = Window.partitionBy(F.lit(0)).orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("target").over(everything)
-    s = (sources.withColumn("total", total)
-         .withColumn("all_slots", F.floor(total / block + 0.5))
-         .withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long"))
-         .where((F.col("source_size") > 0) & (F.col("all_slots") > 0))
-         .withColumn("part", F.col("target") / F.col("total")))
-    for kind, n in (("full", F.lit(slots).cast("long")), ("last", F.col("all_slots") % slots)):
-        expected = F.col("part") * n
-        s = (s.withColumn(f"{kind}_base", F.floor(expected)).withColumn(f"{kind}_odd", expected - F.floor(expected))
-             .withColumn(f"{kind}_rest", n - F.sum(f"{kind}_base").over(everything))
-             .withColumn(f"{kind}_from", F.coalesce(F.sum(f"{kind}_odd").over(before), F.lit(0.0)))
-             .withColumn(f"{kind}_odds", F.sum(f"{kind}_odd").over(everything)))
+    s = (sources.where("source_size > 0").withColumn("total", F.sum("target").over(everything))
+         .withColumn("all_slots", F.floor(F.col("total") / block + 0.5)).where("all_slots > 0")
+         .withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long")))
+    sizes = {"full": F.lit(slots).cast("long"), "last": F.col("all_slots") % slots}
+    expected = {k: F.col("target") / F.col("total") * n for k, n in sizes.items()}
+    s = s.select("*", *(F.floor(e).alias(f"{k}_base") for k, e in expected.items()),
+                 *((e - F.floor(e)).alias(f"{k}_odd") for k, e in expected.items()))
+    s = s.select("*", *((n - F.sum(f"{k}_base").over(everything)).alias(f"{k}_rest") for k, n in sizes.items()),
+                 *(F.sum(f"{k}_odd").over(everything).alias(f"{k}_odds") for k in sizes),
+                 *(F.coalesce(F.sum(f"{k}_odd").over(before), F.lit(0.0)).alias(f"{k}_from") for k in sizes))
+    s = written(s, "mix-draws")
     last = F.col("shard") == F.floor(F.col("all_slots") / slots)
     s = s.withColumn("shard", F.explode(F.sequence(
         F.lit(0).cast("long"), F.floor((F.col("all_slots") - 1) / slots))))
@@ -109,7 +109,7 @@ def shard_counts(sources: DataFrame, block: int = BLOCK, slots: int = SLOTS) ->
     s = s.select("shard", "sid", "blocks", *(c.alias(k) for k, c in pick.items()))
 
     def drawn(i: Column) -> Column:
-        u = mixed_hash(F.col("shard"), i) / F.lit(float(PRIME)) * F.col("odds")
+        u = mixed_hash(F.col("shard"), i) / F.lit(float(OTHER_PRIME)) * F.col("odds")
         return (u >= F.col("from")) & (u < F.col("from") + F.col("odd"))
 
     draws = F.when(F.col("rest") > 0, F.size(F.filter(F.sequence(
