@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, imatch, mixing, pii, sharding, simhash, toxicity
+from . import ann, bpe, chat, imatch, mixing, oracles, pii, sharding, simhash, suffix, toxicity
 from .common import hex_sha256, table
 
 
@@ -16,6 +16,23 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select(
+        F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), hex_sha256(F.col("kept")).alias("kept_sha256"))
+
+
+def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def joined(spans: str) -> Column:
+        text = F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(text, ",").alias(spans)
+
+    pairs = chat.format_pairs(chat.pairs_of_replies(table(spark, sf_dir, "conversations")))
+    return pairs.select("conv_id", "partner_id", "prompt_turns", "prompt", "chosen", "rejected",
+                        joined("chosen_spans"), joined("rejected_spans"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
     base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE_KINDS))
@@ -33,17 +50,35 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
-def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vocabulary() -> tuple[str, str]:
+    """The rank file and the splitting pattern of the contract."""
     import public_tokenizers
 
-    vocabulary = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    tokens = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), *vocabulary), *vocabulary)
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def token_digests(tokens: DataFrame) -> DataFrame:
+    """Counts and digests of (doc_id, token_ids, decoded)."""
     return tokens.select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
         hex_sha256(F.concat_ws(" ", F.col("token_ids").cast("array<string>"))).alias("ids_sha256"),
         hex_sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bpe.encode(table(spark, sf_dir, "documents"), *vocabulary())
+    return token_digests(bpe.decode(tokens, *vocabulary()))
+
+
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.against_edits(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -57,14 +92,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return imatch.against_edits(table(spark, sf_dir, "documents"))
-
-
-def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
-        "doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
-
-
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_pii, op5_ann, op6_bpe, op7_imatch, op8_simhash, op9_toxicity, op10_mixing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_sharding, op2_suffix_dedup, op3_preference, op4_pii, op5_ann, op6_bpe, op7_imatch, op8_simhash,
+    op9_toxicity, op10_mixing)}
+ORACLES = {"op3_preference": oracles.PREFERENCE, "op10_mixing": oracles.MIXING}

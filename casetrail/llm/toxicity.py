@@ -235,6 +235,10 @@ def _fit(words: list[str], sample: list[tuple[int, list[str]]], y: np.ndarray, t
     return model
 
 
+def _probability(segments: list[tuple[int, int, float, float]], model: Model) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.slope * _evidence(segments) + model.offset))))
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic") -> Model:
     """Token scores, decay and calibration; driver memory is bounded by the labelled sample."""
@@ -267,7 +271,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m, scores, passages = shared.value, [], []
         for text in (t.as_py() or "" for t in batch.column(1)):
             found = toxic_segments(text, m)
-            scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, m.slope * _evidence(found) + m.offset)))))
+            scores.append(_probability(found, m))
             passages.append(_passages(text, found) if found else [])
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(scores, pa.float64()), pa.array(passages, kind)],
@@ -276,3 +280,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     schema = (f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double, "
               "passages array<struct<start:long,end:long,score:double,evidence:double>>")
     return by_batch(docs.select(id_col, text_col), schema, run)
+
+
+def below(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose probability of being toxic is below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = (t.as_py() or "" for t in batch.column(at))
+        return batch.filter(pa.array([_probability(toxic_segments(t, shared.value), shared.value) < threshold
+                                      for t in texts], pa.bool_()))
+
+    return by_batch(docs, docs.schema, run)
