@@ -15,13 +15,13 @@ coordinate stay together; an empty table has no shards. Ids are taken to lie wit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prefix_sums, written
 
 BASE_BYTES = 8
-BINS = 4096
+BINS = 1 << 16
 BUCKET_ROWS = 50_000
 DIMENSIONS = ("d_id", "d_chars", "d_source", "d_lang")
 
@@ -60,14 +60,14 @@ def _states(rows: DataFrame, whole: dict[str, int]) -> DataFrame:
 def _searched(rows: DataFrame, states: DataFrame, position: Column, only: Column) -> DataFrame:
     """States whose range is narrowed to the one position where the running bytes pass the goal."""
     keep = [c for c in states.columns if c not in ("below", "weight")]
+    running = Window.partitionBy("node").orderBy("bin")  # at most BINS rows per node
     while True:
         step = F.expr(f"(high - low) div {BINS} + 1")
         place = F.floor((position - F.col("low")) / F.col("step"))
         bins = (rows.join(states.withColumn("step", step), "node")
                 .where(only & (position >= F.col("low")) & (position <= F.col("high")))
                 .groupBy(*keep, "below", "step", place.alias("bin")).agg(F.sum("size").alias("weight"))
-                .withColumn("sid", F.col("node")).withColumn("bucket", F.lit(0)))
-        bins = prefix_sums(bins, ["bin"], "weight", "before")
+                .withColumn("before", F.sum("weight").over(running) - F.col("weight")))
         passed = F.min(F.when(F.col("below") + F.col("before") + F.col("weight") > F.col("goal"),
                               F.struct("bin", "before", "weight"))).alias("p")
         found = bins.groupBy(*keep, "below", "step").agg(passed)
