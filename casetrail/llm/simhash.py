@@ -112,8 +112,9 @@ def tree_links(values: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> np
         to_points = np.bitwise_count(values[points] ^ values[vantage])
         to_queries = np.bitwise_count(values[queries] ^ values[vantage])
         ball, rest = points[to_points <= radius], to_points > radius
-        link(np.full(len(ball), vantage), ball)
-        # queries of the ball are linked already; those beyond two radii cannot meet it
+        for near in (ball, queries[to_queries <= radius]):
+            link(np.full(len(near), vantage), near)
+        # what is within the radius is linked by now; queries beyond two radii cannot meet the ball
         edge = queries[(to_queries > radius) & (to_queries <= 2 * radius)]
         for i, j in _near(values[edge], values[ball], radius):
             link(edge[i], ball[j])
