@@ -37,6 +37,7 @@ CHUNK_ROWS = 8_192
 QUERY_BLOCK = 20_000
 VERIFIED_AT_ONCE = 64
 SEED = 17
+ROUNDING = 1e-9
 
 
 def chi_square_quantile(p: float, dims: int = DIMS) -> float:
@@ -104,9 +105,10 @@ def verified(query: np.ndarray, own: int, vectors: np.ndarray, ids: np.ndarray,
              bound: float, quantile: float) -> list[tuple[int, float]]:
     """The k nearest of a chunk by (distance, id), verified in order of projected distance until the test holds."""
     order = np.argsort(projected, kind="stable")
+    slack = ROUNDING * (1 + float(query @ query))  # equal vectors need not have equal projections to the last bit
     best: list[tuple[float, int]] = []
     for at in range(0, len(order), VERIFIED_AT_ONCE):
-        if projected[order[at]] ** 2 > quantile * bound ** 2:
+        if projected[order[at]] ** 2 > quantile * bound ** 2 + slack:
             break
         some = order[at:at + VERIFIED_AT_ONCE]
         some = some[ids[some] != own]
@@ -177,8 +179,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec
         for f in frames:
             out = []
             for q, bound in zip(f["q"], f["bound"]):
-                far = tree.value.distances(np.asarray(q, dtype=float) @ tree.value.projection)
-                out.append(np.nonzero(far ** 2 <= quantile * bound ** 2)[0])
+                q = np.asarray(q, dtype=float)
+                far = tree.value.distances(q @ tree.value.projection)
+                out.append(np.nonzero(far ** 2 <= quantile * bound ** 2 + ROUNDING * (1 + float(q @ q)))[0])
             yield f.assign(leaves=out)
 
     visit = (asks.mapInPandas(visits, "query_id long, q array<float>, block long, bound double, leaves array<long>")
