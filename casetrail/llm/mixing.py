@@ -175,16 +175,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shares = (pieces.groupBy("id", "text_hash", "sid", "start").agg(F.sort_array(F.collect_list(piece)).alias("_pieces"))
               .groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"))
               .agg(F.min_by("_pieces", "start").alias("_pieces")))
-    rows = docs.select("*", F.xxhash64(text_col).alias("_own")).join(
-        shares, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
-    most = F.array_max(F.transform("_pieces", lambda p: p["uses"]))
-    rows = rows.where(most > 0).withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), most)))
-    whole = F.forall("_pieces", lambda p: p["uses"] >= F.col("_pass"))
-    own = F.filter("_pieces", lambda p: p["uses"] >= F.col("_pass"))
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(text_col).alias("hash")).join(
+        shares, F.col(f"row.`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
+    most, text = F.array_max(F.transform("_pieces", lambda p: p["uses"])), F.col(f"row.`{text_col}`")
+    rows = rows.where(most > 0).withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), most)))
+    whole = F.forall("_pieces", lambda p: p["uses"] >= F.col("pass"))
+    own = F.filter("_pieces", lambda p: p["uses"] >= F.col("pass"))
     words = F.transform(own, lambda p: F.array_join(F.slice(
-        F.regexp_extract_all(text_col, F.lit(WORDS), F.lit(0)), (p["from"] + 1).cast("int"),
-        p["length"].cast("int")), " "))
-    rows = rows.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(F.array_join(words, " ")))
-    if count_col in docs.columns:
-        rows = rows.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType))
-    return rows.select(*docs.columns)
+        F.col("words"), (p["from"] + 1).cast("int"), p["length"].cast("int")), " "))
+    rows = rows.withColumn("words", F.when(~whole, F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))))
+    rows = rows.withColumn("text", F.when(whole, text).otherwise(F.array_join(words, " ")))
+    kinds = {f.name: f.dataType for f in docs.schema}
+    new = {text_col: F.col("text"), count_col: F.length("text").cast(kinds.get(count_col, "long"))}
+    return rows.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
