@@ -100,7 +100,24 @@ def read_table(v: Views) -> DataFrame:
         "o_totalprice > 250000").select("o_orderkey", "o_comment")
 
 
-@query("read_pages", "S-07")
+# text nodes of a page in SQL: the pages use five references, and a lone ampersand
+_REFERENCES = (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&"))
+
+
+def _page_text(html: str) -> str:
+    """SQL of the normalised text of a page (lower case, white space squeezed)."""
+    decoded = "n"
+    for name, char in _REFERENCES:
+        decoded = f"regexp_replace({decoded}, '&{name};?', '{char}', 'g')"
+    raw = "regexp_replace(n, '(?is)^<[^>]*>|</(?:script|style)\\s*>$', '', 'g')"
+    nodes = f"regexp_extract_all({html}, '{mail._NODE}')"
+    text = (f"CASE WHEN regexp_matches(n, '(?i)^<(?:script|style)\\b[^>]*>') THEN {raw} "
+            f"WHEN regexp_matches(n, '(?is)^<[/!?a-z].*') AND NOT starts_with(n, '<![') THEN NULL ELSE {decoded} END")
+    joined = f"array_to_string(list_transform({nodes}, lambda n: {text}), ' ')"
+    return f"trim(regexp_replace(replace(lower({joined}), 'ß', 'ss'), '[\\s\u00a0]+', ' ', 'g'))"
+
+
+@query("read_pages", "S-07", f"SELECT page_id, length(t) AS chars, sha256(t) AS digest FROM (SELECT page_id, {_page_text('html')} AS t FROM pages) q")
 def read_pages(v: Views) -> DataFrame:
     return mail.read_pages(v.pages).select(
         "page_id", F.length("text").cast("bigint").alias("chars"), F.sha2("text", 256).alias("digest"))
@@ -149,12 +166,13 @@ x
 ' AS raw FROM <<pages>>"""
 
 
-@query("read_mime_parts", "S-11", "SELECT page_id, (page_id % 3 <> 0)::BIGINT AS fallback, 'f' || page_id || '.pdf' AS filename, CASE WHEN page_id % 3 = 0 THEN sha256(html) ELSE '' END AS digest FROM pages")
+@query("read_mime_parts", "S-11", f"""SELECT page_id, (page_id % 3 <> 0)::BIGINT AS fallback, 'f' || page_id || '.pdf' AS filename,
+sha256(CASE WHEN page_id % 3 = 0 THEN trim(regexp_replace(replace(lower(html), 'ß', 'ss'), '\\s+', ' ', 'g')) ELSE {_page_text('html')} END) AS digest FROM pages""")
 def read_mime_parts(v: Views) -> DataFrame:
     got = mail.read_mime_parts(v.sql(_RAW))
-    text = F.when(F.col("page_id") % 3 == 0, F.sha2(F.col("parts.text"), 256)).otherwise(F.lit(""))
     return got.select("page_id", F.col("parts.html_fallback_used").cast("int").cast("bigint").alias("fallback"),
-                      F.col("parts.attachments")[0]["filename"].alias("filename"), text.alias("digest"))
+                      F.col("parts.attachments")[0]["filename"].alias("filename"),
+                      F.sha2(F.col("parts.text"), 256).alias("digest"))
 
 
 # --- streams --------------------------------------------------------------------------------------

@@ -215,8 +215,26 @@ def test_mbox_keeps_bad_bytes_and_separators(spark, tmp_path):
     assert (two.subject, two.body, two.error) == ("two", "café", None)
 
 
-def test_html_with_a_broken_marked_section():
-    assert "kept" in mail.html_to_text("<p>kept <![e broken]> text</p>")
+def test_html_text(spark):
+    got = values(spark, mail.html_text, "<p>kept <![e broken]> text</p>", "a<b title='x'>c</b>&amp;lt;<!-- gone > -->d < e",
+                 "<script>if (a<b) x('</p>')</script >after", "", "<br/><!DOCTYPE html><?php x?>")
+    assert [" ".join(t.split()) for t in got] == [
+        "kept < ![e broken]> text", "a c &lt; d < e", "if (a<b) x('</p>') after", "", ""]
+
+
+def test_mime_with_nested_parts_and_encodings(spark):
+    raw = (b"Subject: x\r\nContent-Type: multipart/mixed; boundary=\"a b\"\r\n\r\nignored\r\n--a b\r\n"
+           b"Content-Type: multipart/alternative;\r\n boundary=in\r\n\r\n--in\r\n"
+           b"Content-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"
+           b"PGI+Q2Fmw6k8L2I+\r\n--in\r\nContent-Type: text/plain; charset=iso-8859-1\r\n"
+           b"Content-Transfer-Encoding: quoted-printable\r\n\r\nCaf=E9 =\r\nNoir=20=3D\r\n--in--\r\n--a b\r\n"
+           b"Content-Type: application/pdf; name=\"=?utf-8?q?r=C3=A9sum=C3=A9?=.pdf\"\r\n"
+           b"Content-Disposition: attachment\r\n\r\nx\r\n--a b--\r\n")
+    got = mail.read_mime_parts(spark.createDataFrame([(raw,), (b"Subject: y\n\nPlain  Body",), (None,)], "raw binary"))
+    one, two, three = [r.parts for r in got.collect()]
+    assert (one.text, one.html_fallback_used) == ("café noir =", False)
+    assert [tuple(a) for a in one.attachments] == [("résumé.pdf", "application/pdf", "attachment")]
+    assert (two.text, two.attachments) == ("plain body", []) and three.text in ("", None)
 
 
 def test_identity_matches_json_of_the_fields(spark):
