@@ -17,7 +17,7 @@ def _col(c: str | Column) -> Column:
 def job_filter(
     df: DataFrame, *, max_applicants: int | None = None, status: str | None = None,
     search: str | None = None, account: str | None = None, role: str | None = None,
-    limit: int = 500, filter_first: bool = False,
+    limit: int | None = None, filter_first: bool = False,
 ) -> DataFrame:
     """Best jobs; by default the limit cuts before the filters apply."""
     kept = F.lit(True)
@@ -69,7 +69,7 @@ def interview_filter(
 
 def classification_filter(
     df: DataFrame, *, type_name: str | None = None, provider: str | None = None,
-    imported: DataFrame | None = None, limit: int = 500,
+    imported: DataFrame | None = None, limit: int | None = None,
 ) -> DataFrame:
     if type_name:
         df = df.where(F.col("classification") == type_name.upper())
@@ -81,7 +81,7 @@ def classification_filter(
 
 def contact_filter(
     contacts: DataFrame, companies: DataFrame, emails: DataFrame, *,
-    company: str | None = None, email: str | None = None, limit: int = 500,
+    company: str | None = None, email: str | None = None, limit: int | None = None,
 ) -> DataFrame:
     if company:
         wanted = companies.where(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,9 +28,26 @@ def squeeze(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(_col(c), r"\s+", " "))
 
 
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """Where full case folding is not lower case: single letters, their foldings, and letters that become several."""
+    differ = {c: c.casefold() for c in map(chr, range(0x80, 0x110000)) if c.casefold() != c.lower() == c}
+    single = {c: f for c, f in differ.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in differ.items() if len(f) > 1}
+
+
+_FOLD_FROM, _FOLD_TO, _FOLD_MANY = _foldings()
+
+
 def casefold(c: str | Column) -> Column:
-    """Lower case with the foldings that occur in running text (sharp s, long s, final sigma)."""
-    return F.replace(F.translate(F.lower(_col(c)), "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
+    """Full Unicode case folding in the JVM, so that it can stand inside lambdas as well."""
+    c = _col(c)
+    low = F.translate(F.lower(c), _FOLD_FROM, _FOLD_TO)
+    several = "".join(_FOLD_MANY)
+    tokens = F.regexp_extract_all(low, F.lit(f"[{several}]|[^{several}]+"), 0)
+    names = F.from_json(F.lit(json.dumps(_FOLD_MANY)), "map<string,string>")
+    return F.when(is_ascii(c), F.lower(c)).otherwise(F.when(
+        ~F.rlike(low, F.lit(f"[{several}]")), low).otherwise(F.array_join(
+            F.transform(tokens, lambda t: F.coalesce(F.try_element_at(names, t), t)), "")))
 
 
 def is_ascii(c: str | Column) -> Column:
@@ -92,35 +111,40 @@ def normalize_title(c: str | Column) -> Column:
     return _words_only(F.lower(F.regexp_replace(text_or_empty(c), fixed.SENIORITY_WORDS, "")))
 
 
-# Named references that occur in mail and job pages (fixed values); the ampersand comes last.
-# Those of the first group are also valid without the semicolon.
-_ENTITIES_OPEN = (
-    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", "\u00a0"), ("copy", "©"), ("reg", "®"),
-    ("middot", "·"), ("pound", "£"), ("eacute", "é"), ("egrave", "è"), ("uuml", "ü"),
-    ("ouml", "ö"), ("auml", "ä"),
-)
-_ENTITIES = (
-    ("apos", "'"), ("trade", "™"), ("hellip", "…"), ("mdash", "—"), ("ndash", "–"),
-    ("lsquo", "‘"), ("rsquo", "’"), ("ldquo", "“"), ("rdquo", "”"), ("bull", "•"), ("euro", "€"),
-)
+# Names that are read without a semicolon as well; longest first, as the longest one wins.
+_OPEN_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+# Numbers of the C1 range stand for Windows-1252 where that has a character.
+_C1 = {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
 
 
 def html_unescape(c: str | Column) -> Column:
-    """Character references to characters, without leaving the JVM."""
+    """Character references to characters, each read once from left to right, without leaving the JVM."""
     c = _col(c)
-
-    def character(code: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
-
-    codes = F.array_distinct(F.regexp_extract_all(c, F.lit("&#([0-9]{1,6});"), 1))
-    decimal = F.aggregate(
-        codes, c, lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), character(n))
-    )
-    value = F.when(F.contains(c, F.lit("&#")), decimal).otherwise(c)
-    for name, char in _ENTITIES:
-        value = F.replace(value, F.lit(f"&{name};"), F.lit(char))
-    for name, char in (*_ENTITIES_OPEN, ("amp", "&")):
-        value = F.regexp_replace(value, f"&{name};?", char)
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    c1 = F.from_json(F.lit(json.dumps(_C1)), "map<string,string>")
+
+    def numbered(token: Column) -> Column:
+        digits = F.regexp_replace(F.lower(token), "^&#x?0*|;$", "")
+        hexadecimal = F.contains(F.lower(token), F.lit("x"))
+        code = F.when(F.length(digits) > 7, F.lit("1114112")).when(digits == "", F.lit("0")).when(
+            hexadecimal, F.conv(digits, 16, 10)).otherwise(digits)
+        n = code.cast("bigint")
+        character = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        dropped = n.between(1, 8) | n.between(14, 31) | (n == 11) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (
+            (n % 0x10000) >= 0xFFFE)
+        return F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd")).when(
+            n.between(0x80, 0x9F), F.try_element_at(c1, code)).when(dropped, F.lit("")).otherwise(character)
+
+    def named(token: Column) -> Column:
+        name = F.substring(token, 2, 64)
+        start = F.regexp_extract(name, f"^(?:{_OPEN_NAMES})", 0)
+        return F.coalesce(F.try_element_at(names, name), F.when(start != "", F.concat(
+            F.try_element_at(names, start), F.substring(token, F.length(start) + 2, 2 ** 30))), token)
+
+    tokens = F.regexp_extract_all(c, F.lit(f"{_REFERENCE}|[^&]+|&"), 0)
+    value = F.array_join(F.transform(tokens, lambda t: F.when(F.rlike(t, F.lit("^&#.")), numbered(t)).when(
+        F.rlike(t, F.lit("^&.")), named(t)).otherwise(t)), "")
     return F.when(F.contains(c, F.lit("&")), value).otherwise(c)
 
 
@@ -185,15 +209,15 @@ def requirement_lines(c: str | Column, limit: int = 20) -> Column:
     return F.slice(F.transform(kept, lambda line: F.btrim(line, F.lit(" \t\u000b\u000c"))), 1, limit)
 
 
-def signature(c: str | Column) -> Column:
-    """Last six non-blank lines, at most 2000 characters."""
+def signature(c: str | Column, lines_kept: int = 6, longest: int = 2000) -> Column:
+    """Last six non-blank lines, at most 2000 characters (part of the rule)."""
     lines = F.filter(
         F.transform(F.split(text_or_empty(c), r"\r\n|\n|\r"),
                     lambda line: F.btrim(line, F.lit(" \t\u000b\u000c"))),
         lambda line: line != "",
     )
-    tail = F.slice(lines, F.greatest(F.size(lines) - 5, F.lit(1)), F.lit(6))
-    return F.substring(F.array_join(tail, "\n"), 1, 2000)
+    tail = F.slice(lines, F.greatest(F.size(lines) - (lines_kept - 1), F.lit(1)), F.lit(lines_kept))
+    return F.substring(F.array_join(tail, "\n"), 1, longest)
 
 
 def parse_address(c: str | Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import text_or_empty
 from ..session import write_through
 from .classify import interview_status
+from .components import component_roots
 
 _KEYS = ("event_identifier", "meeting_url", "start_key")
 
@@ -76,41 +77,23 @@ def _assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "message_identity": batch["message_identity"], "interview_key": out})
 
 
-def split_threads(keyed: DataFrame, large: int = 100_000, rounds: int = 50) -> DataFrame:
-    """Adds ``thread``: within a large job, events that share no event id, link or start, even
-    through others, get different threads, so a hot job is folded by many tasks.
+def split_threads(keyed: DataFrame) -> DataFrame:
+    """Adds ``thread``: events of a job that share no event id, link or start, even through others, get different
+    threads, so that a hot job is folded by many tasks.
 
-    Threads are connected components by repeated minimum; each round is written to the shared
-    folder.  Jobs of ordinary size keep thread 0.
+    Threads are the connected components of messages and the values they name, whatever the size of the job; a chain
+    of any length takes logarithmically many rounds.
     """
-    sizes = keyed.groupBy("job_id").agg(F.count("*").alias("n")).where(F.col("n") > large)
-    if sizes.isEmpty():
-        return keyed.withColumn("thread", F.lit(0).cast("bigint"))
-    hot = sizes.select("job_id")
-    values = keyed.join(hot, "job_id", "left_semi").select(
-        "job_id", "message_identity", F.explode(F.filter(F.array(*[
-            F.when(F.col(k) != "", F.concat(F.lit(k), F.lit("="), F.col(k))) for k in _KEYS
-        ]), lambda v: v.isNotNull())).alias("value"))
-    values = write_through(values, "thread-values")
-    labels = values.select("job_id", "message_identity").distinct().withColumn(
-        "thread", F.xxhash64("message_identity"))
-    labels = write_through(labels, "threads")
-    for _ in range(rounds):
-        joined = values.join(labels, ["job_id", "message_identity"])
-        lowest = joined.groupBy("job_id", "value").agg(F.min("thread").alias("_t"))
-        moved = values.join(lowest, ["job_id", "value"]).groupBy("job_id", "message_identity").agg(
-            F.min("_t").alias("_t"))
-        new = write_through(labels.join(moved, ["job_id", "message_identity"]).select(
-            "job_id", "message_identity", F.least("thread", "_t").alias("thread"),
-            (F.col("_t") < F.col("thread")).alias("_changed")), "threads")
-        labels = new.drop("_changed")
-        if new.where("_changed").isEmpty():
-            return keyed.join(labels, ["job_id", "message_identity"], "left").withColumn(
-                "thread", F.coalesce("thread", F.lit(0)))
-    raise RuntimeError(f"threads did not settle in {rounds} rounds")
-
-
-def assign_interviews(events: DataFrame, large: int = 100_000) -> DataFrame:
+    message = F.concat(F.col("job_id").cast("string"), F.lit("|m|"), F.col("message_identity"))
+    named = F.filter(F.array(*[F.when(F.col(k) != "", F.concat(
+        F.col("job_id").cast("string"), F.lit(f"|{k}="), F.col(k))) for k in _KEYS]), lambda v: v.isNotNull())
+    links = keyed.select(message.alias("a"), F.explode(named).alias("b"))
+    roots = component_roots(links).withColumnRenamed("a", "_node")
+    return keyed.withColumn("_node", message).join(roots, "_node", "left").withColumn(
+        "thread", F.coalesce("root", "_node")).drop("_node", "root")
+
+
+def assign_interviews(events: DataFrame) -> DataFrame:
     """``events`` of linked messages with ``interview_key`` (identity of the interview's first
     message)."""
     linked = write_through(events.where(F.col("job_id").isNotNull()).withColumns({
@@ -123,8 +106,7 @@ def assign_interviews(events: DataFrame, large: int = 100_000) -> DataFrame:
     # an event without any key can neither match nor be matched
     alone = linked.where(bare).select("message_identity", F.col("message_identity").alias("interview_key"))
     keyed = linked.where(~bare).select("job_id", "message_identity", "observed_at", *_KEYS)
-    threads = split_threads(keyed, large)
-    ordered = threads.repartition("job_id", "thread").sortWithinPartitions(
+    ordered = split_threads(keyed).repartition("job_id", "thread").sortWithinPartitions(
         "job_id", "thread", "observed_at", "message_identity")
     assigned = ordered.select("job_id", "thread", "message_identity", *_KEYS).mapInPandas(
         _assign, "message_identity string, interview_key string")
@@ -149,5 +131,5 @@ def interviews_from(assigned: DataFrame) -> DataFrame:
         F.count("*").alias("event_count"))
 
 
-def fold_interviews(events: DataFrame, large: int = 100_000) -> DataFrame:
-    return interviews_from(assign_interviews(events, large))
+def fold_interviews(events: DataFrame) -> DataFrame:
+    return interviews_from(assign_interviews(events))

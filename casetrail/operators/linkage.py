@@ -17,6 +17,7 @@ from ..functions.once import computed_once
 from ..functions.text import (
     casefold, normalize_company_contact, parse_address, text_or_empty,
 )
+from .ranking import newest_first
 
 
 def nest(
@@ -173,13 +174,13 @@ def _review_rows(
 
 def review_queue(
     classified: DataFrame, imported: DataFrame, metadata: DataFrame,
-    links: DataFrame | None = None, limit: int = 100, actionable_only: bool = False,
+    links: DataFrame | None = None, limit: int | None = None, actionable_only: bool = False,
 ) -> DataFrame:
     """Unlinked outcome evidence without a reviewed link, newest first."""
     rows = _review_rows(classified, imported, metadata, links)
     if actionable_only:
         rows = rows.where("subject <> '' OR sender <> ''")
-    return rows.orderBy(F.desc_nulls_last("occurred_at"), "message_identity").limit(limit)
+    return newest_first(rows, [F.desc_nulls_last("occurred_at"), F.asc("message_identity")], limit)
 
 
 def review_totals(classified, imported, metadata, links=None) -> DataFrame:

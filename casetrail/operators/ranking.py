@@ -35,6 +35,7 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     )
 
 
-def newest_first(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
-    """Ordered list cut at ``limit``; planned as a distributed take of the best rows."""
-    return df.orderBy(*order).limit(limit)
+def newest_first(df: DataFrame, order: Sequence[Column], limit: int | None = None) -> DataFrame:
+    """Ordered list; with a ``limit`` planned as a distributed take of the best rows."""
+    ordered = df.orderBy(*order)
+    return ordered.limit(limit) if limit else ordered

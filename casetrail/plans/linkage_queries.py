@@ -92,7 +92,7 @@ _QUEUE = f"""queue AS (SELECT e.message_identity, e.classification, coalesce(m.p
 
 @query("review_queue", "J-13", f"WITH {_QUEUE} SELECT message_identity, classification, provider, account_namespace, CAST(occurred_at AS VARCHAR) AS occurred_at, subject, sender FROM queue WHERE subject <> '' OR sender <> '' ORDER BY queue.occurred_at DESC, message_identity LIMIT 100")
 def review_queue(v: Views) -> DataFrame:
-    return J.review_queue(*_review_frames(v), actionable_only=True).drop("confidence", "created_at").withColumn(
+    return J.review_queue(*_review_frames(v), limit=100, actionable_only=True).drop("confidence", "created_at").withColumn(
         "occurred_at", F.col("occurred_at").cast("string"))
 
 
@@ -222,7 +222,7 @@ def apply_match(v: Views) -> DataFrame:
 _TERMS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '([a-z0-9]{{3,}})', 1), lambda x: NOT (x IN (" + _IN(fixed.STOP_TERMS) + "))))"
 
 
-@query("candidate_jobs", "J-09 W-08", f"""WITH m AS (SELECT message_identity, {_TERMS.format('subject')} AS s, {_TERMS.format('sender')} AS e FROM <<messages>> WHERE event_type = 'click'),
+@query("candidate_jobs", "J-09 W-08", f"""WITH m AS (SELECT message_identity, {_TERMS.format('subject')} AS s, {_TERMS.format('sender')} AS e FROM <<messages>>),
 j AS (SELECT company, title, list_sort(array_agg(id))[1:3] AS ids FROM (SELECT id, coalesce(nullif(company, ''), 'Unknown company') AS company, coalesce(nullif(title, ''), 'Unknown role') AS title FROM <<jobs>>) q GROUP BY company, title),
 k AS (SELECT company, title, ids, CASE WHEN company = 'Unknown company' THEN [] ELSE {_TERMS.format('company')} END AS c, {_TERMS.format('title')} AS t FROM j),
 p AS (SELECT m.message_identity, k.company, k.title, k.ids, CASE WHEN len(c) > 0 AND list_has_all(s, c) THEN 70 WHEN list_has_any(c, e) THEN 50 ELSE 0 END AS a, len(list_intersect(t, s)) AS n FROM m, k WHERE list_has_any(c, s) OR list_has_any(c, e)),
@@ -231,7 +231,7 @@ z AS (SELECT message_identity, company, title, unnest(ids) AS id, a + CASE WHEN
 r AS (SELECT *, row_number() OVER (PARTITION BY message_identity ORDER BY score DESC, company, title, id) AS rank FROM z WHERE score >= 70)
 SELECT message_identity, rank, id, company, title, score::BIGINT AS score, reasons FROM r WHERE rank <= 3""")
 def candidate_jobs(v: Views) -> DataFrame:
-    got = candidates.candidate_jobs(v.messages.where("event_type = 'click'"), v.jobs)
+    got = candidates.candidate_jobs(v.messages, v.jobs)
     return got.select("message_identity", F.col("rank").cast("bigint").alias("rank"), "id", "company", "title",
                       "score", F.array_join("reasons", "; ").alias("reasons"))
 

@@ -413,14 +413,14 @@ SELECT id, score FROM (SELECT * FROM <<jobs>> ORDER BY score DESC, last_seen_at
 WHERE applicant_count IS NOT NULL AND NOT applicant_count_is_over AND applicant_count < 200 AND email_account = 'gmail'
 AND contains(lower(title || ' ' || company || ' ' || location), 'manager')""")
 def job_filter(v: Views) -> DataFrame:
-    return P.job_filter(v.jobs, max_applicants=200, account="gmail", search="Manager").select("id", "score")
+    return P.job_filter(v.jobs, max_applicants=200, account="gmail", search="Manager", limit=500).select("id", "score")
 
 
 @query("job_filter_first", "P-01", """
 SELECT id, score FROM <<jobs>> WHERE status = 'applied' AND role_family = '1-URGENT'
 ORDER BY score DESC, last_seen_at DESC, id LIMIT 500""")
 def job_filter_first(v: Views) -> DataFrame:
-    return P.job_filter(v.jobs, status="applied", role="1-URGENT", filter_first=True).select("id", "score")
+    return P.job_filter(v.jobs, status="applied", role="1-URGENT", filter_first=True, limit=500).select("id", "score")
 
 
 @query("interview_filter", "P-02", f"""
@@ -441,7 +441,7 @@ SELECT id, classification FROM <<evidence>> WHERE classification = 'OFFER' AND p
 ORDER BY id DESC LIMIT 500""")
 def classification_filter(v: Views) -> DataFrame:
     return P.classification_filter(
-        v.evidence, type_name="offer", provider="YAHOO", imported=v.evidence).select("id", "classification")
+        v.evidence, type_name="offer", provider="YAHOO", imported=v.evidence, limit=500).select("id", "classification")
 
 
 @query("contact_filter", "P-04 O-02", """

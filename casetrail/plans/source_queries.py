@@ -123,7 +123,7 @@ def read_pages(v: Views) -> DataFrame:
         "page_id", F.length("text").cast("bigint").alias("chars"), F.sha2("text", 256).alias("digest"))
 
 
-@query("write_jobs_csv", "S-08", """SELECT title, company, CAST(score AS VARCHAR) AS score, status FROM (SELECT * FROM <<jobs>> ORDER BY score DESC, last_seen_at DESC, id LIMIT 5000) q""")
+@query("write_jobs_csv", "S-08", """SELECT title, company, CAST(score AS VARCHAR) AS score, status FROM <<jobs>>""")
 def write_jobs_csv(v: Views) -> DataFrame:
     path = scratch_path(v.spark, "jobs-csv")
     sinks.write_jobs_csv(v.jobs, path)
@@ -181,9 +181,9 @@ def event_stream(v: Views) -> DataFrame:
     return rows.withColumn("at", F.col("ts").cast("timestamp"))
 
 
-@query("stream_messages", "R-01", "SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'view'")
+@query("stream_messages", "R-01", "SELECT event_id, user_id, event_type FROM events")
 def stream_messages(v: Views) -> DataFrame:
-    rows = event_stream(v).where("event_type <> 'view'").select("event_id", "user_id", "event_type")
+    rows = event_stream(v).select("event_id", "user_id", "event_type")
     return R.run_available(rows, "stream-messages")
 
 

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.predicates import drop_content
+from ..operators.ranking import newest_first
 
 
-def write_jobs_csv(df: DataFrame, path: str, limit: int = 5000) -> None:
-    """The best jobs as CSV with the sixteen report columns and a header."""
-    best = df.orderBy(F.desc("score"), F.desc("last_seen_at"), F.asc("id")).limit(limit)
+def write_jobs_csv(df: DataFrame, path: str, limit: int | None = None) -> None:
+    """Jobs, best first, as CSV with the sixteen report columns and a header; all of them without a ``limit``."""
+    best = newest_first(df, [F.desc("score"), F.desc("last_seen_at"), F.asc("id")], limit)
     columns = [F.col(c) if c in df.columns else F.lit("").alias(c) for c in fixed.JOB_CSV_FIELDS]
     best.select(*columns).write.mode("overwrite").option("header", True).csv(path)
 

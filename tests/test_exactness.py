@@ -100,9 +100,22 @@ def test_missing_ids_across_buckets(spark):
 
 def test_threads_of_a_hot_job_fold_like_one(spark):
     events = interview_stream(Views(spark, SF)).withColumn("job_id", F.lit(1).cast("bigint"))
-    whole, split = (rows(interviews.assign_interviews(events, n).select("message_identity", "interview_key"))
-                    for n in (10**9, 1))
-    assert whole == split
+    split = sorted(map(tuple, interviews.assign_interviews(events).select("message_identity", "interview_key").collect()))
+    whole = interviews.Threads()
+    ordered = events.select(
+        "message_identity", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in (
+            "event_identifier", "meeting_url", "scheduled_start")], "observed_at").collect()
+    ordered.sort(key=lambda r: (r.observed_at, r.message_identity))
+    assert split == sorted((r.message_identity, whole.assign(*r[:4])) for r in ordered)
+
+
+def test_a_long_chain_of_events_is_one_thread(spark):
+    n = 500
+    chain = spark.range(n).select(
+        F.lit(1).cast("bigint").alias("job_id"), F.concat(F.lit("m"), F.lpad(F.col("id").cast("string"), 4, "0")).alias(
+            "message_identity"), F.concat(F.lit("e"), F.floor((F.col("id") + 1) / 2)).alias("event_identifier"),
+        F.concat(F.lit("u"), F.floor(F.col("id") / 2)).alias("meeting_url"), F.lit("").alias("start_key"))
+    assert interviews.split_threads(chain).select("thread").distinct().count() == 1
 
 
 def test_interview_stream_equals_batch(spark):

@@ -145,11 +145,10 @@ def test_invite_confirm_reschedule_cancel_is_one_interview(spark):
                    F.lit("video").alias("location_type"), F.lit("").alias("location_text"), F.lit("t").alias("title"),
                    F.lit("technical").alias("interview_type"),
                    F.expr("TIMESTAMP_NTZ'2027-01-01 00:00:00' + t * INTERVAL '1' DAY").alias("observed_at"))
-    for large in (100_000, 1):   # as one thread, and split into threads
-        got = {r.interview_key: r for r in interviews.fold_interviews(df, large).collect()}
-        assert sorted(got) == ["a", "e"]
-        assert (got["a"].status, got["a"].event_count) == ("cancelled", 4)
-        assert got["a"].scheduled_start == datetime(2027, 1, 21, 19)
+    got = {r.interview_key: r for r in interviews.fold_interviews(df).collect()}
+    assert sorted(got) == ["a", "e"]
+    assert (got["a"].status, got["a"].event_count) == ("cancelled", 4)
+    assert got["a"].scheduled_start == datetime(2027, 1, 21, 19)
 
 
 def test_ledger_twice_creates_nothing(spark):
@@ -237,6 +236,40 @@ def test_mime_with_nested_parts_and_encodings(spark):
     assert (two.text, two.attachments) == ("plain body", []) and three.text in ("", None)
 
 
+def test_references_and_folding(spark):
+    import html
+
+    texts = ["&#x2019;&ntilde;&times;&#128;&#0;&#38;lt;", "&notit; &amp &ampx &nosuch; &#xD800; &#1114112; &#00065;x", "&&amp;&#;",
+             "&lt&gt;&hellip;&NotEqualTilde;&#11;&#x7f;&#xfdd0;", "a & b &copy2"]
+    assert values(spark, T.html_unescape, *texts) == [html.unescape(t) for t in texts]
+    words = ["Straße ﬁx Ⅳ ŉ ΣΑΣ ſ", "İstanbul ß", "plain", "ᾳ ΐ ﬃ", ""]
+    assert values(spark, T.casefold, *words) == [w.casefold() for w in words]
+
+
+def test_identities_of_other_scripts(spark):
+    import hashlib
+    import json
+    import unicodedata
+
+    def fold(v):
+        return " ".join(unicodedata.normalize("NFKC", v).casefold().split())
+
+    rows = [("Entwürfe", "Ä@x"), ("😀 \x07\x08 ﬁ", "日本"), ('q"\\', "INBOX")]
+    df = spark.createDataFrame(rows, "folder string, account string")
+    got = [r[0] for r in df.select(identity.transport_identity(
+        F.lit("Yahoo"), "account", "folder", F.lit("7"), F.lit(3).cast("bigint"))).collect()]
+    assert got == ["v1:" + hashlib.sha256(json.dumps({
+        "account_namespace": fold(a), "folder": fold(f), "kind": "imap-uid", "provider": "yahoo", "uid": 3,
+        "uidvalidity": "7"}, sort_keys=True, separators=(",", ":")).encode()).hexdigest() for f, a in rows]
+
+
+def test_first_of_new_messages_by_two_keys(spark):
+    batch = spark.createDataFrame([("a", 1, 5), ("a", 1, 3), ("a", 2, 9), ("b", 1, 1)], "k string, v int, at int")
+    known = spark.createDataFrame([("b", 1)], "k string, v int")
+    got = {tuple(r) for r in identity.new_only(batch, known, ["k", "v"], ["at"]).collect()}
+    assert got == {("a", 1, 3), ("a", 2, 9)}
+
+
 def test_identity_matches_json_of_the_fields(spark):
     import hashlib
     import json
