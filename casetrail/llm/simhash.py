@@ -29,8 +29,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casetrail.operators.components import component_roots
+
 from .common import by_batch, written
-from .components import component_roots
 
 WORDS_PER_SHINGLE = 4
 SEED = 42

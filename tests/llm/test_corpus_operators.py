@@ -12,8 +12,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from casetrail.llm import ann, chat, components, mixing, pii, queries, simhash, toxicity
+from casetrail.llm import ann, chat, mixing, pii, queries, simhash, toxicity
 from casetrail.llm.common import written
+from casetrail.operators import components
 from tests.compare import digest, duck, run_duck
 
 from .conftest import invented
