@@ -33,7 +33,7 @@ HEADLINE = (
 
 def main() -> None:
     from casetrail.plans import QUERIES
-    from casetrail.session import build_session
+    from casetrail.session import build_session, remove_scratch
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -50,6 +50,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+    remove_scratch(spark)
     print(json.dumps({
         "metric": "headline_query_seconds", "value": round(sum(seconds.values()), 3),
         "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir).removeprefix("sf")}))

@@ -221,19 +221,23 @@ def signature(c: str | Column, lines_kept: int = 6, longest: int = 2000) -> Colu
 
 
 def parse_address(c: str | Column) -> Column:
-    """``Name <address>`` or a bare address as struct(name, address)."""
+    """``Name <address>``, ``address (Name)`` or a bare address as struct(name, address)."""
     c = text_or_empty(c)
+    noted = r"^\s*([^\s()<>]+@[^\s()<>]+)\s*\(([^()]*)\)\s*$"
     bracketed = F.contains(c, F.lit("<"))
     name = F.regexp_extract(c, r'^\s*"?([^"<]*?)"?\s*<', 1)
     inner = F.regexp_extract(c, r"<\s*([^<>]*?)\s*>", 1)
     return F.struct(
-        F.when(bracketed, F.trim(name)).otherwise(F.lit("")).alias("name"),
-        F.when(bracketed, inner).otherwise(F.trim(c)).alias("address"),
+        F.when(bracketed, F.trim(name)).otherwise(F.trim(F.regexp_extract(c, noted, 2))).alias("name"),
+        F.when(bracketed, inner).when(F.rlike(c, F.lit(noted)), F.regexp_extract(c, noted, 1)).otherwise(
+            F.trim(c)).alias("address"),
     )
 
 
 def recipients(to: str | Column, cc: str | Column) -> Column:
+    """Lower-case addresses of two headers; what stands in quotes is a name, not an address."""
     joined = F.lower(F.concat_ws(", ", text_or_empty(to), text_or_empty(cc)))
+    joined = F.regexp_replace(joined, r'"(?:[^"\\]|\\.)*+"\s*(?=<)', "")
     return F.regexp_extract_all(joined, F.lit(r'([^\s<>,;"]+@[^\s<>,;"]+)'), 1)
 
 

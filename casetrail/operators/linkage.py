@@ -17,7 +17,7 @@ from ..functions.once import computed_once
 from ..functions.text import (
     casefold, normalize_company_contact, parse_address, text_or_empty,
 )
-from .ranking import newest_first
+from .ranking import first_per_group, newest_first
 
 
 def nest(
@@ -145,7 +145,7 @@ def contact_job_compatible(evidence: DataFrame, jobs: DataFrame, job="job_id") -
 
 def reviewed_links(classified: DataFrame, links: DataFrame) -> DataFrame:
     """Adds ``effective_job_id``: the message's own job, else the reviewed one."""
-    side = links.select("message_identity", F.col("job_id").alias("_reviewed"))
+    side = links.groupBy("message_identity").agg(F.min("job_id").alias("_reviewed"))
     return classified.join(side, "message_identity", "left").withColumn(
         "effective_job_id", F.coalesce("job_id", "_reviewed")).drop("_reviewed")
 
@@ -157,12 +157,15 @@ def _review_rows(
         F.col("job_id").isNull() & F.col("classification").isin(*fixed.REVIEWABLE_TYPES))
     if links is not None:
         rows = rows.join(links.select("message_identity"), "message_identity", "left_anti")
-    i = imported.select("message_identity", F.col("provider").alias("_ip"),
-                        F.col("mailbox_name").alias("_im"), F.col("imported_at").alias("_ia"))
-    m = metadata.select(
+    # repeated records of a message count once: the earliest import, the smallest metadata row
+    i = first_per_group(imported.select(
+        "message_identity", F.col("provider").alias("_ip"), F.col("mailbox_name").alias("_im"),
+        F.col("imported_at").alias("_ia")), ["message_identity"], ["_ia", "_ip", "_im"])
+    m = first_per_group(metadata.select(
         "message_identity", F.col("provider").alias("_mp"),
         F.col("account_namespace").alias("_ma"), "internal_date", "received_at",
-        F.col("subject").alias("_subject"), F.col("sender").alias("_sender"))
+        F.col("subject").alias("_subject"), F.col("sender").alias("_sender")),
+        ["message_identity"], ["received_at", "_mp", "_ma", "_subject", "_sender"])
     joined = rows.join(i, "message_identity", "left").join(m, "message_identity", "left")
     return joined.select(
         "message_identity", "classification", "confidence", "created_at",

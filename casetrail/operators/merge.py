@@ -242,7 +242,7 @@ def describe_jobs(texts: DataFrame, limit: int = 30) -> DataFrame:
 
 def apply_aliases(df: DataFrame, aliases: DataFrame, column: str = "company") -> DataFrame:
     """Adds ``display_<column>``: the canonical name of an alias; the raw value stays."""
-    side = aliases.select(F.col("normalized_alias").alias("_key"), "canonical_name")
+    side = aliases.groupBy(F.col("normalized_alias").alias("_key")).agg(F.min("canonical_name").alias("canonical_name"))
     return df.withColumn("_key", normalize_alias(column)).join(side, "_key", "left").withColumn(
         f"display_{column}", F.coalesce("canonical_name", column)).drop("_key", "canonical_name")
 

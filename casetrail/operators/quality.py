@@ -152,8 +152,11 @@ def missing_ids(present: DataFrame, id_col: str, scope: Sequence[str] = ()) -> D
     gaps = inside.select(*scope, "_prev", "_id").unionByName(
         across.select(*scope, "_prev", F.col("_lo").alias("_id"))
     ).where(F.col("_id") - F.col("_prev") > 1)
-    return gaps.select(*scope, F.explode(F.sequence(
-        F.col("_prev") + 1, F.col("_id") - 1)).alias(id_col))
+    # a long gap is cut into rows of bounded length before its ids are listed
+    cuts = gaps.select(*scope, "_id", F.explode(F.sequence(
+        F.col("_prev") + 1, F.col("_id") - 1, F.lit(width))).alias("_from"))
+    return cuts.select(*scope, F.explode(F.sequence(
+        F.col("_from"), F.least(F.col("_from") + width - 1, F.col("_id") - 1))).alias(id_col))
 
 
 def class_shortfall(expected: DataFrame, actual: DataFrame, key: str = "classification") -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_MADE: list[str] = []
 
 
 def build_session(app: str = "casetrail", master: str | None = None, **conf: str) -> SparkSession:
@@ -42,13 +45,24 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_CHECKPOINT_KEY} to a folder all executors share")
     made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.conf.set(_CHECKPOINT_KEY, made)
     return made
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Deletes the intermediate tables this process has made; call it when a job's results are written."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _MADE:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        place.getFileSystem(hadoop).delete(place, True)
 
 
 def write_through(df: DataFrame, label: str) -> DataFrame:

@@ -246,6 +246,19 @@ def test_references_and_folding(spark):
     assert values(spark, T.casefold, *words) == [w.casefold() for w in words]
 
 
+def test_address_forms(spark):
+    got = values(spark, T.parse_address, "a@b.c (Pat Doe)", '"Doe, Pat" <p@d.e>', " x@y.z ", "(only) text", "")
+    assert [tuple(g) for g in got] == [("Pat Doe", "a@b.c"), ("Doe, Pat", "p@d.e"), ("", "x@y.z"), ("", "(only) text"), ("", "")]
+    df = spark.createDataFrame([('"me@home.x" <a@B.c>, d@e.f', '"q\\"@z" <g@h.i>')], "t string, c string")
+    assert df.select(T.recipients("t", "c")).first()[0] == ["a@b.c", "d@e.f", "g@h.i"]
+
+
+def test_lookups_with_repeated_keys_do_not_multiply(spark):
+    df = spark.createDataFrame([("Acme Inc",)], "company string")
+    aliases = spark.createDataFrame([("acme inc", "B"), ("acme inc", "A")], "normalized_alias string, canonical_name string")
+    assert [r.display_company for r in merge.apply_aliases(df, aliases).collect()] == ["A"]
+
+
 def test_identities_of_other_scripts(spark):
     import hashlib
     import json
