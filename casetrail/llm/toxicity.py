@@ -41,7 +41,7 @@ MAX_SCORE = 8.0
 LEAST_EVIDENCE = 0.0
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 PREFIXES = range(4, 9)
-MEMO = 500_000
+MEMO = 100_000
 _EDGES = string.punctuation + "«»“”„…–—¿¡"
 
 
@@ -171,7 +171,7 @@ def _prior(docs: DataFrame, known: dict[str, int]) -> tuple[np.ndarray, int]:
                 if len(memo) > MEMO:
                     memo.clear()
                 for w in words.difference(memo):
-                    memo[w] = [f for f in features(w) if f in index]
+                    memo[w] = tuple(f for f in features(w) if f in index)
                 seen.update({f for w in words for f in memo[w]})
         keys = [-1, *(index[w] for w in seen)]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([total, *seen.values()], pa.int64())],
@@ -252,8 +252,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return flat
     toxic, clean = Counter(), Counter()
     for label, words in sample:
-        (toxic if label else clean).update({f for w in words for f in features(w)})
+        if label:
+            toxic.update({f for w in words for f in features(w)})
     known = {w: i for i, w in enumerate(sorted(w for w, n in toxic.items() if n > 1))}
+    for label, words in sample:
+        if not label:
+            clean.update({f for w in words for f in features(w) if f in known})
     if not known:
         return flat
     seen, pairs = _prior(docs, known)
