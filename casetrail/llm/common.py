@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from casetrail.session import scratch_path
 
 
+ROWS_AT_ONCE = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,12 +27,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def by_batch(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """``fn`` over Arrow batches; memory is bounded by one batch (or one row, if that is larger)."""
+    """``fn`` over Arrow batches, ``ROWS_AT_ONCE`` rows at a time; more is never held besides the batch that came."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                yield fn(batch.slice(at, ROWS_AT_ONCE))
 
     return df.mapInArrow(run, schema)
 
