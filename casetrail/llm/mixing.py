@@ -20,7 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, written
+from casetrail.functions.once import computed_once
+
+from .common import prefix_sums, shuffle_partitions, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BLOCK = 128
@@ -122,7 +124,8 @@ def shard_counts(sources: DataFrame, block: int = BLOCK, slots: int = SLOTS) ->
 def slot_blocks(counts: DataFrame, repeat: int = REPEAT) -> DataFrame:
     """(shard, slot, sid, block): the block that fills each slot; noise beyond ``repeat`` passes stays unfilled."""
     j = F.col("first") + F.col("i") - 1
-    s = (counts.where("n > 0")
+    # few rows become many: the partitions are asked for by number, so that they are not merged beforehand
+    s = (counts.where("n > 0").repartition(shuffle_partitions(counts.sparkSession), "shard", "sid")
          .withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
          .withColumn("j", j).where(F.col("j") < F.col("blocks") * repeat))
     block = permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.col("sid"), F.floor(F.col("j") / F.col("blocks")))
@@ -178,12 +181,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(text_col).alias("hash")).join(
         shares, F.col(f"row.`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
     most, text = F.array_max(F.transform("_pieces", lambda p: p["uses"])), F.col(f"row.`{text_col}`")
-    rows = rows.where(most > 0).withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), most)))
+    rows = rows.where(most > 0)
+    uneven = F.exists("_pieces", lambda p: p["uses"] < most)
+    # split once: a lambda over pieces would otherwise split the text again for every piece
+    rows = computed_once(rows, words=F.when(uneven, F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))))
+    rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), most)))
     whole = F.forall("_pieces", lambda p: p["uses"] >= F.col("pass"))
     own = F.filter("_pieces", lambda p: p["uses"] >= F.col("pass"))
     words = F.transform(own, lambda p: F.array_join(F.slice(
         F.col("words"), (p["from"] + 1).cast("int"), p["length"].cast("int")), " "))
-    rows = rows.withColumn("words", F.when(~whole, F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))))
     rows = rows.withColumn("text", F.when(whole, text).otherwise(F.array_join(words, " ")))
     kinds = {f.name: f.dataType for f in docs.schema}
     new = {text_col: F.col("text"), count_col: F.length("text").cast(kinds.get(count_col, "long"))}
