@@ -76,10 +76,9 @@ def removed(df, least):
 
 
 def hashed(spark, rows):
-    """Rows with the hash that orders rows of one id, 0 for the others."""
-    count = Counter(i for i, _ in rows)
+    """Rows with the hash that orders rows of one id."""
     df = spark.createDataFrame([(t or "",) for _, t in rows], "t string").selectExpr("xxhash64(t) h")
-    return [(i, h.h if count[i] > 1 else 0, t or "") for (i, t), h in zip(rows, df.collect())]
+    return [(i, h.h, t or "") for (i, t), h in zip(rows, df.collect())]
 
 
 def test_repeats_match_brute_force(spark, tiny):
