@@ -38,6 +38,7 @@ LEAST = 100
 GRAM = 28
 BUCKET_BYTES = 16 << 20
 PIECE = 1 << 18
+SUFFIXES = 20_000
 NO_ID = -(2 ** 63)
 
 _PLACE = np.uint64((1 << 20) - 1)
@@ -146,14 +147,10 @@ def _unpack(table: pa.Table, kind: int) -> list[np.ndarray]:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, th, text): th orders rows that share an id; it is 0 for all others."""
-    shared = docs.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
+    """(id, key, th, text): th, a hash of the text, orders rows that share an id."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = rows.join(shared, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select(
-        "id", F.xxhash64("text").alias("th"), "text").unionByName(
-        rows.join(shared, F.col("id").eqNullSafe(F.col("_id")), "left_anti").select(
-            "id", F.lit(0).cast("long").alias("th"), "text"))
-    return rows.withColumn("key", F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)))
+    return rows.select("id", F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("key"),
+                       F.xxhash64("text").alias("th"), "text")
 
 
 def _anchor_rows(rows: DataFrame, buckets: int, least: int) -> DataFrame:
@@ -315,35 +312,50 @@ def repeats(around: np.ndarray, h: np.ndarray, ids: np.ndarray, ths: np.ndarray,
     who, back_by = who[fits], back_by[fits]
     found: list[list[np.ndarray]] = [[], [], []]
     width = 2 * least - GRAM
-    # whole groups at a time, in parts of bounded size
-    order = np.argsort(group_of[who], kind="stable")
-    who, back_by = who[order], back_by[order]
-    ends = np.append(np.nonzero(np.diff(group_of[who]))[0] + 1, len(who))
+    padded = np.zeros((len(h), width + back), np.uint8)
+    padded[:, :width] = around
+    windows = np.lib.stride_tricks.sliding_window_view(padded.ravel(), width)
+    # only suffixes that share their first bytes with others of the group can be in an interval: one class for each
+    key = np.empty(len(who), np.uint64)
+    for at in range(0, len(who), SUFFIXES):
+        w, o = who[at:at + SUFFIXES], back_by[at:at + SUFFIXES]
+        part = windows[w * (width + back) + back - o][:, :least]
+        key[at:at + SUFFIXES] = _mix((_TABLE[part] * _powers()[0][:least]).sum(axis=1, dtype=np.uint64) + _mix(h[w]))
+    order = np.argsort(key, kind="stable")
+    who, back_by, key = who[order], back_by[order], key[order]
+    if not len(who):
+        return tuple(np.zeros(0, np.int64) for _ in found)
+    starts = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1])
+    sizes = np.diff(np.append(starts, len(who)))
+    before = np.where(back_by < left[who], around[who, np.maximum(back - back_by - 1, 0)].astype(np.int64), -1)
+    low, high = np.minimum.reduceat(before, starts), np.maximum.reduceat(before, starts)
+    # where no left neighbour differs, the repeat starts further to the left
+    extends = (low >= 0) & (low == high) & (
+        np.minimum.reduceat(back_by, starts) == np.maximum.reduceat(back_by, starts))
+    keep = np.repeat((sizes > 1) & ~extends, sizes)
+    who, back_by, before, key = who[keep], back_by[keep], before[keep], key[keep]
+    ends = np.append(np.nonzero(np.diff(key))[0] + 1, len(who))
     at = 0
     while at < len(who):
-        to = ends[min(np.searchsorted(ends, at + 100_000), len(ends) - 1)]
-        w, o = who[at:to], back_by[at:to]
+        # whole classes, so many that their bytes stay bounded
+        to = ends[min(np.searchsorted(ends, at + SUFFIXES), len(ends) - 1)]
+        w, o, b = who[at:to], back_by[at:to], before[at:to]
+        rows = np.concatenate([key[at:to].astype(">u8").view(np.uint8).reshape(-1, 8),
+                               windows[w * (width + back) + back - o]], axis=1)
         at = to
-        columns = np.arange(width) + (back - o)[:, None]
-        rows = np.concatenate([head[w], np.where(columns < width, around[w[:, None], np.minimum(columns, width - 1)], 0)],
-                              axis=1)
         order = _sorted_rows(rows)
-        w, o, rows = w[order], o[order], rows[order]
+        w, o, b, rows = w[order], o[order], b[order], rows[order]
         common = _common(rows) - 8
         size = o + right[w]
         common[1:] = np.minimum(common[1:], np.minimum(size[1:], size[:-1]))
-        before = np.where(o < left[w], around[w, np.maximum(back - o - 1, 0)].astype(np.int64), -1)
         start = place[w] - o
         cuts = np.append(np.nonzero(common < least)[0], len(w))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            if b - a < 2:
+        for first, last in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if last - first < 2:
                 continue
-            known = before[a:b]
-            if known[0] >= 0 and (known == known[0]).all() and (o[a:b] == o[a]).all():
-                continue  # no left neighbour differs: the repeat starts further to the left
-            for length, i, j in intervals(common[a:b].tolist(), least):
-                s = slice(a + i, a + j + 1)
-                known = before[s]
+            for length, i, j in intervals(common[first:last].tolist(), least):
+                s = slice(first + i, first + j + 1)
+                known = b[s]
                 if known[0] >= 0 and (known == known[0]).all() and (o[s] == o[s][0]).all():
                     continue
                 earliest = np.lexsort((start[s], ths[w[s]], ids[w[s]]))[0]
