@@ -39,6 +39,7 @@ GRAM = 28
 BUCKET_BYTES = 16 << 20
 PIECE = 1 << 18
 SUFFIXES = 20_000
+CANDIDATES = 300_000
 NO_ID = -(2 ** 63)
 
 _PLACE = np.uint64((1 << 20) - 1)
@@ -306,12 +307,38 @@ def repeats(around: np.ndarray, h: np.ndarray, ids: np.ndarray, ths: np.ndarray,
     starts = np.unique(np.stack([group_of[order][inner], common[inner]], axis=1), axis=0)
     first = np.searchsorted(starts[:, 0], np.arange(group_of.max() + 2))
     n = (first[1:] - first[:-1])[group_of]
-    who = np.repeat(np.arange(len(h)), n)
-    back_by = starts[np.repeat(first[:-1][group_of], n) + np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n), 1]
-    fits = (back_by <= best[1][who]) & (back_by + best[0][who] >= least)
-    who, back_by = who[fits], back_by[fits]
+    by_group = np.argsort(group_of, kind="stable")
+    groups = np.append(np.nonzero(np.diff(group_of[by_group]))[0] + 1, len(h))
+    load = np.cumsum(n[by_group])
+    found: list[list[np.ndarray]] = [[], [], []]
+    at = 0
+    while at < len(h):
+        # whole groups, so many that their candidates stay bounded
+        limit = np.searchsorted(load, (load[at - 1] if at else 0) + CANDIDATES)
+        to = groups[min(np.searchsorted(groups, max(limit, at + 1)), len(groups) - 1)]
+        members = by_group[at:to]
+        at = to
+        own = n[members]
+        who = np.repeat(members, own)
+        offset = np.arange(len(who)) - np.repeat(np.cumsum(own) - own, own)
+        back_by = starts[first[:-1][group_of[who]] + offset, 1]
+        fits = (back_by <= best[1][who]) & (back_by + best[0][who] >= least)
+        for side, x in zip(found, _group_repeats(
+                who[fits], back_by[fits], around, h, ids, ths, place, left, right, least)):
+            side.append(x)
+    return tuple(np.concatenate(x) for x in found)
+
+
+def _group_repeats(who: np.ndarray, back_by: np.ndarray, around: np.ndarray, h: np.ndarray, ids: np.ndarray,
+                   ths: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray,
+                   least: int) -> tuple[np.ndarray, ...]:
+    """Spans in whole groups; candidates are suffixes that start ``back_by`` bytes before the anchor of ``who``."""
+    if not len(who):
+        return (np.zeros(0, np.int64),) * 3
+    back, width = least - GRAM, 2 * least - GRAM
+    some, who = np.unique(who, return_inverse=True)
+    around, h, ids, ths, place, left, right = (x[some] for x in (around, h, ids, ths, place, left, right))
     found: list[list[np.ndarray]] = [[], [], []]
-    width = 2 * least - GRAM
     padded = np.zeros((len(h), width + back), np.uint8)
     padded[:, :width] = around
     windows = np.lib.stride_tricks.sliding_window_view(padded.ravel(), width)
@@ -323,8 +350,6 @@ def repeats(around: np.ndarray, h: np.ndarray, ids: np.ndarray, ths: np.ndarray,
         key[at:at + SUFFIXES] = _mix((_TABLE[part] * _powers()[0][:least]).sum(axis=1, dtype=np.uint64) + _mix(h[w]))
     order = np.argsort(key, kind="stable")
     who, back_by, key = who[order], back_by[order], key[order]
-    if not len(who):
-        return tuple(np.zeros(0, np.int64) for _ in found)
     starts = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1])
     sizes = np.diff(np.append(starts, len(who)))
     before = np.where(back_by < left[who], around[who, np.maximum(back - back_by - 1, 0)].astype(np.int64), -1)
@@ -361,7 +386,7 @@ def repeats(around: np.ndarray, h: np.ndarray, ids: np.ndarray, ths: np.ndarray,
                 earliest = np.lexsort((start[s], ths[w[s]], ids[w[s]]))[0]
                 same = (ids[w[s]] == ids[w[s]][earliest]) & (ths[w[s]] == ths[w[s]][earliest]) & (
                     start[s] == start[s][earliest])
-                for side, x in zip(found, (w[s][~same], start[s][~same], start[s][~same] + length)):
+                for side, x in zip(found, (some[w[s][~same]], start[s][~same], start[s][~same] + length)):
                     side.append(x)
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
 
