@@ -338,7 +338,8 @@ def _group_repeats(who: np.ndarray, back_by: np.ndarray, around: np.ndarray, h:
     back, width = least - GRAM, 2 * least - GRAM
     some, who = np.unique(who, return_inverse=True)
     around, h, ids, ths, place, left, right = (x[some] for x in (around, h, ids, ths, place, left, right))
-    found: list[list[np.ndarray]] = [[], [], []]
+    # all spans of a context hold its anchor, so what they cover is one span
+    low_end, high_end = np.full(len(h), np.iinfo(np.int64).max), np.full(len(h), -1)
     padded = np.zeros((len(h), width + back), np.uint8)
     padded[:, :width] = around
     windows = np.lib.stride_tricks.sliding_window_view(padded.ravel(), width)
@@ -386,9 +387,10 @@ def _group_repeats(who: np.ndarray, back_by: np.ndarray, around: np.ndarray, h:
                 earliest = np.lexsort((start[s], ths[w[s]], ids[w[s]]))[0]
                 same = (ids[w[s]] == ids[w[s]][earliest]) & (ths[w[s]] == ths[w[s]][earliest]) & (
                     start[s] == start[s][earliest])
-                for side, x in zip(found, (some[w[s][~same]], start[s][~same], start[s][~same] + length)):
-                    side.append(x)
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+                np.minimum.at(low_end, w[s][~same], start[s][~same])
+                np.maximum.at(high_end, w[s][~same], start[s][~same] + length)
+    hit = np.nonzero(high_end >= 0)[0]
+    return some[hit], low_end[hit], high_end[hit]
 
 
 def _repeated(buckets: int, least: int):
