@@ -3,7 +3,8 @@
 Every kind has a pattern, a validator and a prior. A span's score is the prior, raised where a checksum confirms it
 (Luhn for cards, mod 97 for account numbers) and raised again where a context word of its kind stands within
 ``CONTEXT_CHARS``. Kinds of the base contract stay whatever their score; the further kinds need ``THRESHOLD``.
-All patterns are linear in the text: runs are consumed possessively and never tried again from within.
+All patterns are linear in the text: runs are consumed possessively and never tried again from within, but for account
+numbers, whose tail is bounded.
 
 Null and empty texts have no spans; offsets are code points, ends exclusive; repeated rows are scanned each.
 """
@@ -37,8 +38,16 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++(?:\.[0-9]++(\.[0-9]++)?+)?+)?+")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})")
+_IBAN_TAIL = re.compile(r"(?:\x20?[A-Z0-9]){11,30}+")
+#: characters of an account number by country
+_IBAN_CHARS = {country: int(n) for n, countries in (line.split(":") for line in """
+15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV
+22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG
+25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL 29:BR,EG,PS,QA,UA
+30:JO,KW,MU 31:MT,SC 32:LC 33:RU""".split()) for country in countries.split(",")}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -84,9 +93,22 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """What follows a number may look like more of it: every end before a character that is none is tried, that of the
+    country's length first, then the longest."""
+    last = 0
     for m in _IBAN.finditer(text):
-        if mod97(m.group().replace(" ", "")):
-            yield m.span()
+        start = m.start()
+        if start < last:
+            continue
+        tail = _IBAN_TAIL.match(text, m.end()).end()
+        ends = [e for e in range(tail, m.end(), -1) if text[e - 1] != " " and not _ALNUM.match(text, e)]
+        codes = {e: code for e in ends if 15 <= len(code := text[start:e].replace(" ", ""))}
+        own = _IBAN_CHARS.get(text[start:start + 2])
+        for end in sorted(codes, key=lambda e: (len(codes[e]) != own, -e)):
+            if mod97(codes[end]):
+                yield start, end
+                last = end
+                break
 
 
 def _ssns(text: str) -> Iterator[tuple[int, int]]:
