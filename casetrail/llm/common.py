@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +57,22 @@ def prefix_sums(rows: DataFrame, order: list[str], value: str, out: str, group:
     within = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(sums, [group, bucket])
     return rows.withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_base")
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes of the column ``text``, one row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                yield batch.slice(a, b - a)
+
+
+def ragged(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values of the lists ``rows`` one after another, their lengths) of lists that lie in ``flat`` between ``offsets``."""
+    begin = offsets[rows]
+    lengths = offsets[rows + 1] - begin
+    shift = np.repeat(begin - (np.cumsum(lengths) - lengths), lengths)
+    return flat[np.arange(len(shift)) + shift], lengths

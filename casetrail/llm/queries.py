@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, imatch, mixing, oracles, pii, sharding, simhash, suffix, toxicity
-from .common import hex_sha256, table
+from . import (alignment, ann, bpe, chat, imatch, mixing, oracles, packing, pii, sharding, simhash, suffix, toxicity,
+               whitening)
+from .common import by_batch, hex_sha256, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +97,50 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+        crc = [zlib.crc32(ids.values.to_numpy().astype("<u4").tobytes()) for ids in batch.column(4)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crc, pa.int64())],
+                                          ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(by_batch(cut, "doc_id long, piece int, start long, length long, ids_crc32 long", digests))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    explained = F.array(*map(F.lit, model["explained"])).cast("array<double>")
+    of = F.arrays_zip(F.col("whitened"), explained.alias("explained"))
+    return rows.select(F.col("id").alias("vec_id"), "deviation", F.posexplode(of).alias("at", "of")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model["n"]).cast("long").alias("n"),
+        F.col("deviation").cast("long").alias("deviation"), F.col("of.whitened").alias("whitened"),
+        F.col("of.explained").alias("explained"), F.lit(model["identity_error"]).alias("identity_error"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    sizes = alignment.vocabulary_sizes(*files)
+    counted = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+
+    def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = {name: batch.column(name) for name in ("a_ids", "b_ids", "a_cuts", "b_cuts", "link_a")}
+        texts = alignment.group_texts(*list(lists.values())[:4], sizes)
+        hashes = [hashlib.sha256(t).hexdigest() if t else "" for t in texts]
+        lengths = [lists[name].value_lengths().cast(pa.int64()) for name in ("a_ids", "b_ids", "b_cuts", "link_a")]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *lengths, pa.array(hashes, pa.string()),
+                                           batch.column("pairs"), batch.column("times")], [*counted, "pairs", "times"])
+
+    aligned = by_batch(alignment.align(table(spark, sf_dir, "documents"), *files), (
+        "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, "
+        "times array<int>"), digests)
+    return alignment.with_counts(aligned, sizes[1], counted)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_suffix_dedup, op3_preference, op4_pii, op5_ann, op6_bpe, op7_imatch, op8_simhash,
-    op9_toxicity, op10_mixing)}
+    op9_toxicity, op10_mixing, op11_packing, op12_whitening, op13_alignment)}
 ORACLES = {"op3_preference": oracles.PREFERENCE, "op10_mixing": oracles.MIXING}
