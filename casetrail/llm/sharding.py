@@ -3,14 +3,15 @@
 A node that is to hold L shards is split along its widest dimension (relative to the dimension's whole width; ties to
 the first) at the weighted quantile ``L div 2 / L`` of its bytes, until every leaf is one shard of the target bytes.
 The quantile is exact: rows order by (coordinate, id), and histograms over the range that holds the quantile, all
-nodes of a level at once, narrow it down to one coordinate and then to one id; a key goes left if that leaves the
+nodes of a level at once, narrow it down to one coordinate, then to one id, then to one row; it goes left if that leaves the
 left side nearer to its goal. So the error of a split is at most half a row, whatever the ties.
 
 Only histograms are shuffled (combined before the shuffle), a hot source or group of copies is cut by id, and the text
 is read once. States per node are tables in the shared folder; nothing passes the driver but the end of each search.
 
 Null texts have the base size and checksum 0, null ids count as 0 and null sources as empty; rows that agree in id and
-coordinate stay together; an empty table has no shards. Ids are taken to lie within plus and minus 2**62.
+coordinate are told apart by the checksum of their text, repeated rows by their place in the measured table, so that any
+number of null or equal ids is cut as well; an empty table has no shards. Ids are taken to lie within plus and minus 2**62.
 """
 
 from __future__ import annotations
@@ -59,30 +60,33 @@ def _states(rows: DataFrame, whole: dict[str, int]) -> DataFrame:
 
 def _searched(rows: DataFrame, states: DataFrame, position: Column, only: Column) -> DataFrame:
     """States whose range is narrowed to the one position where the running bytes pass the goal."""
-    keep = [c for c in states.columns if c not in ("below", "weight")]
+    keep = [c for c in states.columns if c not in ("below", "weight", "rows")]
     running = Window.partitionBy("node").orderBy("bin")  # at most BINS rows per node
     while True:
         step = F.expr(f"(high - low) div {BINS} + 1")
-        place = F.floor((position - F.col("low")) / F.col("step"))
+        ahead = position - F.col("low")
+        place = F.round((ahead - ahead % F.col("step")) / F.col("step")).cast("long")   # exact: a whole number of steps
         bins = (rows.join(states.withColumn("step", step), "node")
                 .where(only & (position >= F.col("low")) & (position <= F.col("high")))
-                .groupBy(*keep, "below", "step", place.alias("bin")).agg(F.sum("size").alias("weight"))
+                .groupBy(*keep, "below", "step", place.alias("bin"))
+                .agg(F.sum("size").alias("weight"), F.count("*").alias("rows"))
                 .withColumn("before", F.sum("weight").over(running) - F.col("weight")))
         passed = F.min(F.when(F.col("below") + F.col("before") + F.col("weight") > F.col("goal"),
-                              F.struct("bin", "before", "weight"))).alias("p")
+                              F.struct("bin", "before", "weight", "rows"))).alias("p")
         found = bins.groupBy(*keep, "below", "step").agg(passed)
         start = F.col("low") + F.col("p.bin") * F.col("step")
         states = written(found.select(
             *(c for c in keep if c not in ("low", "high")), start.alias("low"),
             F.least(F.col("high"), start + F.col("step") - 1).alias("high"),
-            (F.col("below") + F.col("p.before")).alias("below"), F.col("p.weight").alias("weight")), "kd-state")
+            (F.col("below") + F.col("p.before")).alias("below"), F.col("p.weight").alias("weight"), F.col("p.rows").alias("rows")), "kd-state")
         if not states.where("high > low").limit(1).count():
             return states
 
 
 def kd_tree(rows: DataFrame, shards: int) -> DataFrame:
     """Rows with ``shard``: leaves of near equal bytes, numbered from left to right."""
-    rows = written(rows.withColumn("node", F.lit(0).cast("long")).withColumn("leaves", F.lit(shards).cast("long")), "kd")
+    low = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30))   # fixed once the table is written
+    rows = written(rows.withColumn("row", F.col("text_crc32") * (1 << 30) + low).withColumn("node", F.lit(0).cast("long")).withColumn("leaves", F.lit(shards).cast("long")), "kd")
     first = rows.agg(*(f(d).alias(f"{f.__name__}_{d}") for d in DIMENSIONS for f in (F.min, F.max))).first()
     whole = {d: (first[f"max_{d}"] or 0) - (first[f"min_{d}"] or 0) for d in DIMENSIONS}
     for _ in range((shards - 1).bit_length()):
@@ -90,14 +94,24 @@ def kd_tree(rows: DataFrame, shards: int) -> DataFrame:
         along = along.select("node", "dim", "half", "goal", F.col("low").alias("cut"), F.col("low_id").alias("low"),
                              F.col("high_id").alias("high"), "below", "weight")
         split = _searched(rows, along, F.col("d_id"), _chosen() == F.col("cut")).select(
-            "node", "dim", "half", "cut", F.col("low").alias("cut_id"),
-            (2 * F.col("below") + F.col("weight") <= 2 * F.col("goal")).alias("key_left"))
+            "node", "dim", "half", "goal", "cut", F.col("low").alias("cut_id"), "below", "weight", "rows")
+        last = F.lit((1 << 62) - 1)
+        if split.where("rows > 1").limit(1).count():   # rows of one id at the cut: among them the row decides
+            among = (_chosen() == F.col("cut")) & (F.col("d_id") == F.col("cut_id"))
+            split = _searched(rows, split.select(*split.columns, F.lit(0).cast("long").alias("low"), last.alias("high")),
+                              F.col("row"), among).withColumnRenamed("low", "cut_row")
+        else:
+            split = split.withColumn("cut_row", last)
+        key_left = (2 * F.col("below") + F.col("weight") <= 2 * F.col("goal")).alias("key_left")
+        split = split.select("node", "dim", "half", "cut", "cut_id", "cut_row", key_left)
         x = _chosen()
+        at_row = F.when(F.col("row") == F.col("cut_row"), F.col("key_left")).otherwise(
+            F.when(F.col("cut_row") == last, F.col("key_left")).otherwise(F.col("row") < F.col("cut_row")))
         left = (x < F.col("cut")) | (x == F.col("cut")) & (
-            (F.col("d_id") < F.col("cut_id")) | (F.col("d_id") == F.col("cut_id")) & F.col("key_left"))
+            (F.col("d_id") < F.col("cut_id")) | (F.col("d_id") == F.col("cut_id")) & at_row)
         rows = rows.join(split, "node", "left")
         rows = written(rows.select(
-            "id", "size", "text_crc32", *DIMENSIONS,
+            "id", "size", "text_crc32", "row", *DIMENSIONS,
             F.when(F.col("dim").isNull() | left, F.col("node")).otherwise(F.col("node") + F.col("half")).alias("node"),
             F.when(F.col("dim").isNull(), F.col("leaves")).when(left, F.col("half"))
             .otherwise(F.col("leaves") - F.col("half")).alias("leaves")), "kd")
@@ -109,5 +123,5 @@ def shards(rows: DataFrame, count: int | None = None, target_bytes: int | None =
     rows = written(rows, "measured")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     cut = kd_tree(rows, count or max(1, -(-total // target_bytes)))
-    cut = cut.withColumn("bucket", F.pmod("d_id", F.lit(n // BUCKET_ROWS + 1))).withColumn("one", F.lit(1).cast("long"))
-    return prefix_sums(cut, ["d_id", "size", "text_crc32"], "one", "slot", "shard").drop("bucket", "one")
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(n // BUCKET_ROWS + 1))).withColumn("one", F.lit(1).cast("long"))
+    return prefix_sums(cut, ["d_id", "size", "text_crc32"], "one", "slot", "shard").drop("bucket", "one", "row")

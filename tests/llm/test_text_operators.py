@@ -10,6 +10,8 @@ import pytest
 
 from casetrail.llm import bpe, imatch, pii, queries, sharding, suffix
 
+from .conftest import invented
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -36,7 +38,16 @@ def test_shards_hold_all_rows_in_near_equal_bytes(spark, tiny):
     rows = rows_of(queries.op1_sharding(spark, SF).withColumnRenamed("doc_id", "id"))
     sizes = checked_shards(rows, tiny.itertuples(index=False, name=None), 24)
     largest = max(r["size"] for r in rows)
-    assert len(sizes) == 24 and max(sizes.values()) - min(sizes.values()) <= largest
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= largest
+
+
+@pytest.mark.parametrize("ids", ["null", "equal rows"])
+def test_rows_without_an_id_of_their_own_are_cut(corpus, ids):
+    rows = [(None if ids == "null" else 7, invented(1 if ids == "equal rows" else i, 60), "en", "s") for i in range(960)]
+    got = rows_of(sharding.shards(sharding.measured(corpus(rows)), 8))
+    sizes = checked_shards(got, [r[:2] for r in rows], 8)
+    largest = max(r["size"] for r in got)
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 6 * largest
 
 
 def test_shards_of_odd_rows(odd, odd_rows, nothing):
