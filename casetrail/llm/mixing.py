@@ -1,9 +1,11 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 The words of a source are packed, text after text, into blocks of ``block`` words. Output shards have ``slots`` slots of
-one block each. For every shard the number of slots per source is drawn: the whole part of its expectation, and a
-multinomial draw over the fractions for the rest, so that large shards stay close to the weights. The slots of a source
-are numbered through all shards; pass ``j div K`` of ``K`` blocks maps slot ``j`` through a pseudorandom permutation
+one block each. A source has a quota of slots: its blocks times its target over its words, so that a source at twice its
+words gets two passes over its blocks, however few. For every shard the number of slots per source is drawn: the whole
+part of its expectation, and a multinomial draw over the fractions for the rest, so that large shards stay close to the
+weights; what the draws give beyond a quota goes back to the sources they left short. The slots of a source are numbered
+through all shards; pass ``j div K`` of ``K`` blocks maps slot ``j`` through a pseudorandom permutation
 of 0..K-1 (a swap-or-not shuffle, a bijection for every K), and slots and blocks join by index.
 
 Targets: the weights 5, 2, 1 repeat over the sources in code-point order (null last); sources share ``share`` times
@@ -89,26 +91,28 @@ def source_targets(rows: DataFrame, share: float = SHARE, repeat: int = REPEAT,
 
 
 def shard_counts(sources: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
-    """(shard, sid, n, first, blocks): drawn slots of a source in a shard, and the number of its first one there."""
+    """(shard, sid, n, first, blocks, quota): drawn slots of a source in a shard, the number of its first one there, and
+    the slots of the source in all: as many passes over its blocks, and parts of one, as its target is of its words."""
     everything = Window.partitionBy(F.lit(0))
     before = Window.partitionBy(F.lit(0)).orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
-    s = (sources.where("source_size > 0").withColumn("total", F.sum("target").over(everything))
-         .withColumn("all_slots", F.floor(F.col("total") / block + 0.5)).where("all_slots > 0")
-         .withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long")))
+    s = (sources.where("source_size > 0")
+         .withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long"))
+         .withColumn("quota", F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5))
+         .withColumn("all_slots", F.sum("quota").over(everything)).where("all_slots > 0"))
     sizes = {"full": F.lit(slots).cast("long"), "last": F.col("all_slots") % slots}
-    expected = {k: F.col("target") / F.col("total") * n for k, n in sizes.items()}
-    s = s.select("*", *(F.floor(e).alias(f"{k}_base") for k, e in expected.items()),
-                 *((e - F.floor(e)).alias(f"{k}_odd") for k, e in expected.items()))
-    s = s.select("*", *((n - F.sum(f"{k}_base").over(everything)).alias(f"{k}_rest") for k, n in sizes.items()),
+    s = s.select("*", *(n.alias(f"{k}_n") for k, n in sizes.items()))
+    s = s.select("*", *(F.expr(f"quota * {k}_n div all_slots").alias(f"{k}_base") for k in sizes),
+                 *(F.expr(f"quota * {k}_n % all_slots").alias(f"{k}_odd") for k in sizes))
+    s = s.select("*", *((F.col(f"{k}_n") - F.sum(f"{k}_base").over(everything)).alias(f"{k}_rest") for k in sizes),
                  *(F.sum(f"{k}_odd").over(everything).alias(f"{k}_odds") for k in sizes),
-                 *(F.coalesce(F.sum(f"{k}_odd").over(before), F.lit(0.0)).alias(f"{k}_from") for k in sizes))
+                 *(F.coalesce(F.sum(f"{k}_odd").over(before), F.lit(0)).alias(f"{k}_from") for k in sizes))
     s = written(s, "mix-draws")
     last = F.col("shard") == F.floor(F.col("all_slots") / slots)
     s = s.withColumn("shard", F.explode(F.sequence(
         F.lit(0).cast("long"), F.floor((F.col("all_slots") - 1) / slots))))
     pick = {k: F.when(last, F.col(f"last_{k}")).otherwise(F.col(f"full_{k}"))
             for k in ("base", "odd", "rest", "from", "odds")}
-    s = s.select("shard", "sid", "blocks", *(c.alias(k) for k, c in pick.items()))
+    s = s.select("shard", "sid", "blocks", "quota", *(c.alias(k) for k, c in pick.items()))
 
     def drawn(i: Column) -> Column:
         u = mixed_hash(F.col("shard"), i) / F.lit(float(OTHER_PRIME)) * F.col("odds")
@@ -116,20 +120,37 @@ def shard_counts(sources: DataFrame, block: int = BLOCK, slots: int = SLOTS) ->
 
     draws = F.when(F.col("rest") > 0, F.size(F.filter(F.sequence(
         F.lit(1).cast("long"), F.greatest(F.col("rest"), F.lit(1))), drawn))).otherwise(0)
-    s = s.select("shard", "sid", "blocks", (F.col("base") + draws).alias("n"),
+    s = s.select("shard", "sid", "blocks", "quota", (F.col("base") + draws).alias("n"),
                  F.floor(F.col("shard") / 1024).alias("bucket"))
     return prefix_sums(s, ["shard"], "n", "first").drop("bucket")
 
 
-def slot_blocks(counts: DataFrame, repeat: int = REPEAT) -> DataFrame:
-    """(shard, slot, sid, block): the block that fills each slot; noise beyond ``repeat`` passes stays unfilled."""
-    j = F.col("first") + F.col("i") - 1
+def slot_blocks(counts: DataFrame) -> DataFrame:
+    """(shard, slot, sid, block): the block that fills each slot.
+
+    Slots that the draw gives a source beyond its quota go, in order, to the sources that it left short.
+    """
+    counts = written(counts.withColumn("over", F.greatest(F.lit(0).cast("long"), F.least(
+        F.col("n"), F.col("first") + F.col("n") - F.col("quota")))), "mix-counts")
     # few rows become many: the partitions are asked for by number, so that they are not merged beforehand
-    s = (counts.where("n > 0").repartition(shuffle_partitions(counts.sparkSession), "shard", "sid")
-         .withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-         .withColumn("j", j).where(F.col("j") < F.col("blocks") * repeat))
+    s = counts.where("n > over").repartition(shuffle_partitions(counts.sparkSession), "shard", "sid").withColumn(
+        "i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") - F.col("over"))))
+    own = s.select("shard", F.col("i").alias("slot"), "sid", "blocks", (F.col("first") + F.col("i") - 1).alias("j"))
+    freed = prefix_sums(counts.where("over > 0").select(
+        "shard", "sid", "n", "over", F.lit(0).alias("all"), F.floor(F.col("shard") / 1024).alias("bucket")),
+        ["shard", "sid"], "over", "base", "all")
+    freed = freed.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("over")))).select(
+        "shard", (F.col("n") - F.col("over") + F.col("i")).alias("slot"), F.col("sid").alias("of"),
+        (F.col("base") + F.col("i")).alias("f"))
+    short = counts.groupBy("sid", "blocks", "quota").agg(F.sum("n").alias("got")).where("got < quota")
+    before = Window.partitionBy(F.lit(0)).orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
+    short = short.withColumn("base", F.coalesce(F.sum(F.col("quota") - F.col("got")).over(before), F.lit(0))).withColumn(
+        "i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("quota") - F.col("got")))).select(
+        "sid", "blocks", (F.col("got") + F.col("i") - 1).alias("j"), (F.col("base") + F.col("i")).alias("f"))
+    given = freed.join(short, "f").select("shard", F.struct("of", "slot").alias("at"), "sid", "blocks", "j")
+    s = own.select("shard", F.struct(F.col("sid").alias("of"), "slot").alias("at"), "sid", "blocks", "j").unionByName(given)
     block = permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.col("sid"), F.floor(F.col("j") / F.col("blocks")))
-    return s.select("shard", F.col("i").alias("slot"), "sid", block.alias("block"))
+    return s.select("shard", F.col("at.slot").alias("slot"), F.col("at.of").alias("drawn_for"), "sid", block.alias("block"))
 
 
 def placed(rows: DataFrame, sources: DataFrame, buckets: int) -> DataFrame:

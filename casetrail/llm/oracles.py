@@ -86,12 +86,14 @@ reached AS (SELECT arg_min(level, step) AS level FROM filling WHERE level * weig
 sources AS (
   SELECT sid, source, source_size, least(cap, coalesce((SELECT level FROM reached) * weight, cap))::DOUBLE AS target
   FROM filling),
-total AS (SELECT sum(target) AS t, floor(sum(target) / {_B} + 0.5)::BIGINT AS all_slots FROM sources),
+quotas AS (
+  SELECT *, floor(target * blocks / source_size + 0.5)::BIGINT AS quota
+  FROM (SELECT *, ceil(source_size / {_B})::BIGINT AS blocks FROM sources WHERE source_size > 0)),
+total AS (SELECT sum(quota)::BIGINT AS all_slots FROM quotas),
 kinds AS (
-  SELECT s.*, ceil(source_size / {_B})::BIGINT AS blocks, k.kind, k.n, floor(target / t * k.n)::BIGINT AS base,
-         target / t * k.n - floor(target / t * k.n) AS odd, all_slots
-  FROM sources s, total, (SELECT 'full' AS kind, {_N} AS n UNION ALL SELECT 'last', all_slots % {_N} FROM total) k
-  WHERE source_size > 0 AND all_slots > 0),
+  SELECT s.*, k.kind, k.n, quota * k.n // all_slots AS base, quota * k.n % all_slots AS odd, all_slots
+  FROM quotas s, total, (SELECT 'full' AS kind, {_N} AS n UNION ALL SELECT 'last', all_slots % {_N} FROM total) k
+  WHERE all_slots > 0),
 odds AS (
   SELECT *, n - sum(base) OVER (PARTITION BY kind) AS rest, sum(odd) OVER (PARTITION BY kind) AS whole,
          coalesce(sum(odd) OVER (PARTITION BY kind ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo
@@ -100,7 +102,7 @@ shards AS (
   SELECT o.*, g.shard FROM odds o, total, (SELECT unnest(range((all_slots + {_N - 1}) // {_N})) AS shard FROM total) g
   WHERE (g.shard = total.all_slots // {_N}) = (kind = 'last')),
 counts AS (
-  SELECT shard, sid, blocks, base + (
+  SELECT shard, sid, blocks, quota, base + (
     SELECT count(*) FROM (SELECT unnest(range(1, rest::BIGINT + 1)) AS i) d
     WHERE {_hash("shard", "i")} / {mixing.OTHER_PRIME}.0 * whole >= lo
       AND {_hash("shard", "i")} / {mixing.OTHER_PRIME}.0 * whole < lo + odd) AS n
@@ -108,8 +110,13 @@ counts AS (
 firsts AS (
   SELECT *, coalesce(sum(n) OVER (PARTITION BY sid ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
     AS first FROM counts),
-slots AS (SELECT shard, sid, blocks, first::BIGINT + unnest(range(n::BIGINT)) AS j FROM firsts),
-p0 AS (SELECT shard, sid, blocks, j // blocks AS pass, j % blocks AS x FROM slots WHERE j < blocks * {mixing.REPEAT}),
+drawn AS (SELECT shard, sid, blocks, quota, first::BIGINT + unnest(range(n::BIGINT)) AS j FROM firsts),
+freed AS (SELECT row_number() OVER (ORDER BY shard, sid, j) AS f, shard FROM drawn WHERE j >= quota),
+short AS (SELECT row_number() OVER (ORDER BY sid, j) AS f, sid, blocks, j FROM (
+  SELECT sid, blocks, unnest(range(sum(n)::BIGINT, quota)) AS j FROM firsts GROUP BY sid, blocks, quota)),
+slots AS (SELECT shard, sid, blocks, j FROM drawn WHERE j < quota
+  UNION ALL SELECT f.shard, s.sid, s.blocks, s.j FROM freed f JOIN short s USING (f)),
+p0 AS (SELECT shard, sid, blocks, j // blocks AS pass, j % blocks AS x FROM slots),
 {_permuted(mixing.ROUNDS)},
 uses AS (SELECT sid, x AS block, count(*) AS uses FROM p{mixing.ROUNDS} GROUP BY ALL),
 placed AS (

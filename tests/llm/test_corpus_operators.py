@@ -18,6 +18,7 @@ from casetrail.operators import components
 from tests.compare import digest, duck, run_duck
 
 from .conftest import invented
+from .test_near_copies import plain_stay
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -297,7 +298,8 @@ def checked_mix(rows, source_rows, block):
         assert 0 <= r["taken"] <= 2 * r["size"]
         taken[r["source"]] += r["taken"]
     for s, target in want.items():
-        assert abs(taken[s] - target) <= 2 * block + 0.05 * target
+        # half a slot of rounding, and one short block that a part of a pass has or has not
+        assert abs(taken[s] - target) <= 1.5 * block + 1e-6 * target
     return taken
 
 
@@ -314,6 +316,34 @@ def test_mix_of_odd_rows(corpus, odd, odd_rows, nothing):
     assert [(r["taken"], r["target"]) for r in rows_of(mixing.taken(empty))] == [(0, 0.0)] * 2
 
 
+def test_sources_smaller_than_a_block_meet_their_targets(corpus):
+    """Sources whose target is twice their words get every word twice, however few there are."""
+    small = {"a": 10, "d": 100, "g": 129, "j": 400, "m": 1, "p": 128}
+    docs = [(i, invented(i, n), "en", s) for i, (s, n) in enumerate(small.items())]
+    docs += [(100 + i, invented(i, 150), "en", s) for i, s in enumerate("bcefhiklnoqr" * 40)]
+    got = rows_of(mixing.taken(corpus(docs)))
+    checked_mix(got, [(s, len(t.split())) for _, t, _, s in docs], 128)
+    assert {r["source"]: (r["target"], r["taken"]) for r in got if r["source"] in small} == {
+        s: (2.0 * n, 2 * n) for s, n in small.items()}
+
+
+def test_slots_over_a_quota_are_given_to_sources_left_short(corpus):
+    """Many shards of few slots draw unevenly; every slot is filled once and every quota is met."""
+    docs = corpus([(i, invented(i, 40), "en", f"s{i % 17:02}") for i in range(600)])
+    rows = written(mixing.sized(docs), "rows")
+    counts = mixing.shard_counts(mixing.source_targets(rows), block=16, slots=5)
+    quotas = {r["sid"]: (r["quota"], r["blocks"]) for r in rows_of(counts)}
+    drawn = Counter()
+    for r in rows_of(counts):
+        drawn[r["sid"]] += r["n"]
+    assert any(drawn[s] != q for s, (q, _) in quotas.items())
+    filled = rows_of(mixing.slot_blocks(counts))
+    assert Counter(r["sid"] for r in filled) == Counter({s: q for s, (q, _) in quotas.items()})
+    assert len({(r["shard"], r["drawn_for"], r["slot"]) for r in filled}) == len(filled)
+    uses = Counter((r["sid"], r["block"]) for r in filled)
+    assert all(quotas[s][0] // quotas[s][1] <= n <= -(-quotas[s][0] // quotas[s][1]) for (s, _), n in uses.items())
+
+
 def test_mixed_texts_hold_what_is_taken(corpus):
     docs = [(i, invented(i, 30 + 11 * (i % 40)), "en", f"s{i % 5}") for i in range(200)]
     frame = corpus(docs)
@@ -350,9 +380,7 @@ def test_pipeline_stages(spark):
     scores = rows_of(toxicity.score(before, toxicity.learn(before, spark.read.parquet(f"{SF}/labels.parquet"))))
     assert {r.doc_id for r in after.collect()} == {r["doc_id"] for r in scores if r["score"] < pipeline.TOXIC}
     before, after = seen["simhash_near_dedup"]
-    rows = before.select("doc_id", "text").collect()
-    want = set(plain_components([r.doc_id for r in rows], [plain_fingerprint(r.text) for r in rows]))
-    assert Counter(r.doc_id for r in after.collect()) == Counter(want)
+    assert Counter(r.doc_id for r in after.collect()) == plain_stay(before.select("doc_id", "text").collect())
     before, after = seen["pii"]
     assert {(r.doc_id, r.text, r.n_chars) for r in after.collect()} == {
         (r.doc_id, t := pii.masked(r.text, pii.find_spans(r.text)), len(t)) for r in before.collect()}
