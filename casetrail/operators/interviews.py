@@ -23,25 +23,28 @@ _KEYS = ("event_identifier", "meeting_url", "start_key")
 
 
 class Threads:
-    """Interviews of one job so far, as far as later events can refer to them."""
+    """Interviews so far, as far as later events can refer to them.
+
+    ``opened`` orders interviews by their first message, so that the parts of two threads can be put together.
+    """
 
     def __init__(self, state: dict | None = None):
         state = state or {}
         self.by_event: dict[str, str] = dict(state.get("by_event", {}))
+        self.opened: dict[str, tuple] = {k: tuple(v) for k, v in state.get("opened", {}).items()}
+        self.touched: dict[str, object] = dict(state.get("touched", {}))
         self.current = {k: dict(state.get(k, {})) for k in ("url", "start")}
-        self.order: dict[str, int] = {}
         self.holders: dict[str, dict[str, set[str]]] = {"url": {}, "start": {}}
         for kind, held in self.current.items():
             for interview, value in held.items():
-                self.order.setdefault(interview, len(self.order))
                 self.holders[kind].setdefault(value, set()).add(interview)
 
     def state(self) -> dict:
-        return {"by_event": self.by_event, **self.current}
+        return {"by_event": self.by_event, "opened": self.opened, "touched": self.touched, **self.current}
 
     def _holding(self, kind: str, value: str) -> str | None:
         held = self.holders[kind].get(value) if value else None
-        return min(held, key=self.order.__getitem__) if held else None
+        return min(held, key=self.opened.__getitem__) if held else None
 
     def _set(self, kind: str, interview: str, value: str) -> None:
         old = self.current[kind].get(interview)
@@ -51,16 +54,30 @@ class Threads:
             self.current[kind][interview] = value
             self.holders[kind].setdefault(value, set()).add(interview)
 
-    def assign(self, identity: str, event: str, url: str, start: str) -> str:
+    def assign(self, identity: str, event: str, url: str, start: str, at: int | None = None) -> str:
+        """The interview of the next event in order; ``at`` is its time where states are put together."""
         found = self.by_event.get(event) if event else None
         found = found or self._holding("url", url) or self._holding("start", start) or identity
-        self.order.setdefault(found, len(self.order))
+        self.opened.setdefault(found, (len(self.opened) if at is None else at, identity))
+        self.touched[found] = at
         if event:
             self.by_event.setdefault(event, found)
         self._set("url", found, url)
         self._set("start", found, start)
         return found
 
+    def forget(self, interviews: set[str]) -> None:
+        """Drops interviews that no later event is to find."""
+        self.by_event = {e: k for e, k in self.by_event.items() if k not in interviews}
+        for held in (self.opened, self.touched, *self.current.values()):
+            for k in interviews:
+                held.pop(k, None)
+        for values in self.holders.values():
+            for value in list(values):
+                values[value] -= interviews
+                if not values[value]:
+                    del values[value]
+
 
 def _assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Streams over events sorted by thread; holds the open thread only."""
@@ -82,15 +99,16 @@ def split_threads(keyed: DataFrame) -> DataFrame:
     threads, so that a hot job is folded by many tasks.
 
     Threads are the connected components of messages and the values they name, whatever the size of the job; a chain
-    of any length takes logarithmically many rounds.
+    of any length takes logarithmically many rounds. Messages and values go by 64-bit hashes: two that hash alike put
+    their threads together, which is folded in order all the same. Values of one message connect nothing and stay out.
     """
-    message = F.concat(F.col("job_id").cast("string"), F.lit("|m|"), F.col("message_identity"))
-    named = F.filter(F.array(*[F.when(F.col(k) != "", F.concat(
-        F.col("job_id").cast("string"), F.lit(f"|{k}="), F.col(k))) for k in _KEYS]), lambda v: v.isNotNull())
-    links = keyed.select(message.alias("a"), F.explode(named).alias("b"))
-    roots = component_roots(links).withColumnRenamed("a", "_node")
-    return keyed.withColumn("_node", message).join(roots, "_node", "left").withColumn(
-        "thread", F.coalesce("root", "_node")).drop("_node", "root")
+    named = F.filter(F.array(*[F.when(F.col(k) != "", F.xxhash64("job_id", F.lit(k), F.col(k))) for k in _KEYS]),
+                     lambda v: v.isNotNull())
+    rows = keyed.withColumn("_node", F.xxhash64("job_id", F.lit("message"), "message_identity"))
+    links = rows.select(F.col("_node").alias("a"), F.explode(named).alias("b"))
+    shared = links.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")
+    roots = component_roots(links.join(shared, "b").select("a", "b")).withColumnRenamed("a", "_node")
+    return rows.join(roots, "_node", "left").withColumn("thread", F.coalesce("root", "_node")).drop("_node", "root")
 
 
 def assign_interviews(events: DataFrame) -> DataFrame:
@@ -114,8 +132,16 @@ def assign_interviews(events: DataFrame) -> DataFrame:
 
 
 def interviews_from(assigned: DataFrame) -> DataFrame:
-    """One row per interview: type, title and contact of the first, the rest as last said."""
+    """One row per interview: type of the first, contact of the first that has one, the rest as last said.
+
+    The place is the location, else the phone number. ``phone`` and ``recruiter_id`` (the contact that the message was
+    resolved to) may be missing from the events.
+    """
     order = F.struct("observed_at", "message_identity")
+    have = set(assigned.columns)
+    place = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("location_text", "phone") if c in have])
+    contact = F.col("recruiter_id") if "recruiter_id" in have else F.lit(None).cast("bigint")
+    assigned = assigned.withColumns({"location_text": place, "recruiter_id": contact})
 
     def last(column: str) -> Column:
         filled = F.col(column).isNotNull() & (F.col(column).cast("string") != "")
@@ -123,11 +149,14 @@ def interviews_from(assigned: DataFrame) -> DataFrame:
 
     return assigned.groupBy("interview_key").agg(
         F.min("job_id").alias("job_id"),
+        F.min_by("recruiter_id", F.when(F.col("recruiter_id").isNotNull(), order)).alias("recruiter_id"),
         F.min_by("interview_type", order).alias("interview_type"),
         F.max_by(interview_status("event_type"), order).alias("status"),
         *[last(c) for c in ("scheduled_start", "scheduled_end", "timezone", "location_type",
                             "location_text", "meeting_url", "title")],
+        F.min_by("message_identity", order).alias("first_source_message_identity"),
         F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at"),
+        F.min("observed_at").alias("created_at"), F.max("observed_at").alias("updated_at"),
         F.count("*").alias("event_count"))
 
 

@@ -440,6 +440,7 @@ def oracle_text(text: str) -> str:
     body = _expand(text, resolve).strip()
     if not ctes:
         return body
-    if body[:5].upper() == "WITH ":
-        return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
+    for word in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(word):
+            return word + ",\n".join(ctes) + ",\n" + body[len(word):]
     return "WITH " + ",\n".join(ctes) + "\n" + body

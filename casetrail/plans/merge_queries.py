@@ -13,7 +13,7 @@ from ..operators import interviews as N
 from ..operators import merge as U
 from ..operators import quality as Q
 from .bindings import Views
-from .funnel_queries import _MSG, CONTACT_SQL
+from .funnel_queries import _MSG, CONTACT_SQL, INTERVIEW_SQL
 from .registry import query
 
 # --- merges -----------------------------------------------------------------------------------
@@ -164,17 +164,53 @@ def rollback_scope(v: Views) -> DataFrame:
 
 # --- interviews ---------------------------------------------------------------------------------
 def interview_stream(v: Views) -> DataFrame:
-    """Interview messages of a few hundred jobs, as the fold wants them."""
+    """Interview messages of twenty jobs, as the fold wants them; every link and event id is named by many of them."""
     rows = C.interview_evidence(C.classify(v.messages))
-    return rows.select((F.col("id") % 97).alias("job_id"), "message_identity",
-                       F.col("received_at").alias("observed_at"), "interview.*")
-
-
-@query("fold_interviews", "U-05 J-08")
+    return rows.select((F.col("id") % 20).alias("job_id"), "message_identity",
+                       F.col("received_at").alias("observed_at"), "interview.*",
+                       F.when(F.col("user_id") % 6 < 4, F.col("user_id")).alias("recruiter_id"))
+
+
+# The same assignment replayed event by event: every job keeps the events and the interviews it has seen.
+FOLD_SQL = f"""WITH RECURSIVE {_MSG}, {INTERVIEW_SQL},
+ordered AS MATERIALIZED (SELECT s.id % 20 AS job_id, s.message_identity, s.received_at AS observed_at, s.event_type, s.interview_type, CAST(s.scheduled_start AS VARCHAR) AS scheduled_start,
+  CAST(s.scheduled_end AS VARCHAR) AS scheduled_end, s.zone AS timezone, s.meeting_url, CASE WHEN s.location_text <> '' THEN s.location_text ELSE s.phone END AS place,
+  CASE WHEN s.meeting_url <> '' THEN 'video' WHEN s.location_text <> '' THEN 'physical' WHEN s.phone <> '' THEN 'phone' ELSE 'unknown' END AS location_type, s.title,
+  s.event_identifier, coalesce(CAST(s.scheduled_start AS VARCHAR), '') AS start_key, CASE WHEN m.user_id % 6 < 4 THEN m.user_id END AS recruiter_id,
+  row_number() OVER (PARTITION BY s.id % 20 ORDER BY s.received_at, s.message_identity) AS n FROM seen s JOIN (SELECT id AS mid, user_id FROM <<messages>>) m ON m.mid = s.id),
+replay(job_id, n, known, held, message_identity, interview_key) AS (
+  SELECT DISTINCT job_id, 0::BIGINT, []::STRUCT(e VARCHAR, k VARCHAR)[], []::STRUCT(k VARCHAR, u VARCHAR, s VARCHAR)[], ''::VARCHAR, ''::VARCHAR FROM ordered
+  UNION ALL
+  SELECT job_id, n, CASE WHEN event_identifier = '' OR len(list_filter(known, lambda x: x.e = event_identifier)) > 0 THEN known ELSE list_append(known, {{'e': event_identifier, 'k': found}}) END,
+    CASE WHEN len(list_filter(held, lambda x: x.k = found)) = 0 THEN list_append(held, {{'k': found, 'u': meeting_url, 's': start_key}})
+      ELSE list_transform(held, lambda x: CASE WHEN x.k = found THEN {{'k': x.k, 'u': CASE WHEN meeting_url <> '' THEN meeting_url ELSE x.u END, 's': CASE WHEN start_key <> '' THEN start_key ELSE x.s END}} ELSE x END) END,
+    message_identity, found
+  FROM (SELECT r.job_id, r.known, r.held, o.n, o.message_identity, o.event_identifier, o.meeting_url, o.start_key, coalesce(
+    CASE WHEN o.event_identifier <> '' THEN list_filter(r.known, lambda x: x.e = o.event_identifier)[1].k END,
+    CASE WHEN o.meeting_url <> '' THEN list_filter(r.held, lambda x: x.u = o.meeting_url)[1].k END,
+    CASE WHEN o.start_key <> '' THEN list_filter(r.held, lambda x: x.s = o.start_key)[1].k END, o.message_identity) AS found
+    FROM replay r JOIN ordered o ON o.job_id = r.job_id AND o.n = r.n + 1) step),
+assigned AS (SELECT message_identity, interview_key FROM replay WHERE n > 0)"""
+
+
+def _last(column: str, out: str = "") -> str:
+    return f"arg_max({column}, n) FILTER (coalesce({column}, '') <> '') AS {out or column}"
+
+
+@query("fold_interviews", "U-05 J-08", f"""{FOLD_SQL} SELECT interview_key, min(job_id) AS job_id, arg_min(recruiter_id, n) FILTER (recruiter_id IS NOT NULL) AS recruiter_id, arg_min(interview_type, n) AS interview_type,
+CASE arg_max(event_type, n) WHEN 'confirmation' THEN 'confirmed' WHEN 'reschedule' THEN 'rescheduled' WHEN 'cancellation' THEN 'cancelled' ELSE 'scheduled' END AS status,
+{", ".join(map(_last, ("scheduled_start", "scheduled_end", "timezone", "location_type", "meeting_url", "title")))}, {_last("place", "location_text")},
+arg_min(message_identity, n) AS first_source_message_identity, CAST(min(observed_at) AS VARCHAR) AS first_seen_at, CAST(max(observed_at) AS VARCHAR) AS last_seen_at,
+CAST(min(observed_at) AS VARCHAR) AS created_at, CAST(max(observed_at) AS VARCHAR) AS updated_at, count(*) AS event_count FROM ordered JOIN assigned USING (message_identity) GROUP BY interview_key""")
 def fold_interviews(v: Views) -> DataFrame:
     out = N.fold_interviews(interview_stream(v))
     return out.withColumns({c: F.col(c).cast("string") for c in (
-        "scheduled_start", "scheduled_end", "first_seen_at", "last_seen_at")})
+        "scheduled_start", "scheduled_end", "first_seen_at", "last_seen_at", "created_at", "updated_at")})
+
+
+@query("assign_interviews", "J-08", f"{FOLD_SQL} SELECT message_identity, interview_key FROM assigned")
+def assign_interviews(v: Views) -> DataFrame:
+    return N.assign_interviews(interview_stream(v)).select("message_identity", "interview_key")
 
 
 # --- quality --------------------------------------------------------------------------------------

@@ -10,12 +10,12 @@ from .. import fixed
 from ..operators import classify as C
 from ..operators import identity as I
 from ..operators import merge as U
-from ..session import scratch_path
+from ..session import scratch_path, write_through
 from ..sources import calendar, mail, sinks, tables
 from ..streaming import ingest as R
 from ..streaming.stateful import stateful_interviews
 from .bindings import Views
-from .merge_queries import interview_stream
+from .merge_queries import FOLD_SQL, interview_stream
 from .registry import query
 
 
@@ -233,12 +233,26 @@ def namespace_guard(v: Views) -> DataFrame:
     return R.namespace_guard(current, rows.where("uid % 5 >= 3"))[1].select("uid")
 
 
-@query("stateful_interviews", "R-06 J-08")
+def landed_in_parts(events: DataFrame, parts: int, late_days: int) -> str:
+    """Writes ``events`` as files that land one after another in order of time, but for messages that are late by up to
+    ``late_days``; returns the folder."""
+    path = scratch_path(events.sparkSession, "interview-events")
+    events = write_through(events, "interview-messages")
+    late = F.pmod(F.xxhash64("message_identity"), F.lit(late_days * 86_400))
+    arrived = F.unix_timestamp(F.col("observed_at").cast("timestamp")) + late
+    first, last = events.agg(F.min(arrived), F.max(arrived)).first()
+    part = F.least(F.lit(parts - 1), F.floor((arrived - F.lit(first or 0)) * parts / F.lit((last or 0) - (first or 0) + 1)))
+    for n in range(parts):   # one after another: a stream reads files in the order in which they land
+        events.where(part == n).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@query("stateful_interviews", "R-06 J-08", f"{FOLD_SQL} SELECT message_identity, interview_key FROM assigned")
 def stateful(v: Views) -> DataFrame:
-    path = scratch_path(v.spark, "interview-events")
-    interview_stream(v).write.mode("overwrite").parquet(path)
-    schema = v.spark.read.parquet(path).schema
-    return R.run_available(stateful_interviews(R.stream_messages(v.spark, path, schema)), "stateful")
+    events = interview_stream(v)
+    path = landed_in_parts(events, parts=4, late_days=2)
+    stream = stateful_interviews(R.stream_messages(v.spark, path, events.schema, files_per_batch=1), delay="3 days")
+    return R.run_updates(stream, "stateful", ["message_identity"])
 
 
 @query("tumbling_counts", "R-07", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")

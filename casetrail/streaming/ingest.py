@@ -73,6 +73,28 @@ def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFr
     return spark.read.schema(stream.schema).parquet(target)
 
 
+def run_updates(stream: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
+    """Processes what has landed and returns the last row of every key of an ``update`` stream.
+
+    Each batch writes a folder of its own, so that a batch that runs again replaces only what it wrote.
+    """
+    spark = stream.sparkSession
+    target, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
+    schema = StructType(list(stream.schema.fields)).add("batch", "long")
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    query = stream.writeStream.option("checkpointLocation", state).trigger(
+        availableNow=True).outputMode("update").foreachBatch(put).start()
+    query.awaitTermination()
+    if not query.recentProgress:
+        return spark.createDataFrame([], stream.schema)
+    others = [c for c in stream.columns if c not in keys]
+    newest = F.max_by(F.struct(*others), "batch").alias("_newest")
+    return spark.read.schema(schema).parquet(target).groupBy(*keys).agg(newest).select(*keys, "_newest.*")
+
+
 def run_batches(stream: DataFrame, write, label: str) -> None:
     """Processes what has landed through a ``foreachBatch`` function."""
     state = scratch_path(stream.sparkSession, f"{label}-state")
