@@ -1,4 +1,4 @@
-"""Finding known companies in running text by an equi-join on word sequences."""
+"""Finding known companies in running text by the phrases that may be names."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from ..functions.text import casefold, text_or_empty
 from ..session import write_through
 
 _WORD = r"([\p{L}\p{N}]+)"
-_LONGEST = 12   # words of a name used for the lookup; longer names are verified in full anyway
+_PLACES = 1 << 18   # places of the two fixed-size tables that say which words and phrases may belong to a name
 
 
 def company_vocabulary(jobs: DataFrame, only_valid: bool = True) -> DataFrame:
@@ -38,6 +38,22 @@ _SUMMARY_CONTEXT = (fixed.SUMMARY_CONTEXT_AFTER, fixed.SUMMARY_CONTEXT_BEFORE)
 _BOUNDED = (r"(?<![\p{L}\p{N}])NAME(?![\p{L}\p{N}])",)
 
 
+def _place(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(_PLACES)).cast("int")
+
+
+def _places(names: DataFrame, column: str) -> Column:
+    """A byte for each place of the hash: 1 where some value of the column falls. At most ``_PLACES`` numbers are read."""
+    held = bytearray(_PLACES)
+    for row in names.select(_place(F.col(column))).distinct().collect():
+        held[row[0]] = 1
+    return F.lit(bytes(held))
+
+
+def _may_be(c: Column, places: Column) -> Column:
+    return F.substring(places, _place(c) + 1, F.lit(1)) == F.lit(b"\x01")
+
+
 def company_in_text(
     messages: DataFrame, companies: DataFrame, text: Column, key: str = "message_identity",
     context: tuple[str, ...] = _TEXT_CONTEXT,
@@ -45,32 +61,31 @@ def company_in_text(
     """(key, company): the longest known name that stands in the text as a bounded phrase and in
     context ("at X", "X ... role").
 
-    Every word of a text that starts some name carries the few words after it; joined on that
-    first word (one row per word in the dictionary) and then on the full sequence (one row per
-    name), neither join multiplies rows.  Only texts with a hit are read again to check the
-    context.
+    A text is cut into words once. Two tables of ``_PLACES`` bytes, whatever the dictionary, hold the hashes of first words
+    and of whole names: only where a word may start a name are phrases of the lengths of names cut, and only phrases that
+    may be names leave the row. What leaves is joined on the phrase (one row per name), so that no hash decides. Texts with
+    a hit are read again to check the context.
     """
     folded = computed_once(messages.select(key, text_or_empty(text).alias("_t")),
                            _folded=casefold("_t")).drop("_t")
-    # as written tables both have a known size: Spark broadcasts them while they are small, and the
-    # words of the texts are then filtered where they lie instead of being shuffled
     names = companies.select("company", casefold("company").alias("_name")).withColumn(
-        "_words", F.slice(F.regexp_extract_all("_name", F.lit(_WORD), 1), 1, _LONGEST)
-    ).where(F.size("_words") > 0).withColumns({
-        "_phrase": F.array_join("_words", " "), "_first": F.get("_words", F.lit(0)),
-        "_n": F.size("_words")}).select("company", "_name", "_phrase", "_first", "_n")
+        "_words", F.regexp_extract_all("_name", F.lit(_WORD), 1)).where(F.size("_words") > 0).select(
+        "company", "_name", F.array_join("_words", " ").alias("_phrase"), F.get("_words", F.lit(0)).alias("_first"),
+        F.size("_words").alias("_n"))
+    # a written table has a known size: Spark broadcasts it while it is small and shuffles the phrases otherwise
     names = write_through(names, "dictionary")
-    starts = write_through(
-        names.groupBy("_first").agg(F.collect_set("_n").alias("_lengths")), "dictionary-starts")
-    # windows are cut before the explode, so an exploded row holds a window and not the whole text
-    words = F.regexp_extract_all("_folded", F.lit(_WORD), 1)
-    cut = F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.slice("_w", i, F.lit(_LONGEST)))
-    windows = folded.select(key, words.alias("_w")).where(F.size("_w") > 0).select(
-        key, F.explode(cut).alias("_window")).withColumn("_first", F.get("_window", F.lit(0)))
-    phrases = windows.join(starts, "_first").select(
-        key, "_window", F.explode("_lengths").alias("_n")
-    ).where(F.size("_window") >= F.col("_n")).select(
-        key, F.array_join(F.slice("_window", F.lit(1), F.col("_n")), " ").alias("_phrase"))
+    lengths = sorted(r[0] for r in names.select("_n").distinct().collect())   # a few: the words of a name
+    starts, wholes = _places(names, "_first"), _places(names, "_phrase")
+    words = computed_once(folded, _w=F.regexp_extract_all("_folded", F.lit(_WORD), 1)).select(key, "_w")
+
+    def phrases_at(i: Column) -> Column:
+        cut = F.transform(F.array(*map(F.lit, lengths)), lambda n: F.when(
+            i + n - 1 <= F.size("_w"), F.array_join(F.slice("_w", i, n), " ")))
+        return F.filter(cut, lambda p: p.isNotNull() & _may_be(p, wholes))
+
+    places = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: _may_be(F.get("_w", i - 1), starts))
+    found = F.array_distinct(F.flatten(F.transform(places, phrases_at)))
+    phrases = words.where(F.size("_w") > 0).select(key, F.explode(found).alias("_phrase"))
     hits = phrases.join(names.select("_phrase", "company", "_name"), "_phrase")
     # the names in one text are bounded by its words
     per_text = hits.groupBy(key).agg(
