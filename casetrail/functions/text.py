@@ -36,18 +36,25 @@ def _foldings() -> tuple[str, str, dict[str, str]]:
 
 
 _FOLD_FROM, _FOLD_TO, _FOLD_MANY = _foldings()
+_FOLDED = _FOLD_FROM + "".join(_FOLD_MANY)
+#: a class of few parts that holds every letter to fold but the sharp s, which is common and replaced by itself
+_MAY_FOLD = "[" + "".join(c for c in _FOLDED if "ß" != c < "\u0250") + "\u0250-\U0010ffff]"
 
 
 def casefold(c: str | Column) -> Column:
-    """Full Unicode case folding in the JVM, so that it can stand inside lambdas as well."""
+    """Full Unicode case folding in the JVM, so that it can stand inside lambdas as well.
+
+    Lower case is the folding of nearly all rows; only those that hold a letter that folds otherwise go further.
+    """
     c = _col(c)
-    low = F.translate(F.lower(c), _FOLD_FROM, _FOLD_TO)
+    low = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    single = F.when(F.rlike(low, F.lit(f"[{_FOLD_FROM}]")), F.translate(low, _FOLD_FROM, _FOLD_TO)).otherwise(low)
     several = "".join(_FOLD_MANY)
-    tokens = F.regexp_extract_all(low, F.lit(f"[{several}]|[^{several}]+"), 0)
+    tokens = F.regexp_extract_all(single, F.lit(f"[{several}]|[^{several}]+"), 0)
     names = F.from_json(F.lit(json.dumps(_FOLD_MANY)), "map<string,string>")
-    return F.when(is_ascii(c), F.lower(c)).otherwise(F.when(
-        ~F.rlike(low, F.lit(f"[{several}]")), low).otherwise(F.array_join(
-            F.transform(tokens, lambda t: F.coalesce(F.try_element_at(names, t), t)), "")))
+    many = F.array_join(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(names, t), t)), "")
+    return F.when(is_ascii(c), F.lower(c)).when(~F.rlike(low, F.lit(_MAY_FOLD)), low).when(
+        ~F.rlike(low, F.lit(f"[{_FOLDED}]")), low).when(F.rlike(low, F.lit(f"[{several}]")), many).otherwise(single)
 
 
 def is_ascii(c: str | Column) -> Column:
