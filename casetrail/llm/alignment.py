@@ -19,14 +19,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, slices, written
+from .common import SLICE_BYTES, by_batch, encoded, ragged, slices, written
 
 LANE = 256
 FREQUENT = 1 << 16
@@ -53,11 +53,13 @@ class _Side:
     def forget(self) -> None:
         self.flat, self.offsets = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
-    def learn(self, found: list[list[int]]) -> list[bytes]:
+    def learn(self, flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """Stores the ids of new units; returns the bytes of each."""
-        self.flat = np.concatenate([self.flat, *(np.array(i, np.int64) for i in found)])
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(i) for i in found])])
-        return [b"".join([self.bytes[t] for t in ids]) for ids in found]
+        self.flat = np.concatenate([self.flat, flat])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
+        text = b"".join(map(self.bytes.__getitem__, flat.tolist()))
+        ends = np.concatenate([[0], np.cumsum(self.widths[flat])])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        return [text[s:e] for s, e in zip(ends, ends[1:])]
 
 
 class _Units(dict):
@@ -70,6 +72,7 @@ class _Units(dict):
         super().__init__()
         self.a_encoder = Tokenizer.from_str(a_model)
         self.a_encoder.encode_special_tokens = True
+        self.a_parting = Tokenizer.from_str(a_model)   # reads the special token that parts units
         letters = byte_letters()
         entries = {i: t for t, i in self.a_encoder.get_vocab(with_added_tokens=True).items()}
         size = max(entries) + 1
@@ -88,9 +91,12 @@ class _Units(dict):
     def encode(self) -> None:
         if self.new:
             spaced = [" " + u for u in self.new]
-            a = self.a.learn([e.ids for e in self.a_encoder.encode_batch_fast(spaced, add_special_tokens=False)])
-            b = self.b.learn(self.b_encoder.encode(self.new, num_threads=1))
-            same = [x == y == s.encode() for x, y, s in zip(a, b, spaced)]
+            a = self.a.learn(*encoded(self.a_parting, self.a_encoder, spaced))
+            b_ids = self.b_encoder.encode(self.new, num_threads=1)
+            b_sizes = np.array([len(i) for i in b_ids], np.int64)
+            b = self.b.learn(np.fromiter((t for i in b_ids for t in i), np.int64, b_sizes.sum()), b_sizes)
+            want = [s.encode() for s in spaced]
+            same = [x == y == w for x, y, w in zip(a, b, want)]
             self.whole, self.new = np.concatenate([self.whole, np.array(same, bool)]), []
 
     def forget(self) -> None:
@@ -168,12 +174,14 @@ def vocabulary_sizes(a_file: str, b_file: str) -> tuple[int, int]:
     return max(ids) + 1, sentencepiece.SentencePieceProcessor(model_file=b_file).get_piece_size()
 
 
-def align(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text",
+          finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str | None = None) -> DataFrame:
     """The tokens of both tokenizers, their groups and their links, for every document.
 
     ``a_ids``, ``b_ids``: token ids; ``a_cuts``, ``b_cuts``: tokens up to the end of each group; ``link_a``, ``link_b``:
     places of the tokens of each link; ``pairs``, ``times``: its distinct id pairs (a * size of B + b) and their links.
     A is a ``tokenizers`` file of a byte-level vocabulary, B a ``sentencepiece`` model that puts a space in front.
+    Where only digests of these lists are wanted, ``finish`` makes them, with ``schema``, before the lists leave the task.
     """
     context = docs.sparkSession.sparkContext
     with open(a_file, encoding="utf-8") as f, open(b_file, "rb") as g:
@@ -189,7 +197,7 @@ def align(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", tex
         if key not in _UNITS:
             _UNITS[key] = _Units(*models.value)
         units = _UNITS[key]
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE_BYTES):
             found = _aligned(batch.column(1).to_pylist(), units)
             units.forget()
 
@@ -197,22 +205,22 @@ def align(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", tex
                 values, offsets = found[name]
                 return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(kind)))
 
-            yield pa.RecordBatch.from_arrays(
+            aligned = pa.RecordBatch.from_arrays(
                 [batch.column(0), *map(lists, names), lists("pairs", np.int64)], [id_col, *names, "pairs"])
+            yield finish(aligned) if finish else aligned
 
-    schema = ", ".join([f"`{id_col}` {kind}", *(f"{n} array<int>" for n in names), "pairs array<long>"])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    whole = ", ".join([f"`{id_col}` {kind}", *(f"{n} array<int>" for n in names), "pairs array<long>"])
+    return docs.select(id_col, text_col).mapInArrow(run, schema or whole)
 
 
 def pair_counts(aligned: DataFrame, b_size: int) -> DataFrame:
     """(pair, count, best): links of every id pair in the corpus; ``best`` where no pair of its B id has more."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs, place = np.unique(batch.column(0).flatten().to_numpy(), return_inverse=True)
-            sums = np.bincount(place, weights=batch.column(1).flatten().to_numpy(), minlength=len(pairs))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(sums.astype(np.int64))], ["pair", "n"])
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pairs, place = np.unique(batch.column(0).flatten().to_numpy(), return_inverse=True)
+        sums = np.bincount(place, weights=batch.column(1).flatten().to_numpy(), minlength=len(pairs))
+        return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(sums.astype(np.int64))], ["pair", "n"])
 
-    parts = aligned.select("pairs", "times").mapInArrow(run, "pair long, n long")
+    parts = by_batch(aligned.select("pairs", "times"), "pair long, n long", run)
     counts = written(parts.groupBy("pair").agg(F.sum("n").alias("count")), "pairs")
     b = F.pmod("pair", F.lit(b_size))
     best = counts.groupBy(b.alias("b")).agg(F.max("count").alias("most"))   # one row per id of B
@@ -231,31 +239,30 @@ def with_counts(aligned: DataFrame, b_size: int, keep: list[str]) -> DataFrame:
     frequent = counts.where(common).orderBy("pair").toPandas()   # fewer than FREQUENT rows
     known = spark.sparkContext.broadcast(tuple(frequent[c].to_numpy(np.int64) for c in ("pair", "count", "best")))
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, count, best = known.value
-        for batch in batches:
-            lists = batch.column(1)
-            pairs, times = (batch.column(i).flatten().to_numpy().astype(np.int64) for i in (1, 2))
-            lengths = lists.value_lengths().fill_null(0).to_numpy()
-            at = np.repeat(np.arange(batch.num_rows), lengths)
-            place = np.searchsorted(keys, pairs)
-            found = place < len(keys)
-            found[found] = keys[place[found]] == pairs[found]
-            t, p, of = times[found], place[found], at[found]
-            sums = np.zeros((2, batch.num_rows), np.int64)
-            np.add.at(sums[0], of, t * best[p])
-            np.add.at(sums[1], of, t * count[p])
-            rows, rare = batch.column(0), ~found
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([rows, rows.take(pa.array(at[rare]))]),
-                 pa.concat_arrays([pa.array(sums[0]), pa.nulls(int(rare.sum()), pa.int64())]),
-                 pa.concat_arrays([pa.array(sums[1]), pa.nulls(int(rare.sum()), pa.int64())]),
-                 pa.concat_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.array(pairs[rare])]),
-                 pa.concat_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.array(times[rare])])],
-                ["row", "n_best", "count_sum", "pair", "times"])
-
-    parts = written(row.select("row", "pairs", "times").mapInArrow(
-        split, "row long, n_best long, count_sum long, pair long, times long"), "parts")
+        lists = batch.column(1)
+        pairs, times = (batch.column(i).flatten().to_numpy().astype(np.int64) for i in (1, 2))
+        lengths = lists.value_lengths().fill_null(0).to_numpy()
+        at = np.repeat(np.arange(batch.num_rows), lengths)
+        place = np.searchsorted(keys, pairs)
+        found = place < len(keys)
+        found[found] = keys[place[found]] == pairs[found]
+        t, p, of = times[found], place[found], at[found]
+        sums = np.zeros((2, batch.num_rows), np.int64)
+        np.add.at(sums[0], of, t * best[p])
+        np.add.at(sums[1], of, t * count[p])
+        rows, rare = batch.column(0), ~found
+        return pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([rows, rows.take(pa.array(at[rare]))]),
+             pa.concat_arrays([pa.array(sums[0]), pa.nulls(int(rare.sum()), pa.int64())]),
+             pa.concat_arrays([pa.array(sums[1]), pa.nulls(int(rare.sum()), pa.int64())]),
+             pa.concat_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.array(pairs[rare])]),
+             pa.concat_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.array(times[rare])])],
+            ["row", "n_best", "count_sum", "pair", "times"])
+
+    parts = written(by_batch(row.select("row", "pairs", "times"), (
+        "row long, n_best long, count_sum long, pair long, times long"), split), "parts")
     rare = parts.where("pair is not null").select("row", "pair", "times").join(counts.where(~common), "pair").select(
         "row", F.when(F.col("best"), F.col("times")).otherwise(0).alias("n_best"),
         (F.col("times") * F.col("count")).alias("count_sum"))

@@ -19,9 +19,11 @@ names cannot clash. Long texts are cut into words before the tokenizer sees them
 
 from __future__ import annotations
 
-import re
+import json
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +31,38 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ragged, slices, written
+from .common import CALL, SLICE_BYTES, TOGETHER, encoded, ragged, slices, written
 
 TOKENS = 2048
 RULES = ("norm", "dot")
 #: words a worker remembers between batches
-REMEMBERED = 1 << 18
-_BLANKS = re.compile(r"[ \n\r\t]+")
+REMEMBERED = 1 << 19
+_BEYOND = "\u0250"   # the first letter after the Latin ones
+_POINTS = ".,;:!?"   # never of one token with the letter or number before them
 _WORDS: dict = {}
 
 
+def _for_plain_words(tokenizer: str):
+    """(encoder of lower-case Latin words between spaces, whether each id closes a word), where the file lets one be made:
+    it lowers letters, takes a run of letters as one part, and marks the ends of words. Latin letters are composed as they
+    stand, and all but the dotted capital i have one lower-case letter."""
+    from tokenizers import Tokenizer
+
+    file = json.loads(tokenizer)
+    steps = [n["type"] for n in (file["normalizer"] or {}).get("normalizers", [])]
+    split = [p.get("pattern", {}).get("Regex", "") for p in (file["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    end = file["model"].get("end_of_word_suffix")
+    known = steps and set(steps) <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in steps
+    if not (known and split and "|[\\p{L}]+|" in split[0] and end):
+        return None, None
+    as_bytes = file["pre_tokenizer"]["pretokenizers"][1:]
+    encoder = Tokenizer.from_str(json.dumps({**file, "normalizer": None, "pre_tokenizer": {
+        "type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *as_bytes]}}))
+    closes = np.zeros(max(file["model"]["vocab"].values()) + 1, bool)
+    closes[[i for token, i in file["model"]["vocab"].items() if token.endswith(end)]] = True
+    return encoder, closes
+
+
 class _Words(dict):
     """Word to its number, with the ids of all words seen so far; unseen ones are encoded together."""
 
@@ -47,6 +71,7 @@ class _Words(dict):
 
         super().__init__()
         self.encoder, self.new = Tokenizer.from_str(tokenizer), []
+        self.simple, self.closes = _for_plain_words(tokenizer)
         self.flat, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def __missing__(self, word: str) -> int:
@@ -55,12 +80,43 @@ class _Words(dict):
         return at
 
     def encode(self) -> None:
-        """Ids of the words met since the last call."""
-        if self.new:
-            found = [e.ids for e in self.encoder.encode_batch_fast(self.new, add_special_tokens=False)]
-            self.flat = np.concatenate([self.flat, *(np.array(i, np.int32) for i in found)])
-            ends = self.offsets[-1] + np.cumsum([len(i) for i in found])
-            self.offsets, self.new = np.concatenate([self.offsets, ends]), []
+        """Ids of the words met since the last call: those of the word without its closing points, and of these."""
+        if not self.new:
+            return
+        parts: dict[str, int] = {}
+        place, cut = [], []
+        for word in self.new:
+            stem = word.rstrip(_POINTS)
+            if stem and stem != word and stem[-1].isalnum():
+                place += [parts.setdefault(stem, len(parts)), parts.setdefault(word[len(stem):], len(parts))]
+                cut.append(2)
+            else:
+                place.append(parts.setdefault(word, len(parts)))
+                cut.append(1)
+        flat, sizes = self._encoded(list(parts))
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        ids, lengths = ragged(flat, offsets, np.array(place, np.int64))
+        own = np.add.reduceat(lengths, np.concatenate([[0], np.cumsum(cut)[:-1]]))
+        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(own)])
+        self.new = []
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [self.simple is not None and w.isalpha() and max(w) < _BEYOND and "\u0130" not in w for w in words]
+        other = [w for w, p in zip(words, plain) if not p]
+        own = [w.lower() for w, p in zip(words, plain) if p]
+        flats, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(own), TOGETHER * CALL):
+            texts = [" ".join(own[i:i + TOGETHER]) for i in range(at, min(at + TOGETHER * CALL, len(own)), TOGETHER)]
+            for found in self.simple.encode_batch_fast(texts, add_special_tokens=False):
+                ids = np.array(found.ids, np.int64)
+                flats.append(ids)
+                sizes.append(np.diff(np.flatnonzero(self.closes[ids]), prepend=-1))
+        rest, rest_sizes = encoded(self.encoder, self.encoder, other)
+        order = np.argsort(np.argsort(~np.array(plain, bool), kind="stable"), kind="stable")
+        sizes = np.concatenate([*sizes, rest_sizes])
+        flat, _ = ragged(np.concatenate([*flats, rest]), np.concatenate([[0], np.cumsum(sizes)]), order)
+        return flat, sizes[order]
 
     def forget(self) -> None:
         if len(self) > REMEMBERED:
@@ -69,20 +125,19 @@ class _Words(dict):
 
 
 def token_ids(texts: list[str], tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
-    """(flat ids, offsets of the texts). The tokenizer never joins what white space parts, so each word is encoded once."""
+    """(flat ids, offsets of the texts). The tokenizer never joins what white space parts, so each word is encoded once
+    for each worker and batch."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
     if tokenizer not in _WORDS:
         _WORDS[tokenizer] = _Words(tokenizer)
     words = _WORDS[tokenizer]
-    numbers, counts = [], []
-    for text in texts:
-        own = list(map(words.__getitem__, _BLANKS.split(text)))
-        numbers.append(np.array(own, np.int64))
-        counts.append(len(own))
+    split = [t.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for t in texts]
+    counts = [len(s) for s in split]
+    numbers = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
     words.encode()
-    flat, lengths = ragged(words.flat, words.offsets, np.concatenate(numbers) if numbers else np.zeros(0, np.int64))
+    flat, lengths = ragged(words.flat, words.offsets, numbers)
     word_ends = np.concatenate([[0], np.cumsum(lengths)])
     offsets = word_ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
     words.forget()
@@ -91,7 +146,8 @@ def token_ids(texts: list[str], tokenizer: str) -> tuple[np.ndarray, np.ndarray]
 
 def pieces(docs: DataFrame, tokenizer_file: str, tokens: int = TOKENS, end: int = 0, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids) of every document: its ids and the ``end`` mark, cut where longer than ``tokens``.
+    """(id, piece, start, length, ids, ids_crc32) of every document: its ids and the ``end`` mark, cut where longer than
+    ``tokens``; the checksum is that of the ids as little-endian unsigned 32-bit numbers.
 
     The tokenizer's file is read on the driver and shipped with the job; its size is that of a vocabulary.
     """
@@ -100,7 +156,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, tokens: int = TOKENS, end: int
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE_BYTES):
             flat, offsets = token_ids([t or "" for t in batch.column(1).to_pylist()], tokenizer.value)
             flat = np.insert(flat, offsets[1:], end).astype(np.int32)
             offsets = offsets + np.arange(len(offsets))
@@ -109,13 +165,16 @@ def pieces(docs: DataFrame, tokenizer_file: str, tokens: int = TOKENS, end: int
             number = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
             begin = offsets[row] + number * tokens
             length = np.minimum(tokens, offsets[row + 1] - begin)
+            words = memoryview(flat.astype("<u4").tobytes())
+            sums = [zlib.crc32(words[4 * b:4 * (b + n)]) for b, n in zip(begin.tolist(), length.tolist())]
             lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(flat)).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(number * tokens),
-                 pa.array(length), lists], [id_col, "piece", "start", "length", "ids"])
+                 pa.array(length), lists, pa.array(sums, pa.int64())],
+                [id_col, "piece", "start", "length", "ids", "ids_crc32"])
 
     return docs.select(id_col, text_col).mapInArrow(
-        run, f"`{id_col}` {kind}, piece int, start long, length long, ids array<int>")
+        run, f"`{id_col}` {kind}, piece int, start long, length long, ids array<int>, ids_crc32 long")
 
 
 class _Bins:

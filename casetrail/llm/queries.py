@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import (alignment, ann, bpe, chat, imatch, mixing, oracles, packing, pii, sharding, simhash, suffix, toxicity,
                whitening)
-from .common import by_batch, hex_sha256, table
+from .common import hex_sha256, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,13 +99,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
-        crc = [zlib.crc32(ids.values.to_numpy().astype("<u4").tobytes()) for ids in batch.column(4)]
-        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crc, pa.int64())],
-                                          ["doc_id", "piece", "start", "length", "ids_crc32"])
-
     cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(by_batch(cut, "doc_id long, piece int, start long, length long, ids_crc32 long", digests))
+    return packing.pack(cut.drop("ids"))
 
 
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,9 +128,9 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *lengths, pa.array(hashes, pa.string()),
                                            batch.column("pairs"), batch.column("times")], [*counted, "pairs", "times"])
 
-    aligned = by_batch(alignment.align(table(spark, sf_dir, "documents"), *files), (
+    aligned = alignment.align(table(spark, sf_dir, "documents"), *files, finish=digests, schema=(
         "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, "
-        "times array<int>"), digests)
+        "times array<int>"))
     return alignment.with_counts(aligned, sizes[1], counted)
 
 
