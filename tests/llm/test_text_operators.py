@@ -244,3 +244,40 @@ def test_lexicon_is_the_band_of_all_documents(spark, tiny):
     got = {r["term"]: r["df"] for r in rows_of(imatch.lexicon(docs, rarest=50, commonest=5))}
     assert got == {t: n for t, n in count.items() if max(2, len(tiny) / 50) <= n <= len(tiny) / 5}
     assert imatch.likeness(imatch.NONE * 2, imatch.NONE * 2) == 1.0
+
+
+def test_imatch_fingerprints_and_likeness_by_brute_force(spark, tiny):
+    """Every column of the query from the definition: band by counts, subsets by hash, hashes of sorted terms."""
+    import xxhash
+
+    strip = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„…–—¿¡"
+    docs = sorted(((i, t or "") for i, t in tiny.itertuples(index=False, name=None)), reverse=True)
+    bags = {t: {w.strip(strip) for w in t.lower().split()} - {""} for _, t in docs}
+    df = Counter(w for _, t in docs for w in bags[t])
+    band = {w for w, c in df.items() if max(2, len(docs) / 2000) <= c <= max(2, len(docs) / 10)}
+
+    def plain(text):
+        own = {w.strip(strip) for w in text.lower().split()} - {""}
+        kept = own & band if len(own & band) >= 4 else own
+        out, k = [], 0
+        for power, count in ((0, 1), (2, 2), (4, 6), (6, 16), (8, 24), (10, 16)):
+            for _ in range(count):
+                k += 1
+                part = sorted(w for w in kept if xxhash.xxh64_intdigest(w, k) < 1 << 64 - power)
+                out.append((xxhash.xxh32_intdigest(" ".join(part)) or 1) if part else 0)
+        return out
+
+    def near(a, b):
+        used = [x == y for x, y in zip(a, b) if x or y]
+        return sum(used) / len(used) if used else 1.0
+
+    want, prints = {}, {i: plain(t) for i, t in docs}
+    for (i, text), (j, following) in zip(docs, [*docs[1:], docs[0]]):
+        half = len(text) // 2
+        changed = text[:len(text) - half] + following[:half]
+        new = plain(changed)
+        want[i] = (len(text), hashlib.sha256(changed.encode()).hexdigest(), "".join(f"{h:08x}" for h in prints[i]),
+                   "".join(f"{h:08x}" for h in new), near(prints[i], new), near(prints[i], prints[j]))
+    got = {r["doc_id"]: (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"],
+                         r["near_next"]) for r in rows_of(queries.op7_imatch(spark, SF))}
+    assert got == want
