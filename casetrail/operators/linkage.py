@@ -17,27 +17,13 @@ from ..functions.once import computed_once
 from ..functions.text import (
     casefold, normalize_company_contact, parse_address, text_or_empty,
 )
-from .ranking import first_per_group, newest_first
+from .ranking import first_per_group, newest_first, numbered
 
 
-def nest(
-    child: DataFrame, keys: Sequence[str], fields: Sequence[str], out: str,
-    order: Sequence[str] | None = None, chunk_rows: int = 10_000,
-) -> DataFrame:
-    """Children of every key as an ordered array of structs, with ``part`` and ``<out>_count``.
-
-    Keys with up to ``chunk_rows`` children are one row (part 0).  A larger group is continued
-    over several rows, its children spread by hash, so that no task collects all of it.
-    """
-    order = list(order or fields)
-    every = list(dict.fromkeys([*order, *fields]))
-    counts = child.groupBy(*keys).agg(F.count("*").alias(f"{out}_count"))
-    parts = F.ceil(F.col(f"{out}_count") / chunk_rows)
-    spread = child.join(counts, list(keys)).withColumn(
-        "part", F.pmod(F.xxhash64(*every), parts).cast("int"))
-    rows = F.array_sort(F.collect_list(F.struct(*every)))
-    shown = F.transform(rows, lambda r: F.struct(*[r[f].alias(f) for f in fields]))
-    return spread.groupBy(*keys, "part", f"{out}_count").agg(shown.alias(out))
+def details(child: DataFrame, key: str, kind: str, shown: Sequence[Column], order: Sequence[str]) -> DataFrame:
+    """(key, kind, position, value): the children of every key, one row each, numbered in order."""
+    value = F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("")) for c in shown])
+    return numbered(child, [key], order).select(key, F.lit(kind).alias("kind"), "position", value.alias("value"))
 
 
 def explicit_job(
@@ -224,42 +210,41 @@ def profile_view(
     contacts: DataFrame, companies: DataFrame, emails: DataFrame, job_links: DataFrame,
     relationships: DataFrame | None = None,
 ) -> DataFrame:
-    """Contacts with their companies, addresses, job links and relationship."""
-    key = [F.col("recruiter_id")]
-    c = nest(companies, ["recruiter_id"], ["company_name"], "companies")
-    e = nest(emails, ["recruiter_id"], ["email"], "emails")
-    j = nest(job_links, ["recruiter_id"],
-             ["job_id", "relationship_type", "message_identity", "first_seen_at", "last_seen_at"],
-             "job_links")
+    """Contacts, one row each, with the numbers of their companies, addresses and job links, and their relationship."""
     view = contacts.withColumn("recruiter_id", F.col("id"))
-    for side in (c, e):
-        view = view.join(side.withColumnRenamed("part", f"_{len(view.columns)}"), "recruiter_id", "left")
-    view = view.join(j, "recruiter_id", "left")
+    for name, side in (("companies", companies), ("emails", emails), ("job_links", job_links)):
+        view = child_counts(view, side, "recruiter_id", f"{name}_count")
     if relationships is not None:
-        view = view.join(relationships.select(*key, F.col("relationship_status")), "recruiter_id", "left")
-    zero = {f"{n}_count": F.coalesce(f"{n}_count", F.lit(0))
-            for n in ("companies", "emails", "job_links")}
-    return view.withColumns({**zero, "part": F.coalesce("part", F.lit(0))})
+        view = view.join(relationships.select("recruiter_id", "relationship_status"), "recruiter_id", "left")
+    return view
+
+
+def profile_details(companies: DataFrame, emails: DataFrame, job_links: DataFrame) -> DataFrame:
+    """(recruiter_id, kind, position, value): companies, addresses and job links of every contact in order.
+
+    One row each, whatever their number: a contact with many of all three kinds gives their sum, not their product.
+    """
+    return details(companies, "recruiter_id", "company", [F.col("company_name")], ["company_name"]).unionByName(
+        details(emails, "recruiter_id", "email", [F.col("email")], ["email"])).unionByName(
+        details(job_links, "recruiter_id", "job_link", [F.col("job_id"), F.col("relationship_type")],
+                ["job_id", "relationship_type", "message_identity"]))
 
 
 def interview_view(
     interviews: DataFrame, jobs: DataFrame, contacts: DataFrame, events: DataFrame,
-    detail: bool = False,
 ) -> DataFrame:
-    """Interviews with their job, contact and number of events; with ``detail`` the ordered
-    events as well."""
+    """Interviews with their job, contact and number of events."""
     j = jobs.select(F.col("id").alias("job_id"), F.col("title").alias("job_title"),
                     F.col("company").alias("job_company"))
     c = contacts.select(F.col("id").alias("recruiter_id"), F.col("name").alias("recruiter_name"))
-    own = events.where(F.col("interview_id").isNotNull()).withColumnRenamed("id", "event_id")
-    if detail:
-        side = nest(own, ["interview_id"], ["event_type", "occurred_at", "event_id"], "events",
-                    order=["occurred_at", "event_id"])
-    else:
-        side = own.groupBy("interview_id").agg(F.count("*").alias("events_count"))
-    joined = interviews.join(j, "job_id", "left").join(c, "recruiter_id", "left").join(
-        side.withColumnRenamed("interview_id", "id"), "id", "left")
-    return joined.withColumn("events_count", F.coalesce("events_count", F.lit(0)))
+    joined = interviews.join(j, "job_id", "left").join(c, "recruiter_id", "left")
+    return child_counts(joined, events, "interview_id", "events_count")
+
+
+def interview_details(events: DataFrame) -> DataFrame:
+    """(interview_id, position, event_type, occurred_at, id): the events of every interview in order, one row each."""
+    return numbered(events, ["interview_id"], ["occurred_at", "id"]).select(
+        "interview_id", "position", "event_type", "occurred_at", "id")
 
 
 def application_view(applications: DataFrame, jobs: DataFrame, resumes: DataFrame) -> DataFrame:

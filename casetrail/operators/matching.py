@@ -300,16 +300,27 @@ def _first_filled(value: str, order: Column) -> Column:
 
 def apply_match(
     jobs: DataFrame, messages: DataFrame, matches: DataFrame, profiles: DataFrame | None = None,
+    now: str | None = None,
 ) -> DataFrame:
-    """Jobs after matching: empty fields of matched jobs filled, unmatched messages as new jobs.
+    """Jobs after matching, whole rows: empty fields of matched jobs filled, unmatched messages as new jobs.
 
     Of several messages the first (by date, then identity) fills a field.  Unmatched messages of
-    one account and external id become one job.
+    one account and external id become one job.  Role and resume family that no message infers come
+    from ``profiles`` (account, role_family, resume_family) of the message's account.
     """
     order = F.struct("applied_at", "message_identity")
+    none = F.lit(None).cast("string")
+    if profiles is None:
+        messages = messages.withColumns({"_default_role": none, "resume_family": none})
+    else:
+        messages = messages.join(profiles.groupBy("account").agg(
+            F.min("role_family").alias("_default_role"), F.min("resume_family").alias("resume_family")), "account", "left")
+    messages = messages.withColumn("inferred_role", F.coalesce(
+        F.nullif(text_or_empty("inferred_role"), F.lit("")), F.col("_default_role"), F.lit(""))).drop("_default_role")
+    moment = (F.lit(now) if now else F.current_timestamp()).cast("timestamp_ntz")
     joined = messages.join(matches, "message_identity", "left")
     hit = joined.where(F.coalesce("matched", F.lit(False)))
-    fill = ("account", "inferred_role", "message_id", "ats_platform", "requisition_id", "job_url",
+    fill = ("account", "inferred_role", "resume_family", "message_id", "ats_platform", "requisition_id", "job_url",
             "company", "title")
     gained = hit.groupBy("job_id").agg(
         *[_first_filled(c, order).alias(f"_{c}") for c in fill],
@@ -335,7 +346,7 @@ def apply_match(
         F.substring(F.regexp_replace("message_identity", "^v1:", ""), 1, 32))))
     new = made.groupBy("account", "external_id").agg(
         *[_first_filled(c, order).alias(c) for c in fill if c != "account"],
-        F.min("applied_at").alias("applied_at"))
+        F.min("applied_at").alias("applied_at"), F.count_if(F.col("applied_at").isNull()).alias("_undated"))
 
     def text(c: str, default: str = "") -> Column:
         return F.coalesce(F.col(c), F.lit(default))
@@ -348,7 +359,10 @@ def apply_match(
         text("message_id").alias("confirmation_id"), text("ats_platform").alias("ats_platform"),
         text("requisition_id").alias("requisition_id"),
         F.lit("email_confirmation").alias("application_source"),
-        F.lit(0.0).alias("import_confidence"), F.lit("applied").alias("status"))
+        F.lit(0.0).alias("import_confidence"), F.lit("applied").alias("status"),
+        text("resume_family").alias("resume_family"), F.lit("email").alias("source"), F.lit(50.0).alias("score"),
+        F.when(F.col("_undated") > 0, moment).otherwise(F.col("applied_at")).alias("first_seen_at"),
+        moment.alias("last_seen_at"))
     return updated.unionByName(created)
 
 
@@ -368,4 +382,5 @@ def _updated(jobs, gained, filled, touched, title) -> DataFrame:
         filled("requisition_id", "_requisition_id").alias("requisition_id"),
         source.alias("application_source"),
         F.greatest(F.coalesce("import_confidence", F.lit(0.0)), F.coalesce("_score", F.lit(0.0)))
-        .alias("import_confidence"), "status")
+        .alias("import_confidence"), "status", filled("resume_family", "_resume_family").alias("resume_family"),
+        "source", "score", "first_seen_at", "last_seen_at")

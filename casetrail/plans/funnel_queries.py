@@ -335,13 +335,12 @@ _SHOWN = {f: f"coalesce(CAST({f} AS VARCHAR), '')" for f in _DUPF}
 _DIFFS = ", ".join(f"CASE WHEN count(DISTINCT {_SHOWN[f]}) > 1 THEN '{f}' END" for f in _DUPF if f != "id")
 
 
-@query("duplicate_groups", "I-06", f"""WITH g AS (SELECT confirmation_id AS message_id, count(*) AS records, list_filter([{_DIFFS}], lambda x: x IS NOT NULL) AS diff, """
-       + ", ".join(f"string_agg({_SHOWN[f]}, ' | ' ORDER BY id) AS {f}s" for f in _DUPF) + f""" FROM <<jobs>> WHERE confirmation_id <> '' GROUP BY 1 HAVING count(*) > 1)
-SELECT message_id, records, {', '.join(f + 's' for f in _DUPF)}, array_to_string(diff, ', ') AS fields_that_differ,
+@query("duplicate_groups", "I-06", f"""WITH g AS (SELECT confirmation_id AS message_id, count(*) AS records, list_filter([{_DIFFS}], lambda x: x IS NOT NULL) AS diff FROM <<jobs>> WHERE confirmation_id <> '' GROUP BY 1 HAVING count(*) > 1)
+SELECT message_id, row_number() OVER (PARTITION BY message_id ORDER BY j.id) AS position, records, {', '.join(f"{_SHOWN[f]} AS {f}" for f in _DUPF)}, array_to_string(diff, ', ') AS fields_that_differ,
 CASE WHEN len(list_filter(diff, lambda x: x NOT IN ('source', 'import_confidence'))) = 0 THEN '{fixed.DUPLICATE_EXACT}'
- WHEN len(list_filter(diff, lambda x: x IN ({_IN(fixed.DUPLICATE_MATERIAL)}))) = 0 THEN '{fixed.DUPLICATE_PROBABLE}' ELSE '{fixed.DUPLICATE_CONFLICT}' END AS recommended_category FROM g""")
+ WHEN len(list_filter(diff, lambda x: x IN ({_IN(fixed.DUPLICATE_MATERIAL)}))) = 0 THEN '{fixed.DUPLICATE_PROBABLE}' ELSE '{fixed.DUPLICATE_CONFLICT}' END AS recommended_category FROM g JOIN <<jobs>> j ON j.confirmation_id = g.message_id""")
 def duplicate_groups(v: Views) -> DataFrame:
-    return I.duplicate_groups(v.jobs).drop("part")
+    return I.duplicate_groups(v.jobs)
 
 
 MAIL_SQL = """mail AS (SELECT e.*, CAST(e.occurred_at AS VARCHAR) AS at_text, coalesce(x.label, d.label, e.provider) AS account_label, coalesce(x.role, d.role, 'Unmapped') AS default_role FROM <<evidence>> e

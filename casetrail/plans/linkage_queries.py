@@ -9,7 +9,7 @@ from .. import fixed
 from ..functions.text import casefold, normalize_company_contact
 from ..operators import classify as C
 from ..operators import linkage as J
-from .bindings import Views
+from .bindings import NOW, Views
 from .funnel_queries import _IN, _MSG, CONTACT_SQL, MAIL_SQL
 from .registry import query
 from .scalar_queries import _ADDR, _JT, _REQ, _first, valid_company_sql
@@ -101,23 +101,31 @@ def review_totals(v: Views) -> DataFrame:
     return J.review_totals(*_review_frames(v))
 
 
-@query("profile_view", "J-15", """SELECT c.id, cc.company_name AS companies, e.email AS emails, coalesce(j.n, 0) AS job_links_count, j.links AS job_links FROM <<contacts>> c
-LEFT JOIN <<contact_companies>> cc ON cc.recruiter_id = c.id LEFT JOIN <<contact_emails>> e ON e.recruiter_id = c.id
-LEFT JOIN (SELECT recruiter_id, count(*) AS n, string_agg(job_id || ':' || relationship_type, ',' ORDER BY job_id, relationship_type) AS links FROM <<contact_jobs>> GROUP BY 1) j ON j.recruiter_id = c.id""")
+@query("profile_view", "J-15", " UNION ALL ".join([
+    """SELECT c.id, 'profile' AS kind, 0 AS position, coalesce(a.n, 0) || ',' || coalesce(b.n, 0) || ',' || coalesce(d.n, 0) AS value FROM <<contacts>> c
+LEFT JOIN (SELECT recruiter_id, count(*) AS n FROM <<contact_companies>> GROUP BY 1) a ON a.recruiter_id = c.id LEFT JOIN (SELECT recruiter_id, count(*) AS n FROM <<contact_emails>> GROUP BY 1) b ON b.recruiter_id = c.id
+LEFT JOIN (SELECT recruiter_id, count(*) AS n FROM <<contact_jobs>> GROUP BY 1) d ON d.recruiter_id = c.id""",
+    *(f"SELECT recruiter_id, '{kind}', row_number() OVER (PARTITION BY recruiter_id ORDER BY {order}), {value} FROM <<{table}>>" for kind, table, order, value in (
+        ("company", "contact_companies", "company_name", "company_name"), ("email", "contact_emails", "email", "email"),
+        ("job_link", "contact_jobs", "job_id, relationship_type, message_identity", "job_id || ':' || relationship_type")))]))
 def profile_view(v: Views) -> DataFrame:
     p = J.profile_view(v.contacts, v.contact_companies, v.contact_emails, v.contact_jobs)
-    text = F.transform("job_links", lambda r: F.concat_ws(":", r["job_id"], r["relationship_type"]))
-    return p.select("id", F.array_join(F.col("companies.company_name"), ",").alias("companies"),
-                    F.array_join(F.col("emails.email"), ",").alias("emails"), "job_links_count",
-                    F.array_join(text, ",").alias("job_links"))
+    counts = F.concat_ws(",", "companies_count", "emails_count", "job_links_count")
+    details = J.profile_details(v.contact_companies, v.contact_emails, v.contact_jobs)
+    return p.select("id", F.lit("profile").alias("kind"), F.lit(0).cast("bigint").alias("position"), counts.alias("value")).unionByName(
+        details.withColumnRenamed("recruiter_id", "id"))
 
 
-@query("interview_view", "J-16", """SELECT i.id, j.title AS job_title, c.name AS recruiter_name, coalesce(e.n, 0) AS events_count, e.ev AS events FROM <<interviews>> i LEFT JOIN <<jobs>> j ON j.id = i.job_id
-LEFT JOIN <<contacts>> c ON c.id = i.recruiter_id LEFT JOIN (SELECT interview_id, count(*) AS n, string_agg(event_type || '@' || CAST(occurred_at AS VARCHAR), ',' ORDER BY occurred_at, id) AS ev FROM <<interview_events>> GROUP BY 1) e ON e.interview_id = i.id""")
+@query("interview_view", "J-16", """SELECT i.id, j.title AS job_title, c.name AS recruiter_name, coalesce(e.n, 0) AS events_count FROM <<interviews>> i LEFT JOIN <<jobs>> j ON j.id = i.job_id
+LEFT JOIN <<contacts>> c ON c.id = i.recruiter_id LEFT JOIN (SELECT interview_id, count(*) AS n FROM <<interview_events>> GROUP BY 1) e ON e.interview_id = i.id""")
 def interview_view(v: Views) -> DataFrame:
-    d = J.interview_view(v.interviews, v.jobs, v.contacts, v.interview_events, detail=True)
-    text = F.transform("events", lambda r: F.concat(r["event_type"], F.lit("@"), r["occurred_at"].cast("string")))
-    return d.select("id", "job_title", "recruiter_name", "events_count", F.array_join(text, ",").alias("events"))
+    return J.interview_view(v.interviews, v.jobs, v.contacts, v.interview_events).select(
+        "id", "job_title", "recruiter_name", "events_count")
+
+
+@query("interview_details", "J-16", "SELECT interview_id, row_number() OVER (PARTITION BY interview_id ORDER BY occurred_at, id) AS position, event_type, CAST(occurred_at AS VARCHAR) AS occurred_at, id FROM <<interview_events>> WHERE interview_id IS NOT NULL")
+def interview_details(v: Views) -> DataFrame:
+    return J.interview_details(v.interview_events).withColumn("occurred_at", F.col("occurred_at").cast("string"))
 
 
 @query("application_view", "J-17 O-02", """SELECT a.id, j.title AS job_title, j.company, r.name AS resume_name FROM <<applications>> a JOIN <<jobs>> j ON j.id = a.job_id LEFT JOIN <<resumes>> r ON r.id = a.resume_id""")
@@ -201,22 +209,25 @@ def _filled(c: str) -> str:
     return f"(array_agg(c.{c} {_ORD}) FILTER (WHERE c.{c} <> ''))[1]"
 
 
-@query("apply_match", "J-02", f"""WITH {MATCH_SQL}, x AS (SELECT c.*, t.job_id, t.score, coalesce(t.matched, FALSE) AS ok FROM <<confirmed>> c LEFT JOIN matches t ON t.message_identity = c.message_identity),
-g AS (SELECT job_id, {_filled('account')} AS account, {_filled('inferred_role')} AS role, {_filled('message_id')} AS mid, {_filled('requisition_id')} AS req, {_filled('job_url')} AS url, {_filled('company')} AS company, {_filled('title')} AS title,
-  min(c.applied_at) AS at, max(least(100.0, round(score, 1)))::DOUBLE AS score FROM x c WHERE ok GROUP BY job_id),
+@query("apply_match", "J-02", f"""WITH {MATCH_SQL}, x AS (SELECT c.* REPLACE (coalesce(nullif(c.inferred_role, ''), p.role, '') AS inferred_role), p.resume, t.job_id, t.score, coalesce(t.matched, FALSE) AS ok FROM <<confirmed>> c
+  LEFT JOIN matches t ON t.message_identity = c.message_identity LEFT JOIN (SELECT provider, role, role || ' resume' AS resume FROM <<profiles>> WHERE account = '') p ON p.provider = c.account),
+g AS (SELECT job_id, {_filled('account')} AS account, {_filled('inferred_role')} AS role, {_filled('resume')} AS resume, {_filled('message_id')} AS mid, {_filled('requisition_id')} AS req, {_filled('ats_platform')} AS ats, {_filled('job_url')} AS url, {_filled('company')} AS company,
+  min(c.applied_at) AS first_at, max(least(100.0, round(score, 1)))::DOUBLE AS score FROM x c WHERE ok GROUP BY job_id),
 n AS (SELECT x.*, CASE WHEN job_ref <> '' AND (o.id IS NULL OR o.email_account = '' OR o.email_account = account) THEN job_ref ELSE 'email-' || account || '-' || substr(regexp_replace(message_identity, '^v1:', ''), 1, 32) END AS ext
   FROM x LEFT JOIN <<jobs>> o ON o.external_id <> '' AND o.external_id = x.job_ref WHERE NOT ok)
-SELECT coalesce(CAST(j.id AS VARCHAR), '') AS id, j.external_id, j.company, j.title, coalesce(nullif(j.email_account, ''), g.account, '') AS email_account, coalesce(nullif(trim(j.role_family, ''), ''), g.role, '') AS role_family,
-  CAST(coalesce(j.applied_at, g.at) AS VARCHAR) AS applied_at, coalesce(nullif(j.confirmation_id, ''), g.mid, '') AS confirmation_id, coalesce(nullif(j.url, ''), g.url, '') AS url, greatest(j.import_confidence, coalesce(g.score, 0)) AS import_confidence, j.status
-  FROM (SELECT j.* REPLACE (coalesce(nullif(j.company, ''), g.company, '') AS company) FROM <<jobs>> j LEFT JOIN g ON g.job_id = j.id) j LEFT JOIN g ON g.job_id = j.id
-UNION ALL SELECT '', ext, coalesce({_filled('company')}, ''), coalesce({_filled('title')}, 'Application confirmation'), account, coalesce({_filled('inferred_role')}, ''), CAST(min(c.applied_at) AS VARCHAR), coalesce({_filled('message_id')}, ''), coalesce({_filled('job_url')}, ''), 0.0, 'applied' FROM n c GROUP BY account, ext""".replace("min(c.applied_at) AS at", "min(c.applied_at) AS \"at\"").replace("g.at)", "g.\"at\")"))
+SELECT CAST(j.id AS VARCHAR) AS id, j.external_id, coalesce(nullif(j.company, ''), g.company, '') AS company, j.title, coalesce(nullif(j.email_account, ''), g.account, '') AS email_account, coalesce(nullif(j.role_family, ''), g.role, '') AS role_family,
+  coalesce(nullif(j.resume_family, ''), g.resume, '') AS resume_family, CAST(coalesce(j.applied_at, g.first_at) AS VARCHAR) AS applied_at, coalesce(nullif(j.confirmation_id, ''), g.mid, '') AS confirmation_id, coalesce(nullif(j.url, ''), g.url, '') AS url,
+  coalesce(nullif(j.ats_platform, ''), g.ats, '') AS ats_platform, coalesce(nullif(j.requisition_id, ''), g.req, '') AS requisition_id, CASE WHEN g.job_id IS NOT NULL AND j.application_source = '' THEN 'email_confirmation' ELSE j.application_source END AS application_source,
+  greatest(j.import_confidence, coalesce(g.score, 0)) AS import_confidence, j.status, j.source, j.score, CAST(j.first_seen_at AS VARCHAR) AS first_seen_at, CAST(j.last_seen_at AS VARCHAR) AS last_seen_at FROM <<jobs>> j LEFT JOIN g ON g.job_id = j.id
+UNION ALL SELECT '', ext, coalesce({_filled('company')}, ''), coalesce({_filled('title')}, 'Application confirmation'), account, coalesce({_filled('inferred_role')}, ''), coalesce({_filled('resume')}, ''), CAST(min(c.applied_at) AS VARCHAR), coalesce({_filled('message_id')}, ''),
+  coalesce({_filled('job_url')}, ''), coalesce({_filled('ats_platform')}, ''), coalesce({_filled('requisition_id')}, ''), 'email_confirmation', 0.0, 'applied', 'email', 50.0, CAST(CASE WHEN count(*) > count(c.applied_at) THEN TIMESTAMP '{NOW}' ELSE min(c.applied_at) END AS VARCHAR), '{NOW}'
+  FROM n c GROUP BY account, ext""")
 def apply_match(v: Views) -> DataFrame:
-    found = matching.match_applications(v.confirmed, v.jobs)
-    out = matching.apply_match(v.jobs, v.confirmed, found)
-    return out.select(
-        F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "external_id", "company", "title",
-        "email_account", "role_family", F.col("applied_at").cast("string").alias("applied_at"),
-        "confirmation_id", "url", "import_confidence", "status")
+    profiles = v.profiles.where("account = ''").select(
+        F.col("provider").alias("account"), F.col("role").alias("role_family"), F.concat("role", F.lit(" resume")).alias("resume_family"))
+    out = matching.apply_match(v.jobs, v.confirmed, matching.match_applications(v.confirmed, v.jobs), profiles, NOW)
+    return out.withColumns({"id": F.coalesce(F.col("id").cast("string"), F.lit("")), **{
+        c: F.col(c).cast("string") for c in ("applied_at", "first_seen_at", "last_seen_at")}})
 
 
 _TERMS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '([a-z0-9]{{3,}})', 1), lambda x: NOT (x IN (" + _IN(fixed.STOP_TERMS) + "))))"

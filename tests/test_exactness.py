@@ -9,6 +9,7 @@ from casetrail.operators import quality as Q
 from casetrail.plans.bindings import Views
 from casetrail.plans.merge_queries import interview_stream
 from casetrail.session import scratch_path
+from casetrail.operators.ranking import numbered
 from casetrail.streaming import ingest
 from casetrail.streaming.stateful import stateful_interviews
 
@@ -66,15 +67,18 @@ def test_candidates_equal_brute_force_with_a_hot_company(spark):
         *candidates.candidate_jobs(q, j).columns))
 
 
-def test_large_groups_continue_over_parts_without_loss(spark):
-    child = spark.range(1000).select(F.when(F.col("id") < 600, 1).otherwise(F.col("id")).alias("k"), "id")
-    got = linkage.nest(child, ["k"], ["id"], "ids", chunk_rows=50)
-    assert got.select(F.sum(F.size("ids"))).first()[0] == 1000
-    assert got.select(F.max(F.size("ids"))).first()[0] < 120
+def test_rows_of_a_hot_key_are_numbered_over_several_tasks(spark):
+    rows_in = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 1).when(F.col("id") > 6, F.col("id")).alias("k"),
+                                       (-F.col("id")).alias("at"))
+    got = numbered(rows_in, ["k"], ["at"])
+    want, seen = {}, {}
+    for k, at in sorted((r.k, r.at) for r in rows_in.collect() if r.k is not None):
+        seen[k] = seen.get(k, 0) + 1
+        want[k, at] = seen[k]
+    assert {(r.k, r.at): r.position for r in got.collect()} == want
     jobs = spark.range(500).select("id", F.lit("same").alias("confirmation_id"), F.lit("c").alias("company"))
-    parts = identity.duplicate_groups(jobs, fields=("id", "company"), chunk_rows=100, chunk_span=100)
-    ids = [int(x) for r in parts.orderBy("part").collect() for x in r.ids.split(" | ")]
-    assert ids == list(range(500)) and parts.count() == 5
+    group = identity.duplicate_groups(jobs, fields=("id", "company")).orderBy("position").collect()
+    assert [(r.position, r.id, r.records) for r in group] == [(i + 1, str(i), 500) for i in range(500)]
 
 
 def test_company_in_text_context_and_boundaries(spark):
