@@ -64,26 +64,40 @@ def batch_verification(
     jobs: DataFrame, contact_jobs: DataFrame, contacts: DataFrame, interview_events: DataFrame,
     interviews: DataFrame, version: str,
 ) -> DataFrame:
-    """Six flags per message and whether it is fully represented."""
+    """Six flags per message and whether it is fully represented.
+
+    Everything that is known of an identity is one tagged row; one aggregation, combined before its shuffle, turns the
+    rows of an identity into flags, however many there are.
+    """
     key = "message_identity"
-    i = imported.groupBy(key).agg(F.min("job_id").alias("_ij"), F.lit(True).alias("imported_message"))
-    m = metadata.select(key).distinct().withColumn("transport_metadata", F.lit(True))
-    c = classified.where(F.col("classifier_version") == version).groupBy(key).agg(
-        F.min("job_id").alias("_cj"), F.lit(True).alias("classification"))
-    known = jobs.select(F.col("id").alias("_ij"), F.lit(True).alias("_job")).distinct()
-    contact = contacts.select(F.col("id").alias("recruiter_id"), F.lit(True).alias("_p"))
-    job = jobs.select(F.col("id").alias("job_id"), F.lit(True).alias("_j"))
-    bad_contact = contact_jobs.join(contact, "recruiter_id", "left").join(job, "job_id", "left").where(
-        "_p IS NULL OR _j IS NULL").select(key).distinct().withColumn("_bad_contact", F.lit(True))
+
+    def said(rows: DataFrame, tag: str, job: str | None = None) -> DataFrame:
+        job_id = F.col(job) if job else F.lit(None)
+        return rows.select(key, F.lit(tag).alias("_tag"), job_id.cast("bigint").alias("_job_id"))
+
+    contact = contacts.select(F.col("id").alias("recruiter_id")).distinct()
+    job = jobs.select(F.col("id").alias("job_id")).distinct()
+    lost = contact_jobs.join(contact, "recruiter_id", "left_anti").select(key).unionByName(
+        contact_jobs.join(job, "job_id", "left_anti").select(key))
     seen = interviews.select(F.col("id").alias("interview_id"))
-    bad_interview = interview_events.where("interview_id IS NOT NULL").join(
-        seen, "interview_id", "left_anti").select(key).distinct().withColumn(
-        "_bad_interview", F.lit(True))
-    joined = messages.select(key)
-    for side in (i, m, c):
-        joined = joined.join(side, key, "left")
-    joined = joined.join(known, "_ij", "left").join(bad_contact, key, "left").join(
-        bad_interview, key, "left")
+    unseen = interview_events.where("interview_id IS NOT NULL").join(seen, "interview_id", "left_anti")
+    rows = _all([
+        said(messages, "asked"), said(imported, "imported", "job_id"), said(metadata, "metadata"),
+        said(classified.where(F.col("classifier_version") == version), "classified", "job_id"),
+        said(lost, "contact"), said(unseen, "interview")])
+
+    def any_of(tag: str) -> Column:
+        return F.max(F.col("_tag") == tag)
+
+    def job_of(tag: str) -> Column:
+        return F.min(F.when(F.col("_tag") == tag, F.col("_job_id")))
+
+    joined = rows.groupBy(key).agg(
+        any_of("asked").alias("_asked"), any_of("imported").alias("imported_message"), job_of("imported").alias("_ij"),
+        any_of("metadata").alias("transport_metadata"), any_of("classified").alias("classification"),
+        job_of("classified").alias("_cj"), any_of("contact").alias("_bad_contact"),
+        any_of("interview").alias("_bad_interview")).where("_asked")
+    joined = joined.join(job.select(F.col("job_id").alias("_ij"), F.lit(True).alias("_job")), "_ij", "left")
 
     def flag(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(False))
@@ -165,12 +179,30 @@ def class_shortfall(expected: DataFrame, actual: DataFrame, key: str = "classifi
         key, (F.col("n") - F.coalesce("_have", F.lit(0))).alias("shortfall")).where("shortfall > 0")
 
 
-def schema_diff(df: DataFrame, expected: Mapping[str, Sequence[str]], table: str) -> DataFrame:
-    """(table, severity, column): missing columns are errors, unexpected ones warnings."""
-    want, have = set(expected[table]), set(df.columns)
-    rows = [(table, "error", c) for c in sorted(want - have)] + [
-        (table, "warning", c) for c in sorted(have - want)]
-    return df.sparkSession.createDataFrame(rows, "table string, severity string, column string")
+def schema_diff(df: DataFrame, expected: Mapping[str, str], table: str) -> DataFrame:
+    """(table, severity, column, rows, nulls, failing): every column of the table or of ``expected`` (column to type), with
+    its rows, those without a value and those whose value does not read as the type, counted in one pass.
+
+    ``error``: a column is missing (all its rows are nulls) or holds values of another type; ``warning``: it is not
+    expected; ``ok`` otherwise.
+    """
+    have = set(df.columns)
+    counted = [F.count("*").alias("rows")]
+    for c in df.columns:
+        counted.append(F.count_if(F.col(c).isNull()).alias(f"{c}:nulls"))
+        if c in expected:
+            read = F.col(c).cast("string").try_cast(expected[c])
+            counted.append(F.count_if(F.col(c).isNotNull() & read.isNull()).alias(f"{c}:failing"))
+    zero = F.lit(0).cast("bigint")
+    found = []
+    for c in sorted(have | set(expected)):
+        nulls = F.col(f"`{c}:nulls`") if c in have else F.col("rows")
+        failing = F.col(f"`{c}:failing`") if c in have and c in expected else zero
+        severity = F.lit("error") if c not in have else F.lit("warning") if c not in expected else F.when(
+            failing > 0, "error").otherwise("ok")
+        found.append(F.struct(F.lit(table).alias("table"), severity.alias("severity"), F.lit(c).alias("column"),
+                              F.col("rows"), nulls.alias("nulls"), failing.alias("failing")))
+    return df.agg(*counted).select(F.inline(F.array(*found)))
 
 
 def is_subset(part: DataFrame, whole: DataFrame, key: str) -> DataFrame:

@@ -10,13 +10,14 @@ from ..operators import activity as A
 from ..operators import classify as C
 from ..operators import identity as I
 from ..operators import linkage as J
+from ..operators import matching
 from ..functions import extract as X
 from .bindings import FIRST_MONTH, NOW, THROUGH, Views
 from .funnel_queries import (
     _GROUP, _IN, CALENDAR_SQL, CONFIRM_SQL, FIRST_OUTCOME_SQL, MAIL_SQL, calendar_events,
     confirmations, mail_rows,
 )
-from .linkage_queries import ATTRIBUTED_SQL, attribution_rows
+from .linkage_queries import ATTRIBUTED_SQL, MATCH_SQL, attribution_rows
 from .registry import query
 
 _GROUPS = tuple(fixed.OUTCOME_GROUPS)
@@ -235,9 +236,10 @@ def import_summary(v: Views) -> DataFrame:
     return A.import_summary(rows, "provider")
 
 
-@query("import_preview", "O-05", "SELECT id, company FROM <<confirmed>> WHERE title <> '' ORDER BY id LIMIT 100")
+@query("import_preview", "O-05", f"WITH {MATCH_SQL} SELECT c.id, c.company, m.job_id FROM <<confirmed>> c JOIN (SELECT message_identity, job_id FROM matches WHERE matched) m ON m.message_identity = c.message_identity ORDER BY c.id LIMIT 100")
 def import_preview(v: Views) -> DataFrame:
-    return A.import_preview(v.confirmed.where("title <> ''").select("id", "company"), "id")
+    matched = matching.match_applications(v.confirmed, v.jobs).where("matched").select("message_identity", "job_id")
+    return A.import_preview(v.confirmed.join(matched, "message_identity").select("id", "company", "job_id"), "id")
 
 
 @query("larger_source", "A-24", "SELECT CAST(day AS VARCHAR) AS day, id FROM <<ledger>> WHERE (SELECT count(*) FROM <<ledger>>) > (SELECT count(*) FROM <<activity_log>>) UNION ALL SELECT CAST(day AS VARCHAR), applications FROM <<activity_log>> WHERE (SELECT count(*) FROM <<ledger>>) <= (SELECT count(*) FROM <<activity_log>>)")

@@ -325,9 +325,17 @@ def class_shortfall(v: Views) -> DataFrame:
     return Q.class_shortfall(count(v.evidence), count(v.evidence.where("contact_id % 4 = 0 OR classification = 'OFFER'")))
 
 
-@query("schema_diff", "E-04", "SELECT 'orders' AS \"table\", CASE WHEN c.column_name IS NULL THEN 'error' ELSE 'warning' END AS severity, coalesce(c.column_name, e.col) AS \"column\" FROM (SELECT column_name FROM (DESCRIBE orders)) c FULL JOIN (VALUES ('o_orderkey'), ('o_clerk'), ('o_custkey')) e(col) ON e.col = c.column_name WHERE c.column_name IS NULL OR e.col IS NULL")
+_EXPECTED = {"o_orderkey": "bigint", "o_clerk": "string", "o_custkey": "bigint", "o_orderpriority": "int", "o_orderdate": "timestamp"}
+_COLUMN_COUNT = "SELECT 'orders' AS \"table\", '{1}' AS severity, '{0}' AS \"column\", count(*) AS rows, count_if({0} IS NULL) AS nulls, {2}::BIGINT AS failing FROM orders"
+
+
+@query("schema_diff", "E-04", " UNION ALL ".join([
+    *(_COLUMN_COUNT.format(c, s, f) for c, s, f in (
+        ("o_orderkey", "ok", 0), ("o_custkey", "ok", 0), ("o_orderdate", "ok", 0), ("o_orderstatus", "warning", 0), ("o_totalprice", "warning", 0),
+        ("o_orderpriority", "error", "count_if(o_orderpriority IS NOT NULL AND TRY_CAST(o_orderpriority AS INTEGER) IS NULL)"))),
+    "SELECT 'orders', 'error', 'o_clerk', count(*), count(*), 0 FROM orders"]))
 def schema_diff(v: Views) -> DataFrame:
-    return Q.schema_diff(v.orders, {"orders": ["o_orderkey", "o_clerk", "o_custkey"]}, "orders")
+    return Q.schema_diff(v.orders, _EXPECTED, "orders")
 
 
 @query("subset_check", "E-05", "SELECT count(DISTINCT e.job_id) AS keys, count(DISTINCT CASE WHEN i.id IS NOT NULL THEN e.job_id END) AS shared, (count(DISTINCT e.job_id) = count(DISTINCT CASE WHEN i.id IS NOT NULL THEN e.job_id END))::BIGINT AS subset FROM <<evidence>> e LEFT JOIN <<interviews>> i ON i.id = e.job_id WHERE e.job_id IS NOT NULL")
