@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -53,10 +54,9 @@ def plain(rows):
                 k += 1
         counts.update(links)
         both = sorted(set(a_ends) & set(b_ends))
-        groups = []
-        for s, e in zip([0, *both], both):
-            groups.append(",".join(str(x) for x, at in zip(a_ids, a_ends) if s < at <= e) + "|"
-                          + ",".join(str(x) for x, at in zip(b_ids, b_ends) if s < at <= e))
+        a_at, b_at = ([0, *(bisect_right(ends, e) for e in both)] for ends in (a_ends, b_ends))
+        groups = [",".join(map(str, a_ids[a_at[k]:a_at[k + 1]])) + "|" + ",".join(map(str, b_ids[b_at[k]:b_at[k + 1]]))
+                  for k in range(len(both))]
         found.append((i, a_ids, b_ids, links, ";".join(groups)))
     best = defaultdict(int)
     for (_, y), c in counts.items():
