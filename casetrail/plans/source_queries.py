@@ -135,7 +135,7 @@ def write_jobs_csv(v: Views) -> DataFrame:
 def write_report_csv(v: Views) -> DataFrame:
     path = scratch_path(v.spark, "report-csv")
     sinks.write_report_csv(I.duplicate_groups(v.jobs), path)
-    return v.spark.read.option("header", True).option("escape", '"').csv(path).select("message_id", "records")
+    return sinks.report_groups(v.spark, path)
 
 
 @query("snapshot", "S-10", "SELECT status, count(*) AS rows FROM <<applications>> GROUP BY 1")

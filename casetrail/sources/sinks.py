@@ -23,6 +23,12 @@ def write_report_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def report_groups(spark: SparkSession, path: str) -> DataFrame:
+    """(message_id, records) of a written report: its rows are jobs, one group of them for each message id."""
+    rows = spark.read.option("header", True).option("escape", '"').csv(path)
+    return rows.groupBy("message_id").agg(F.count("*").cast("string").alias("records"))
+
+
 def write_snapshot(frames: Mapping[str, DataFrame], path: str, version: str = fixed.SNAPSHOT_VERSION):
     """Aggregate frames as one Parquet folder each; the version is written last, as the mark of a
     complete snapshot.  Frames with message content are refused."""
