@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 
 from .. import fixed
 from ..operators.ranking import top_k_per_group
+from .once import computed_once
 
 
 def _col(c: str | Column) -> Column:
@@ -210,6 +211,21 @@ def keywords(df: DataFrame, id_col: str, text_col: str, limit: int = 30) -> Data
     )
 
 
+def with_keywords(df: DataFrame, text_col: str, limit: int = 30) -> DataFrame:
+    """Adds ``keywords``, the ``limit`` most frequent words of a row's text.
+
+    Words are sorted within the row and counted as runs of equal ones, so no word leaves its row and a task holds one
+    text at a time.
+    """
+    df = computed_once(df, _sorted=F.sort_array(all_words(text_col)))
+    df = computed_once(df, _starts=F.filter(F.transform("_sorted", lambda w, i: i), lambda i: (i == 0) | (
+        F.get("_sorted", i) != F.get("_sorted", i - 1))))
+    runs = F.transform("_starts", lambda at, k: F.struct(
+        (at - F.coalesce(F.get("_starts", k + 1), F.size("_sorted"))).alias("n"), F.get("_sorted", at).alias("word")))
+    best = F.transform(F.slice(F.sort_array(runs), 1, limit), lambda r: r["word"])
+    return computed_once(df, keywords=best).drop("_sorted", "_starts")
+
+
 def requirement_lines(c: str | Column, limit: int = 20) -> Column:
     lines = F.split(text_or_empty(c), r"\r\n|\n|\r")
     kept = F.filter(lines, lambda line: F.contains(casefold(line), F.lit("require")))

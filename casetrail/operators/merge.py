@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions.once import computed_once
 from ..functions.text import (
-    content_hash, keywords, normalize_alias, normalize_company_entity, requirement_lines,
-    text_or_empty,
+    content_hash, normalize_alias, normalize_company_entity, requirement_lines, text_or_empty,
+    with_keywords,
 )
 from .ranking import first_per_group
 
@@ -228,16 +229,10 @@ def apply_changes(
 
 def describe_jobs(texts: DataFrame, limit: int = 30) -> DataFrame:
     """job_id, source_hash, skills and requirements; one row per (job, hash)."""
-    keyed = texts.withColumn("source_hash", content_hash("raw_text"))
-    distinct = keyed.dropDuplicates(["job_id", "source_hash"])
-    # skills depend on the text alone: equal texts are counted once
-    by_text = distinct.select("source_hash", "raw_text").dropDuplicates(["source_hash"])
-    skills = keywords(by_text, "source_hash", "raw_text", limit).withColumnRenamed(
-        "keywords", "skills")
-    lines = distinct.select(
-        "job_id", "source_hash", requirement_lines("raw_text").alias("requirements"))
-    return lines.join(skills, "source_hash", "left").withColumn(
-        "skills", F.coalesce("skills", F.array().cast("array<string>")))
+    # both depend on the text alone and are read in its row: hashes, a few words and lines leave it, never the text
+    read = with_keywords(computed_once(texts, source_hash=content_hash("raw_text")), "raw_text", limit)
+    return read.select("job_id", "source_hash", F.col("keywords").alias("skills"),
+                       requirement_lines("raw_text").alias("requirements")).dropDuplicates(["job_id", "source_hash"])
 
 
 def apply_aliases(df: DataFrame, aliases: DataFrame, column: str = "company") -> DataFrame:
