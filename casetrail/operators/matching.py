@@ -112,6 +112,15 @@ def contained_names(names: DataFrame) -> DataFrame:
     ).select("inner", "outer")
 
 
+def _best(rows: DataFrame, keys: list[str], job: str) -> DataFrame:
+    """The highest score of each key and the lowest job that has it.
+
+    Numbers are combined by hashing before the shuffle; a struct as the aggregate would have every pair sorted first.
+    """
+    equal = rows.groupBy(*keys, "score").agg(F.min(job).alias(job))
+    return equal.groupBy(*keys).agg(F.max_by(job, "score").alias(job), F.max("score").alias("score"))
+
+
 def _unit(kind: str, *columns: str) -> Column:
     return F.xxhash64(F.lit(kind), *columns)
 
@@ -243,12 +252,11 @@ def match_applications(messages: DataFrame, jobs: DataFrame) -> DataFrame:
     plain = asked.join(kept.join(undated, "unit").groupBy("profile").agg(
         F.max_by(F.struct("points", "id"), F.struct("points", -F.col("id"))).alias("_top")), "profile"
     ).select("profile", "applied_at", F.col("_top.id").alias("id"), F.col("_top.points").alias("score"))
-    top = dated.unionByName(plain).groupBy("profile", "applied_at").agg(
-        F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), F.col("id"))).alias("_c"))
+    top = _best(dated.unionByName(plain), ["profile", "applied_at"], "id")
     by_text = m.select("message_identity", "profile", "applied_at").join(
         top.withColumnRenamed("applied_at", "_at").withColumnRenamed("profile", "_p"),
         (F.col("profile") == F.col("_p")) & F.col("applied_at").eqNullSafe(F.col("_at"))
-    ).select("message_identity", F.col("_c.id").alias("job_id"), F.col("_c.score").alias("score"))
+    ).select("message_identity", F.col("id").alias("job_id"), "score")
 
     # a named external id belongs to one job at most
     mm = m.where("job_ref <> ''").select(
@@ -261,11 +269,10 @@ def match_applications(messages: DataFrame, jobs: DataFrame) -> DataFrame:
     ).select("message_identity", F.col("id").alias("job_id"), (
         F.lit(100.0) + text_points() + date_points("applied_at", "first_seen_at")).alias("score"))
 
-    winner = by_text.unionByName(by_id).groupBy("message_identity").agg(
-        F.min_by(F.struct("job_id", "score"), F.struct(-F.col("score"), F.col("job_id"))).alias("_w"))
+    winner = _best(by_text.unionByName(by_id), ["message_identity"], "job_id")
     facts = m.select("message_identity", "job_ref", "requisition_id", "inferred_role")
     roles = j.select(F.col("id").alias("job_id"), F.col("role_family").alias("_role"))
-    joined = winner.select("message_identity", "_w.*").join(facts, "message_identity").join(
+    joined = winner.join(facts, "message_identity").join(
         roles, "job_id")
     conflict = (
         (text_or_empty("inferred_role") != "") & (text_or_empty("_role") != "")
