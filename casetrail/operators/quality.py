@@ -14,12 +14,18 @@ def _all(frames) -> DataFrame:
 
 
 def duplicate_key_groups(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
-    """(table, duplicate_groups): number of keys that occur more than once."""
-    return _all(
-        df.groupBy(*keys).agg(F.count("*").alias("n")).agg(
-            F.count_if(F.col("n") > 1).alias("duplicate_groups")
-        ).select(F.lit(name).alias("table"), "duplicate_groups")
-        for name, (df, keys) in tables.items())
+    """(table, duplicate_groups): number of keys that occur more than once.
+
+    Keys are first counted by a hash, which takes little room; whole keys are compared only where a hash occurs again.
+    """
+    def groups(name: str, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        hashed = df.select(*keys, F.xxhash64(*keys).alias("_hash"))
+        again = hashed.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash")
+        counted = hashed.join(again, "_hash", "left_semi").groupBy("_hash", *keys).agg(F.count("*").alias("_n"))
+        return counted.agg(F.count_if(F.col("_n") > 1).alias("duplicate_groups")).select(
+            F.lit(name).alias("table"), "duplicate_groups")
+
+    return _all(groups(name, df, keys) for name, (df, keys) in tables.items())
 
 
 def row_digest(df: DataFrame) -> Column:
