@@ -77,9 +77,13 @@ def batch_verification(
     """
     key = "message_identity"
 
-    def said(rows: DataFrame, tag: str, job: str | None = None) -> DataFrame:
-        job_id = F.col(job) if job else F.lit(None)
-        return rows.select(key, F.lit(tag).alias("_tag"), job_id.cast("bigint").alias("_job_id"))
+    tags = ("asked", "imported", "metadata", "classified", "contact", "interview")
+
+    def said(rows: DataFrame, tag: str) -> DataFrame:
+        """A bit for the tag, and the job that an imported or a classified row names."""
+        return rows.select(key, F.lit(1 << tags.index(tag)).alias("_bits"), *[
+            (F.col("job_id") if tag == of else F.lit(None)).cast("bigint").alias(name)
+            for name, of in (("_ij", "imported"), ("_cj", "classified"))])
 
     contact = contacts.select(F.col("id").alias("recruiter_id")).distinct()
     job = jobs.select(F.col("id").alias("job_id")).distinct()
@@ -88,22 +92,19 @@ def batch_verification(
     seen = interviews.select(F.col("id").alias("interview_id"))
     unseen = interview_events.where("interview_id IS NOT NULL").join(seen, "interview_id", "left_anti")
     rows = _all([
-        said(messages, "asked"), said(imported, "imported", "job_id"), said(metadata, "metadata"),
-        said(classified.where(F.col("classifier_version") == version), "classified", "job_id"),
+        said(messages, "asked"), said(imported, "imported"), said(metadata, "metadata"),
+        said(classified.where(F.col("classifier_version") == version), "classified"),
         said(lost, "contact"), said(unseen, "interview")])
 
-    def any_of(tag: str) -> Column:
-        return F.max(F.col("_tag") == tag)
-
-    def job_of(tag: str) -> Column:
-        return F.min(F.when(F.col("_tag") == tag, F.col("_job_id")))
-
-    joined = rows.groupBy(key).agg(
-        any_of("asked").alias("_asked"), any_of("imported").alias("imported_message"), job_of("imported").alias("_ij"),
-        any_of("metadata").alias("transport_metadata"), any_of("classified").alias("classification"),
-        job_of("classified").alias("_cj"), any_of("contact").alias("_bad_contact"),
-        any_of("interview").alias("_bad_interview")).where("_asked")
-    joined = joined.join(job.select(F.col("job_id").alias("_ij"), F.lit(True).alias("_job")), "_ij", "left")
+    # three numbers an identity: what is shuffled is little more than the identities
+    merged = rows.groupBy(key).agg(F.bit_or("_bits").alias("_bits"), F.min("_ij").alias("_ij"), F.min("_cj").alias("_cj"))
+    named = dict(zip(tags, ("_asked", "imported_message", "transport_metadata", "classification", "_bad_contact", "_bad_interview")))
+    joined = merged.select(key, "_ij", "_cj", *[
+        (F.col("_bits").bitwiseAND(1 << tags.index(tag)) != 0).alias(name) for tag, name in named.items()]).where("_asked")
+    # messages without a job meet none and are spread by their identity instead of meeting in one task
+    joined = joined.withColumn("_spread", F.when(F.col("_ij").isNull(), F.xxhash64(key)).otherwise(0))
+    joined = joined.join(job.select(F.col("job_id").alias("_ij"), F.lit(0).cast("long").alias("_spread"),
+                                    F.lit(True).alias("_job")), ["_ij", "_spread"], "left")
 
     def flag(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(False))

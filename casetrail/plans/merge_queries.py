@@ -262,7 +262,7 @@ def batch_verification(v: Views) -> DataFrame:
     e = v.evidence
     classified = e.where("id % 7 <> 0").select("message_identity", F.when(F.col("id") % 11 != 0, F.col("job_id")).alias("job_id"), F.lit("v1").alias("classifier_version"))
     out = Q.batch_verification(
-        e.select("message_identity").distinct(), e.where("id % 5 <> 0"), v.metadata, classified, v.jobs, v.contact_jobs,
+        e.select("message_identity"), e.where("id % 5 <> 0"), v.metadata, classified, v.jobs, v.contact_jobs,
         v.contacts.where("id % 4 <> 0"), v.interview_events, v.interviews, "v1")
     return out.withColumns({f: F.col(f).cast("int").cast("bigint") for f in (*_FLAGS, "represented")})
 
