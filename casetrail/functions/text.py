@@ -6,7 +6,6 @@ import json
 import unicodedata
 from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -62,20 +61,52 @@ def is_ascii(c: str | Column) -> Column:
     return F.octet_length(_col(c)) == F.char_length(_col(c))
 
 
-@F.pandas_udf(StringType())
-def _nfkc_casefold(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: unicodedata.normalize("NFKC", v).casefold(), na_action="ignore")
+def _unsettled() -> str:
+    """A class of all letters that NFKC changes, reorders or may join to the one before, and of those without a meaning yet.
+
+    Ranges with few letters between them are one range, but in the blocks that most texts are written in. The class is
+    nested, as a letter is held against one range after the other.
+    """
+    letters = [chr(n) for n in range(0x110000) if not 0xD800 <= n < 0xE000]
+    halves = (unicodedata.decomposition(c).split() for c in letters)
+    joined = {chr(int(d[1], 16)) for d in halves if len(d) == 2 and d[0][0] != "<"}
+    joined |= {chr(n) for n in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}   # vowels and finals of Hangul
+    ranges: list[list[int]] = []
+    for c in letters:
+        if unicodedata.category(c) == "Cn" or unicodedata.combining(c) or c in joined or not unicodedata.is_normalized("NFKC", c):
+            n = ord(c)
+            gap = 1 if n < 0x600 or 0x2000 <= n < 0x2100 or 0x3000 <= n < 0x3100 else 64
+            if ranges and n - ranges[-1][1] <= gap:
+                ranges[-1][1] = n
+            else:
+                ranges.append([n, n])
+
+    def between(a: int, b: int) -> str:
+        return f"\\x{{{a:x}}}-\\x{{{b:x}}}"
+
+    parts = [ranges[i:i + 12] for i in range(0, len(ranges), 12)]
+    nested = "".join(f"[{between(p[0][0], p[-1][1])}&&[{''.join(between(*r) for r in p)}]]" for p in parts)
+    return f"[{between(ranges[0][0], ranges[-1][1])}&&[{nested}]]"
+
+
+_UNSETTLED = _unsettled()
+
+
+# one text after the other, sent by the hundred: a task's memory does not grow with its rows
+@F.udf(StringType(), useArrow=False)
+def _nfkc_casefold(v: str | None) -> str | None:
+    return None if v is None else unicodedata.normalize("NFKC", v).casefold()
 
 
 def folded(c: str | Column) -> Column:
     """NFKC + full case folding.
 
-    ASCII rows are folded in the JVM and travel to Python as NULL, so only rows with other
-    characters pay for the Unicode tables.
+    Rows without a letter that NFKC changes are folded in the JVM and travel to Python as NULL, so only rows with such
+    letters pay for the Unicode tables.
     """
     c = text_or_empty(c)
-    plain = is_ascii(c)
-    return F.when(plain, F.lower(c)).otherwise(_nfkc_casefold(F.when(~plain, c)))
+    plain = is_ascii(c) | ~F.rlike(c, F.lit(_UNSETTLED))
+    return F.when(plain, casefold(c)).otherwise(_nfkc_casefold(F.when(~plain, c)))
 
 
 def normalize_text(c: str | Column) -> Column:

@@ -36,7 +36,8 @@ def with_rule_hits(df: DataFrame, subject="subject", body="body", sender="sender
     fields as a CASE would outgrow what the JIT compiles.
     """
     parts = [F.translate(text_or_empty(c), _SEPARATOR, "\x01") for c in (subject, body, sender)]
-    staged = computed_once(df, _text=normalize_text(F.concat_ws(_SEPARATOR, *parts)))
+    staged = computed_once(df, _said=F.concat_ws(_SEPARATOR, *parts))
+    staged = computed_once(staged, _text=normalize_text("_said")).drop("_said")
     return computed_once(
         staged, _hits=F.filter(rule_table(), lambda r: F.contains(F.col("_text"), r["phrase"])))
 
