@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import computed_once
 from ..functions.text import terms, text_or_empty
 from .ranking import top_k_per_group
 
@@ -62,13 +63,14 @@ def _score(subject: Column, sender: Column, company: Column, title: Column):
 
 
 def _catalog(jobs: DataFrame, k: int) -> DataFrame:
-    shown = jobs.select(
-        "id", F.coalesce(F.nullif("company", F.lit("")), F.lit("Unknown company")).alias("company"),
-        F.coalesce(F.nullif("title", F.lit("")), F.lit("Unknown role")).alias("title"),
-        F.array_sort(terms(text_or_empty("company"))).alias("company_terms"),
-        F.array_sort(terms(text_or_empty("title"))).alias("title_terms"))
-    # postings that read the same differ by id only: k of them are enough
-    return top_k_per_group(shown, ["company", "title"], [F.asc("id")], k).drop("rank")
+    shown = jobs.select("id", text_or_empty("company").alias("_c"), text_or_empty("title").alias("_t"))
+    # postings that read the same differ by id only: k of them are enough, and only their words are cut
+    kept = computed_once(
+        top_k_per_group(shown, ["_c", "_t"], [F.asc("id")], k),
+        company_terms=F.array_sort(terms("_c")), title_terms=F.array_sort(terms("_t")))
+    return kept.select(
+        "id", F.coalesce(F.nullif("_c", F.lit("")), F.lit("Unknown company")).alias("company"),
+        F.coalesce(F.nullif("_t", F.lit("")), F.lit("Unknown role")).alias("title"), "company_terms", "title_terms")
 
 
 def candidate_jobs(queue: DataFrame, jobs: DataFrame, k: int = 3) -> DataFrame:
@@ -78,28 +80,27 @@ def candidate_jobs(queue: DataFrame, jobs: DataFrame, k: int = 3) -> DataFrame:
         "company_key", F.array_join("company_terms", " "))
 
     # --- blocks: key -> the first k jobs ---------------------------------------------------
-    def block(df: DataFrame, tag: str, owner: Column, groups: Column | None) -> DataFrame:
-        key = F.concat(F.lit(tag), owner)
-        if groups is not None:
-            df = df.withColumn("_g", F.explode(groups))
-            key = F.concat(key, F.lit("|"), F.col("_g"))
-        return df.select(key.alias("block"), "id", "company", "title")
-
-    by_word = named.withColumn("_w", F.explode("company_terms"))
-    blocks = reduce(DataFrame.unionByName, [
-        block(named, "a|", F.col("company_key"), None),
-        block(named, "a|", F.col("company_key"), _groups(F.col("title_terms"))),
-        block(by_word, "b|", F.col("_w"), _groups(F.col("title_terms"))),
-    ])
+    # the groups of a title are made once, for all keys of the posting
+    grouped = computed_once(named.select("id", "company", "title", "company_key", "company_terms", "title_terms"),
+                            _g=_groups(F.col("title_terms")))
+
+    def with_groups(owner: Column) -> Column:
+        return F.transform("_g", lambda g: F.concat(owner, F.lit("|"), g))
+
+    own = F.concat(F.lit("a|"), "company_key")
+    keys_of = F.concat(F.array(own), with_groups(own), F.flatten(F.transform(
+        "company_terms", lambda w: with_groups(F.concat(F.lit("b|"), w)))))
     blocks = top_k_per_group(
-        blocks, ["block"], [F.asc("company"), F.asc("title"), F.asc("id")], k).select("block", "id")
+        grouped.select(F.explode(keys_of).alias("block"), "id", "company", "title").withColumn("key", F.xxhash64("block")),
+        ["key", "block"], [F.asc("company"), F.asc("title"), F.asc("id")], k).select("key", "id")
 
-    # --- messages: distinct word sets ----------------------------------------------------------
-    asked = queue.select("message_identity", F.array_sort(terms("subject")).alias("subject_terms"),
-                         F.array_sort(terms("sender")).alias("sender_terms")).withColumn(
-        "profile", F.xxhash64(F.array_join("subject_terms", " "), F.lit("|"),
-                              F.array_join("sender_terms", " ")))
-    profiles = asked.select("profile", "subject_terms", "sender_terms").dropDuplicates(["profile"])
+    # --- messages: distinct texts, whose words are cut once they are single ---------------------
+    asked = queue.select(
+        "message_identity", text_or_empty("subject").alias("subject"), text_or_empty("sender").alias("sender"),
+    ).withColumn("profile", F.xxhash64("subject", "sender"))
+    profiles = computed_once(
+        asked.select("profile", "subject", "sender").distinct(),
+        subject_terms=F.array_sort(terms("subject")), sender_terms=F.array_sort(terms("sender")))
 
     # companies whose words are all in the subject, found by their rarest word
     keys = named.select("company_key", "company_terms").dropDuplicates(["company_key"])
@@ -113,24 +114,27 @@ def candidate_jobs(queue: DataFrame, jobs: DataFrame, k: int = 3) -> DataFrame:
         F.size(F.array_except("company_terms", "subject_terms")) == 0
     ).select("profile", "company_key", "subject_terms")
 
+    # what is looked up meets by a number: two texts of one number only add jobs to score
     def lookups(hits: DataFrame, owner: str, vocabulary: DataFrame, tag: str) -> DataFrame:
         """Blocks of (owner, title words): only words the owner's titles use are combined."""
-        used = hits.select("profile", owner, F.explode("subject_terms").alias("word")).join(
-            vocabulary, [owner, "word"]).groupBy("profile", owner).agg(
+        used = hits.select("profile", owner, F.explode("subject_terms").alias("word")).select(
+            "profile", F.xxhash64(owner, "word").alias("pair")).join(
+            vocabulary.withColumn("pair", F.xxhash64(owner, "word")), "pair").groupBy("profile", owner).agg(
             F.array_sort(F.collect_set("word")).alias("w"))
         return used.select("profile", owner, F.explode(_groups(F.col("w"))).alias("_g")).select(
-            "profile", F.concat(F.lit(tag), owner, F.lit("|"), "_g").alias("block"))
+            "profile", F.xxhash64(F.concat(F.lit(tag), owner, F.lit("|"), "_g")).alias("key"))
 
+    by_word = named.select("title_terms", F.explode("company_terms").alias("_w"))
     title_words = named.select("company_key", F.explode("title_terms").alias("word")).distinct()
     word_words = by_word.select(
         F.col("_w").alias("company_word"), F.explode("title_terms").alias("word")).distinct()
     senders = profiles.select("profile", "subject_terms", F.explode("sender_terms").alias("company_word"))
     probes = reduce(DataFrame.unionByName, [
-        whole.select("profile", F.concat(F.lit("a|"), "company_key").alias("block")),
+        whole.select("profile", F.xxhash64(F.concat(F.lit("a|"), "company_key")).alias("key")),
         lookups(whole, "company_key", title_words, "a|"),
         lookups(senders, "company_word", word_words, "b|"),
     ])
-    found = probes.join(blocks, "block").select("profile", "id").distinct()
+    found = probes.join(blocks, "key").select("profile", "id").distinct()
 
     points, reasons = _score(*[F.col(c) for c in (
         "subject_terms", "sender_terms", "company_terms", "title_terms")])
