@@ -127,7 +127,9 @@ def company_in_summary(
     made = {f"_c{i}": _candidate(F.regexp_extract("_text", p, 1)) for i, p in enumerate(patterns)}
     staged = computed_once(events.select(key, text.alias("_text")), **made)
     staged = computed_once(staged.select(key, "_text", *made), _said=F.coalesce(
-        *[accepted(F.col(c)) for c in made]))
+        *[accepted(F.col(c)) for c in made])).select(key, "_text", "_said")
+    # as a table: what the texts come from is computed once, not in each of the joins that meet in one task below
+    staged = write_through(staged, "summaries")
     known = company_in_text(
         staged.where("_said IS NULL"), companies, F.col("_text"), key, _SUMMARY_CONTEXT)
     return staged.join(known, key, "left").select(
