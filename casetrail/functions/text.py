@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Sequence
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
@@ -150,17 +151,22 @@ def normalize_title(c: str | Column) -> Column:
     return _words_only(F.lower(F.regexp_replace(text_or_empty(c), fixed.SENIORITY_WORDS, "")))
 
 
-# Names that are read without a semicolon as well; longest first, as the longest one wins.
-_OPEN_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+# Names that are read without a semicolon as well.
+_OPEN_NAMES = tuple(n for n in html5 if not n.endswith(";"))
 # Numbers of the C1 range stand for Windows-1252 where that has a character.
 _C1 = {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
 _REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
 
 
-def html_unescape(c: str | Column) -> Column:
-    """Character references to characters, each read once from left to right, without leaving the JVM."""
+def html_unescape(c: str | Column, open_names: Sequence[str] = _OPEN_NAMES) -> Column:
+    """Character references to characters, each read once from left to right, without leaving the JVM.
+
+    ``open_names`` are read without a semicolon as well, by default those of HTML 5; all others need theirs.
+    """
     c = _col(c)
-    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    known = {n: v for n, v in html5.items() if n.endswith(";") or n in open_names}
+    names = F.from_json(F.lit(json.dumps(known)), "map<string,string>")
+    longest_first = "|".join(sorted(open_names, key=len, reverse=True))
     c1 = F.from_json(F.lit(json.dumps(_C1)), "map<string,string>")
 
     def numbered(token: Column) -> Column:
@@ -177,7 +183,7 @@ def html_unescape(c: str | Column) -> Column:
 
     def named(token: Column) -> Column:
         name = F.substring(token, 2, 64)
-        start = F.regexp_extract(name, f"^(?:{_OPEN_NAMES})", 0)
+        start = F.regexp_extract(name, f"^(?:{longest_first})", 0)
         return F.coalesce(F.try_element_at(names, name), F.when(start != "", F.concat(
             F.try_element_at(names, start), F.substring(token, F.length(start) + 2, 2 ** 30))), token)
 
@@ -187,9 +193,9 @@ def html_unescape(c: str | Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), value).otherwise(c)
 
 
-def html_unescape_strip(c: str | Column) -> Column:
+def html_unescape_strip(c: str | Column, open_names: Sequence[str] = _OPEN_NAMES) -> Column:
     """References decoded, tags to spaces, white space squeezed."""
-    bare = F.regexp_replace(html_unescape(text_or_empty(c)), "<[^>]+>", " ")
+    bare = F.regexp_replace(html_unescape(text_or_empty(c), open_names), "<[^>]+>", " ")
     return F.trim(F.regexp_replace(bare, r"[\s\u00a0]+", " "))
 
 
