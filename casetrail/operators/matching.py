@@ -5,16 +5,17 @@ contained), title (35 equal, else up to 30 for shared words) and date (20, 10 or
 A match needs 45.
 
 What a message has in common with a job is one of a few *units*: the requisition; the company; the
-title; company and title; all of them.  All jobs of a unit score at least the unit's points with
+title; requisition and title; company and title; all of them.  All jobs of a unit score at least the unit's points with
 the message, and a job that scores more does so through a richer unit that is in the race as well.
 So the best over units is the best over jobs, and no unit pairs every message with every job:
 
 * messages and jobs are reduced to distinct keys first; copies cost one key;
 * company-and-title units are found by one equi-join on (account, related company, title word),
-  full ones on (account, requisition, related company or title word), titles by their rarest words;
+  full ones on (account, requisition, related company), titles by their rarest words; titles within
+  a requisition by any word, whatever the company: a hot requisition pairs its titles, not its jobs;
 * dates add at most 20, so units with fewer than 25 points, or more than 20 behind the message's
   best, are dropped before dates are looked at;
-* dates are an equi-join on 46-day buckets of (unit, first seen) with the lowest job id; a job too
+* dates are an equi-join on 92-day buckets of (unit, first seen) with the lowest job id; a job too
   far away counts with its undated score;
 * normalised rows and surviving units are written to the shared folder, so each is computed once
   and a lost executor costs no more than its own tasks.
@@ -33,7 +34,7 @@ from ..session import write_through
 
 THRESHOLD = 45.0
 _MAX_DATE = 20.0
-_BUCKET_DAYS = 46
+_BUCKET_DAYS = 92
 _PROFILE = ["account", "req", "company_key", "title_key"]
 
 
@@ -121,6 +122,11 @@ def _best(rows: DataFrame, keys: list[str], job: str) -> DataFrame:
     return equal.groupBy(*keys).agg(F.max_by(job, "score").alias(job), F.max("score").alias("score"))
 
 
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """Written through; the shuffles it took leave the disk when it is written, as nothing else reads them."""
+    return write_through(df, label, keep_shuffles=False)
+
+
 def _unit(kind: str, *columns: str) -> Column:
     return F.xxhash64(F.lit(kind), *columns)
 
@@ -130,34 +136,31 @@ def _accounts(df: DataFrame) -> DataFrame:
     return df.withColumn("account", F.explode(F.array_distinct(F.array(F.lit(""), F.col("account")))))
 
 
-def _word_keys(column: str) -> Column:
-    return F.transform(_tokens(column), lambda w: F.concat(F.lit("w|"), w))
+def _text(prefix: str = "") -> Column:
+    return F.xxhash64(prefix + "company_key", prefix + "title_key")
+
 
+def _first_shared(block: Column, m_words: Column, j_words: Column) -> Column:
+    """Whether ``block`` is the first word of two titles, so that a pair that shares several is made once."""
+    return block == F.array_min(F.array_intersect(m_words, j_words))
 
-def _pairs(m: DataFrame, j: DataFrame, keys: list[str], near: DataFrame, lead: Column, words: bool):
-    """Pairs of distinct key rows that share ``lead`` and a block: a related company with a title
-    word (``words``), or either of them."""
-    def blocks(df: DataFrame, prefix: str, company: str) -> DataFrame:
-        named = F.concat(F.lit("c|"), F.col(company))
-        if words:
-            block = F.transform(_word_keys("title_key"), lambda w: F.concat(named, F.lit("|"), w))
-        else:
-            block = F.concat(F.array(named), _word_keys("title_key"))
-        return df.select(*[F.col(c).alias(prefix + c) for c in keys], "account", lead.alias("_lead"),
-                         F.explode(block).alias("_block")).distinct()
 
-    related = m.join(near, "company_key").unionByName(m.withColumn("_near", F.col("company_key")))
-    left = blocks(_accounts(related), "m_", "_near")
-    right = blocks(j.withColumn("_near", F.col("company_key")), "j_", "_near").withColumn(
-        "j_account", F.col("account"))
-    return left.join(right, ["account", "_lead", "_block"])
+def _related(m: DataFrame, near: DataFrame) -> DataFrame:
+    """Messages' keys once for every job company (``_near``) that may be theirs."""
+    named = m.where("company_key <> ''")
+    return _accounts(named.join(near, "company_key").unionByName(
+        named.withColumn("_near", F.col("company_key")))).distinct()
+
+
+def _renamed(df: DataFrame, prefix: str, *keep: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(c if c in keep else prefix + c) for c in df.columns])
 
 
 def _candidate_units(mp: DataFrame, jp: DataFrame) -> DataFrame:
     """(profile, unit, points): every unit a message profile can match, with its points."""
     names = mp.select("company_key").union(jp.select("company_key")).where(
         "company_key <> ''").distinct().withColumnRenamed("company_key", "name")
-    inside = contained_names(names)
+    inside = _stored(contained_names(names), "match-names")
     near = inside.select(F.col("inner").alias("company_key"), F.col("outer").alias("_near")).union(
         inside.select("outer", "inner"))
 
@@ -177,31 +180,39 @@ def _candidate_units(mp: DataFrame, jp: DataFrame) -> DataFrame:
         "profile", _unit("t", "account", "j_title").alias("unit"), "points")
 
     # company and title, whatever the requisition
+    m_words, j_words = _tokens("m_title_key"), _tokens("j_title_key")
     keys = ["company_key", "title_key"]
     m2, j2 = (df.where("company_key <> '' AND title_key <> ''").select("account", *keys).distinct()
               for df in (mp, jp))
+    word = F.explode(_tokens("title_key"))
     points = company_points(F.col("m_company_key"), F.col("j_company_key")) + title_points(
         F.col("m_title_key"), F.col("j_title_key"))
-    texts = _pairs(m2, j2, keys, near, F.lit(""), words=True).select(
-        "account", "m_company_key", "m_title_key",
-        _unit("ct", "account", "j_company_key", "j_title_key").alias("unit"), points.alias("points")
-    ).where(F.col("points") >= THRESHOLD - _MAX_DATE).distinct()
-    by_text = own.join(
-        texts, (own["company_key"] == texts["m_company_key"]) & (own["title_key"] == texts["m_title_key"])
-        & (own["account"] == texts["account"])).select("profile", "unit", "points")
-
-    # the same requisition and something of the text
-    m3, j3 = (df.where("req <> ''").select("account", "req", *keys).distinct() for df in (mp, jp))
-    full = _pairs(m3, j3, ["req", *keys], near, F.col("req"), words=False).select(
-        "account", "m_req", "m_company_key", "m_title_key",
-        _unit("f", "account", "j_req", "j_company_key", "j_title_key").alias("unit"),
-        (points + 70.0).alias("points")).distinct()
-    by_full = own.join(
-        full, (own["req"] == full["m_req"]) & (own["company_key"] == full["m_company_key"])
-        & (own["title_key"] == full["m_title_key"]) & (own["account"] == full["account"])).select(
-        "profile", "unit", "points")
+    texts = _stored(_renamed(_related(m2, near).withColumn("_word", word), "m_", "account", "_near", "_word").join(
+        _renamed(j2.withColumns({"_near": F.col("company_key"), "_word": word}), "j_", "account", "_near", "_word"),
+        ["account", "_near", "_word"]).where(_first_shared(F.col("_word"), m_words, j_words)).select(
+        "account", _text("m_").alias("text"), _unit("ct", "account", "j_company_key", "j_title_key").alias("unit"),
+        points.alias("points")).where(F.col("points") >= THRESHOLD - _MAX_DATE), "match-texts")
+    by_text = own.withColumn("text", _text()).join(texts, ["account", "text"]).select("profile", "unit", "points")
+
+    # the same requisition and something of the title, whatever the company
+    m3, j3 = (df.where("req <> '' AND title_key <> ''").select("account", "req", "title_key").distinct() for df in (mp, jp))
+    titled = _renamed(_accounts(m3).distinct().withColumn("_word", word), "m_", "account", "req", "_word").join(
+        _renamed(j3.withColumn("_word", word), "j_", "account", "req", "_word"), ["account", "req", "_word"]).where(
+        _first_shared(F.col("_word"), m_words, j_words)).select(
+        "account", "req", F.col("m_title_key").alias("title_key"), _unit("rt", "account", "req", "j_title_key").alias("unit"),
+        (title_points(F.col("m_title_key"), F.col("j_title_key")) + 70.0).alias("points"))
+    by_req_title = own.join(titled, ["account", "req", "title_key"]).select("profile", "unit", "points")
+
+    # the same requisition and a related company, whatever the title
+    m4, j4 = (df.where("req <> '' AND company_key <> ''").select("account", "req", *keys).distinct() for df in (mp, jp))
+    full = _renamed(_related(m4, near), "m_", "account", "req", "_near").join(
+        _renamed(j4.withColumn("_near", F.col("company_key")), "j_", "account", "req", "_near"),
+        ["account", "req", "_near"]).select(
+        "account", "req", _text("m_").alias("text"), _unit("f", "account", "req", "j_company_key", "j_title_key").alias("unit"),
+        (points + 70.0).alias("points"))
+    by_full = own.withColumn("text", _text()).join(full, ["account", "req", "text"]).select("profile", "unit", "points")
     return by_company.unionByName(by_req).unionByName(by_title).unionByName(by_text).unionByName(
-        by_full)
+        by_req_title).unionByName(by_full)
 
 
 def match_applications(messages: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -212,10 +223,10 @@ def match_applications(messages: DataFrame, jobs: DataFrame) -> DataFrame:
     first_seen_at, role_family.  Ties go to the lower job id; messages no candidate reaches are
     left out.
     """
-    m = write_through(_profiles(messages, "account", "company", "title", "requisition_id").select(
+    m = _stored(_profiles(messages, "account", "company", "title", "requisition_id").select(
         "message_identity", "applied_at", "job_ref", "requisition_id", "inferred_role", "profile",
         *_PROFILE), "match-messages")
-    j = write_through(_profiles(jobs, "email_account", "company", "title", "requisition_id").select(
+    j = _stored(_profiles(jobs, "email_account", "company", "title", "requisition_id").select(
         "id", "first_seen_at", "external_id", "role_family", "profile", *_PROFILE), "match-jobs")
     mp = m.select(*_PROFILE, "profile").distinct()
     jp = j.select(*_PROFILE, "profile").distinct()
@@ -228,31 +239,28 @@ def match_applications(messages: DataFrame, jobs: DataFrame) -> DataFrame:
         when("req <> ''", _unit("r", "account", "req")),
         when("title_key <> ''", _unit("t", "account", "title_key")),
         when("company_key <> '' AND title_key <> ''", _unit("ct", "account", "company_key", "title_key")),
-        when("req <> ''", _unit("f", "account", "req", "company_key", "title_key")),
+        when("req <> '' AND title_key <> ''", _unit("rt", "account", "req", "title_key")),
+        when("req <> '' AND company_key <> ''", _unit("f", "account", "req", "company_key", "title_key")),
     ), lambda u: u.isNotNull())
-    dates = write_through(j.select("id", "first_seen_at", F.explode(units).alias("unit")).groupBy(
+    dates = _stored(j.select("id", "first_seen_at", F.explode(units).alias("unit")).groupBy(
         "unit", "first_seen_at").agg(F.min("id").alias("id")), "match-units")
     undated = dates.groupBy("unit").agg(F.min("id").alias("id"))
 
-    every = write_through(_candidate_units(mp, jp).groupBy("profile", "unit").agg(
-        F.max("points").alias("points")).join(undated.select("unit"), "unit", "left_semi"),
-        "match-candidates")
+    every = _stored(_candidate_units(mp, jp).join(undated, "unit"), "match-candidates")
     bar = every.groupBy("profile").agg(F.max("points").alias("_bar"))
-    kept = every.join(bar, "profile").where(
-        F.col("points") >= F.col("_bar") - _MAX_DATE).select("profile", "unit", "points")
+    kept = every.join(bar, "profile").where(F.col("points") >= F.col("_bar") - _MAX_DATE).drop("_bar")
 
     asked = m.select("profile", "applied_at").distinct()
-    day = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01")) / _BUCKET_DAYS)
+    day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01"))
+    bucket = lambda d: F.floor(d / _BUCKET_DAYS).cast("int")
     wanted = asked.where("applied_at IS NOT NULL").withColumn("bucket", F.explode(F.array(
-        *[day("applied_at") + d for d in (-1, 0, 1)])))
-    stocked = dates.where("first_seen_at IS NOT NULL").withColumn("bucket", day("first_seen_at"))
-    dated = wanted.join(kept, "profile").join(stocked, ["unit", "bucket"]).select(
+        *[bucket(day("applied_at") + d) for d in (-_BUCKET_DAYS // 2, _BUCKET_DAYS // 2)])))
+    stocked = dates.where("first_seen_at IS NOT NULL").withColumn("bucket", bucket(day("first_seen_at")))
+    dated = wanted.join(kept.drop("id"), "profile").join(stocked, ["unit", "bucket"]).select(
         "profile", "applied_at", "id",
         (F.col("points") + date_points("applied_at", "first_seen_at")).alias("score"))
-    plain = asked.join(kept.join(undated, "unit").groupBy("profile").agg(
-        F.max_by(F.struct("points", "id"), F.struct("points", -F.col("id"))).alias("_top")), "profile"
-    ).select("profile", "applied_at", F.col("_top.id").alias("id"), F.col("_top.points").alias("score"))
-    top = _best(dated.unionByName(plain), ["profile", "applied_at"], "id")
+    plain = asked.join(_best(kept.withColumnRenamed("points", "score"), ["profile"], "id"), "profile")
+    top = _stored(_best(dated.unionByName(plain), ["profile", "applied_at"], "id"), "match-best")
     by_text = m.select("message_identity", "profile", "applied_at").join(
         top.withColumnRenamed("applied_at", "_at").withColumnRenamed("profile", "_p"),
         (F.col("profile") == F.col("_p")) & F.col("applied_at").eqNullSafe(F.col("_at"))
@@ -264,12 +272,12 @@ def match_applications(messages: DataFrame, jobs: DataFrame) -> DataFrame:
         *[F.col(c).alias("m_" + c) for c in _PROFILE])
     jj = j.where("external_id <> ''").select(
         "id", "external_id", "first_seen_at", *[F.col(c).alias("j_" + c) for c in _PROFILE])
-    by_id = mm.join(jj, mm["job_ref"] == jj["external_id"]).where(
+    by_id = _stored(mm.join(jj, mm["job_ref"] == jj["external_id"]).where(
         (F.col("j_account") == "") | (F.col("j_account") == F.col("m_account"))
     ).select("message_identity", F.col("id").alias("job_id"), (
-        F.lit(100.0) + text_points() + date_points("applied_at", "first_seen_at")).alias("score"))
+        F.lit(100.0) + text_points() + date_points("applied_at", "first_seen_at")).alias("score")), "match-named")
 
-    winner = _best(by_text.unionByName(by_id), ["message_identity"], "job_id")
+    winner = _stored(_best(by_text.unionByName(by_id), ["message_identity"], "job_id"), "match-winners")
     facts = m.select("message_identity", "job_ref", "requisition_id", "inferred_role")
     roles = j.select(F.col("id").alias("job_id"), F.col("role_family").alias("_role"))
     joined = winner.join(facts, "message_identity").join(
