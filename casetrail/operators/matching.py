@@ -333,14 +333,15 @@ def apply_match(
     messages = messages.withColumn("inferred_role", F.coalesce(
         F.nullif(text_or_empty("inferred_role"), F.lit("")), F.col("_default_role"), F.lit(""))).drop("_default_role")
     moment = (F.lit(now) if now else F.current_timestamp()).cast("timestamp_ntz")
-    joined = messages.join(matches, "message_identity", "left")
+    # read for the jobs they fill and for those they make; each step's shuffles are gone before the next one's
+    joined = _stored(messages.join(_stored(matches, "matches"), "message_identity", "left"), "matched-messages")
     hit = joined.where(F.coalesce("matched", F.lit(False)))
     fill = ("account", "inferred_role", "resume_family", "message_id", "ats_platform", "requisition_id", "job_url",
             "company", "title")
-    gained = hit.groupBy("job_id").agg(
+    gained = _stored(hit.groupBy("job_id").agg(
         *[_first_filled(c, order).alias(f"_{c}") for c in fill],
         F.min("applied_at").alias("_applied_at"),
-        F.max(F.least(F.lit(100.0), F.round("score", 1))).alias("_score"))
+        F.max(F.least(F.lit(100.0), F.round("score", 1))).alias("_score")), "gained")
 
     def filled(old: str, new: str) -> Column:
         return F.coalesce(F.nullif(text_or_empty(old), F.lit("")), F.col(new), F.lit(""))
